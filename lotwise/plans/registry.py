@@ -11,7 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotwise.operators import activity, inbox, metrics, segmentation
+from lotwise.operators import (activity, inbox, inventory, listings, metrics, profile,
+                               recommend, requests, segmentation)
 from lotwise.sources.fixtures import AS_OF, AS_OF_EVENTS, fixture_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +62,51 @@ def attention_inbox(spark, sf_dir):
     return inbox.attention_inbox(_seg(spark, sf_dir))
 
 
+def live_inventory(spark, sf_dir):
+    t = fixture_tables(spark, sf_dir)
+    return inventory.live_inventory(t.vehicle_history, t.requests, AS_OF)
+
+
+def purchase_history(spark, sf_dir):
+    t = fixture_tables(spark, sf_dir)
+    return inventory.purchase_history(t.requests, t.vehicle_history, t.car_status,
+                                      t.publishing_logs)
+
+
+def _history_op(op):
+    def run(spark, sf_dir):
+        return op(purchase_history(spark, sf_dir))
+    run.__name__ = op.__name__
+    return run
+
+
+def recommend_cars(spark, sf_dir):
+    return recommend.recommend_cars(purchase_history(spark, sf_dir),
+                                    live_inventory(spark, sf_dir), top_k=10)
+
+
+def _panel(name):
+    def run(spark, sf_dir):
+        return requests.latest_requests(fixture_tables(spark, sf_dir).requests, name)
+    run.__name__ = f"requests_{name}"
+    return run
+
+
+def listing_match(spark, sf_dir, ordered=True):
+    t = fixture_tables(spark, sf_dir)
+    return listings.listing_match(t.listings, t.dim_dealers, AS_OF, ordered=ordered)
+
+
+def listing_summary(spark, sf_dir):
+    return listings.listing_summary(listing_match(spark, sf_dir, ordered=False))
+
+
+def dealer_profile(spark, sf_dir):
+    t = fixture_tables(spark, sf_dir)
+    act = activity.dealer_activity(t.dealers_activity, AS_OF_EVENTS, ordered=False)
+    return profile.dealer_profile(_seg(spark, sf_dir), act, purchase_history(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     return {
         "dealer_activity": dealer_activity,
@@ -81,4 +127,22 @@ def queries() -> dict[str, Query]:
         "attention_inbox": attention_inbox,
         "inbox_kpis": _seg_view(inbox.inbox_kpis),
         "segment_catalog": _seg_view(inbox.segment_catalog),
+        "live_inventory": live_inventory,
+        "purchase_history": purchase_history,
+        "dealer_preferences": _history_op(recommend.dealer_preferences),
+        "recommend_cars": recommend_cars,
+        "requests_latest": _panel("all"),
+        "requests_succeeded": _panel("succeeded"),
+        "requests_failed_before": _panel("failed_before"),
+        "requests_failed_after": _panel("failed_after"),
+        "listing_match": listing_match,
+        "listing_summary": listing_summary,
+        "dealer_roster": _seg_view(profile.dealer_roster),
+        "make_distribution": _history_op(profile.make_distribution),
+        "model_distribution": _history_op(profile.model_distribution),
+        "mileage_histogram": _history_op(profile.mileage_histogram),
+        "price_stats": _history_op(profile.price_stats),
+        "price_box_by_make": _history_op(profile.price_box_by_make),
+        "purchase_timeline": _history_op(profile.purchase_timeline),
+        "dealer_profile": dealer_profile,
     }

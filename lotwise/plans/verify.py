@@ -74,6 +74,8 @@ def compare(df, sql: str, sf_dir: str) -> dict:
         "hash_match": hashlib.sha256("\n".join(s_lines).encode()).hexdigest()
         == hashlib.sha256("\n".join(o_lines).encode()).hexdigest(),
     }
+    if not result["hash_match"] and result["rows_match"] and result["schema_match"]:
+        result["close_match"] = _close(s_cols, s_rows, o_cols, o_rows)
     if not result["schema_match"]:
         result["columns_spark"], result["columns_oracle"] = s_names, o_names
     if not result["hash_match"] and result["schema_match"]:
@@ -81,3 +83,23 @@ def compare(df, sql: str, sf_dir: str) -> dict:
         only_o = sorted(set(o_lines) - set(s_lines))[:3]
         result["sample_spark_only"], result["sample_oracle_only"] = only_s, only_o
     return result
+
+
+def _close(s_cols, s_rows, o_cols, o_rows, rel: float = 1e-9) -> bool:
+    """Row multisets equal with floats compared at relative tolerance ``rel``."""
+    def keyed(cols, rows):
+        order = sorted(range(len(cols)), key=lambda i: cols[i])
+        out = []
+        for r in rows:
+            vals = [_norm(r[i]) for i in order]
+            out.append((tuple(round(v, 3) if isinstance(v, float) else v for v in vals), vals))
+        return sorted(out, key=lambda x: repr(x[0]))
+    a, b = keyed(s_cols, s_rows), keyed(o_cols, o_rows)
+    for (_, x), (_, y) in zip(a, b):
+        for u, v in zip(x, y):
+            if isinstance(u, float) and isinstance(v, float):
+                if abs(u - v) > rel * max(1.0, abs(u), abs(v)):
+                    return False
+            elif u != v:
+                return False
+    return True
