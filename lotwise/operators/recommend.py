@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from lotwise.functions.display import one_decimal
+from lotwise.session import materialize
 
 # ---- fixed values: score weights and bounds ----
 MAKE_WEIGHT = 3
@@ -128,41 +129,83 @@ def _cells(cars: DataFrame) -> DataFrame:
         F.struct(F.lit(2).alias("level"), _key(F.lit("mmy"), mk, md, y).alias("cell")))))
 
 
-def _dealer_cells(stats: DataFrame, makes: DataFrame, models: DataFrame, cars: DataFrame,
-                  key: str) -> DataFrame:
-    """Cells each dealer searches: every year, bought makes by year, bought pairs by year.
+def _finish_cells(cells: DataFrame, base: DataFrame, key: str) -> DataFrame:
+    """Add the cell key, ``fixed`` (make/model score plus year score, constant in
+    the cell) and ``bound`` (``fixed`` plus the largest possible mileage score)."""
+    cells = cells.join(base, key)
+    fixed = F.col("a") + range_score(F.col("year"), F.col("year_mean"), F.col("year_std"))
+    k_max = F.when(F.col("km_std") > 0, F.lit(float(RANGE_POINTS))).otherwise(F.lit(0.0))
+    cell = (F.when(F.col("level") == 0, _key(F.lit("y"), F.col("year")))
+            .when(F.col("level") == 1, _key(F.lit("my"), F.col("make"), F.col("year")))
+            .otherwise(_key(F.lit("mmy"), F.col("make"), F.col("model"), F.col("year"))))
+    return cells.select(key, cell.alias("cell"), fixed.alias("fixed"),
+                        (fixed + k_max).alias("bound"), "km_mean", "km_std")
 
-    The list of year cells is a scalar subquery over the live cars (one
-    value per distinct year, a small domain), exploded per dealer.
+
+def _pair_cells(stats, makes, models, cars, key) -> DataFrame:
+    """Cells (make, model, year) of the pairs each dealer bought."""
+    pair_years = cars.select("make", "model", "year").distinct()
+    mk = makes.select(key, "make", "make_score")
+    rows = models.select(key, "make", "model", "model_score").join(mk, [key, "make"]) \
+        .join(pair_years, ["make", "model"]).select(
+            key, F.lit(2).alias("level"), "make", "model", "year",
+            (F.col("make_score") + F.col("model_score")).alias("a"))
+    return _finish_cells(rows, _base(stats, key), key)
+
+
+def _other_cells(stats, makes, cars, tau, key) -> DataFrame:
+    """Cells (year) for every dealer and (make, year) for bought makes, keeping
+    only those whose bound reaches the dealer's ``tau`` (NULL keeps all).
+
+    The list of year values is a scalar subquery over the live cars (a small
+    domain of model years), exploded per dealer.
     """
-    base = stats.select(key, "km_mean", "km_std")
-    year_cells = cars.select(F.array_sort(F.collect_set(
-        _key(F.lit("y"), F.col("year")))).alias("cells")).scalar()
-    by_year = base.select(key, "km_mean", "km_std", F.lit(0).alias("level"),
-                          F.explode(year_cells).alias("cell"))
+    # structs keep a NULL year in the set (cars without a year form a cell)
+    years = cars.select(F.collect_set(F.struct(F.col("year").alias("y"))).alias("ys")).scalar()
+    none = F.lit(None).cast("string")
+    by_year = stats.select(key, F.explode(years).alias("e")).select(
+        key, F.lit(0).alias("level"), none.alias("make"), none.alias("model"),
+        F.col("e.y").alias("year"), F.lit(0.0).alias("a"))
+    reach = tau.select(key, "tau")
+    # a make can only matter if make score + 2 + 2 reaches tau
+    live_makes = makes.join(reach, key, "left").where(
+        F.col("tau").isNull()
+        | (F.col("make_score") + F.lit(2.0 * RANGE_POINTS) >= F.col("tau") - F.lit(_SLACK)))
     make_years = cars.select("make", "year").distinct()
-    by_make = makes.select(key, "make").join(make_years, "make").select(
-        key, F.lit(1).alias("level"), _key(F.lit("my"), F.col("make"), F.col("year"))
-        .alias("cell"))
-    pair_years = cars.select("make", "model", "year").distinct()
-    by_pair = models.select(key, "make", "model").join(pair_years, ["make", "model"]).select(
-        key, F.lit(2).alias("level"),
-        _key(F.lit("mmy"), F.col("make"), F.col("model"), F.col("year")).alias("cell"))
-    return by_year.unionByName(by_make.unionByName(by_pair).join(base, key)
-                               .select(key, "km_mean", "km_std", "level", "cell"))
+    by_make = live_makes.select(key, "make", "make_score").join(make_years, "make").select(
+        key, F.lit(1).alias("level"), "make", none.alias("model"), "year",
+        F.col("make_score").alias("a"))
+    cells = _finish_cells(by_year.unionByName(by_make), _base(stats, key), key)
+    return _within(cells, tau, key)
+
+
+def _base(stats: DataFrame, key: str) -> DataFrame:
+    return stats.select(key, "year_mean", "year_std", "km_mean", "km_std")
+
+
+def _within(cells: DataFrame, tau: DataFrame, key: str) -> DataFrame:
+    return cells.join(tau.select(key, "tau"), key, "left").where(
+        F.col("tau").isNull() | (F.col("bound") >= F.col("tau") - F.lit(_SLACK))).drop("tau")
 
 
 def _candidates(dealer_cells: DataFrame, cells: DataFrame, k: int, key: str) -> DataFrame:
-    """(dealer, car_id) pairs that can reach the dealer's top k (see module doc)."""
+    """(dealer, car_id) pairs that can reach the dealer's top k (see module doc).
+
+    A cell with at most k cars is covered entirely by its k first names, so
+    the nearest-mileage search runs only on larger cells, and the index
+    range it looks up is clipped to the cell's points.
+    """
     by_name = Window.partitionBy("cell").orderBy("sf_vehicle_name", "car_id")
-    heads = cells.withColumn("_r", F.row_number().over(by_name)).where(F.col("_r") <= k) \
-        .select("cell", "car_id")
+    ranked = cells.withColumn("_r", F.row_number().over(by_name))
+    heads = ranked.where(F.col("_r") <= k).select("cell", "car_id")
     from_heads = dealer_cells.select(key, "cell").join(heads, "cell").select(key, "car_id")
+    big = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size")) \
+        .where(F.col("size") > k).select("cell")
 
-    # Distinct mileage values per cell, each with its k first cars by name,
-    # numbered 1..P in km order.
+    # Distinct mileage values of the large cells, each with its k first cars
+    # by name, numbered 1..P in km order.
     at_point = Window.partitionBy("cell", "kilometers").orderBy("sf_vehicle_name", "car_id")
-    points = (cells.where(F.col("kilometers").isNotNull())
+    points = (cells.join(big, "cell", "left_semi").where(F.col("kilometers").isNotNull())
               .withColumn("_r", F.row_number().over(at_point)).where(F.col("_r") <= k)
               .groupBy("cell", "kilometers").agg(F.collect_list("car_id").alias("cars")))
     points = points.withColumn(
@@ -171,6 +214,7 @@ def _candidates(dealer_cells: DataFrame, cells: DataFrame, k: int, key: str) ->
     # Insertion index of each dealer's mean mileage: the index of the last
     # point with km <= mean, from one sorted pass over points and queries.
     queries = dealer_cells.where((F.col("km_std") > 0) & F.col("km_mean").isNotNull()) \
+        .join(big, "cell", "left_semi") \
         .select(key, "cell", F.col("km_mean").alias("kilometers"))
     merged = points.select(F.lit(None).cast("string").alias(key), "cell", "kilometers", "idx",
                            F.lit(0).alias("_q")) \
@@ -178,54 +222,98 @@ def _candidates(dealer_cells: DataFrame, cells: DataFrame, k: int, key: str) ->
                                     .alias("idx"), F.lit(1).alias("_q")))
     upto = Window.partitionBy("cell").orderBy("kilometers", "_q") \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    located = merged.withColumn("pos", F.coalesce(F.last("idx", ignorenulls=True).over(upto),
-                                                 F.lit(0))) \
-        .where(F.col("_q") == 1).select(key, "cell", "pos")
+    whole = Window.partitionBy("cell")
+    located = merged.withColumns({
+        "pos": F.coalesce(F.last("idx", ignorenulls=True).over(upto), F.lit(0)),
+        "n_points": F.max("idx").over(whole)}) \
+        .where(F.col("_q") == 1).select(key, "cell", "pos", "n_points")
     wanted = located.select(key, "cell", F.explode(F.sequence(
-        F.col("pos") - F.lit(k - 1), F.col("pos") + F.lit(k))).alias("idx"))
+        F.greatest(F.col("pos") - F.lit(k - 1), F.lit(1)),
+        F.least(F.col("pos") + F.lit(k), F.col("n_points")))).alias("idx"))
     near = wanted.join(points.select("cell", "idx", "cars"), ["cell", "idx"]) \
         .select(key, F.explode("cars").alias("car_id"))
     return from_heads.unionByName(near).distinct()
 
 
-def recommend_cars(history: DataFrame, live: DataFrame, top_k: int = DEFAULT_TOP_K,
-                   key: str = "dealer_name") -> DataFrame:
-    """The ``top_k`` best-scoring live cars of every dealer with purchases.
+_SLACK = 1e-9         # float margin on the pruning comparison
 
-    Order: ``match_score`` descending, then vehicle name.  Dealers without
-    history get no rows, as on the dashboard.  Exact: the candidate set
-    provably contains every dealer's top k (module doc).
-    """
-    stats = dealer_stats(history, key)
-    makes = make_scores(history, key)
-    models = model_scores(history, key)
-    cars = _live_cars(live)
-    cells = _cells(cars)
-    cand = _candidates(_dealer_cells(stats, makes, models, cars, key), cells, top_k, key)
 
+def _score(cand: DataFrame, cars: DataFrame, stats: DataFrame, makes: DataFrame,
+           models: DataFrame, key: str) -> DataFrame:
+    """Exact score and breakdown of (dealer, car) candidate pairs."""
     scored = (cand.join(cars, "car_id").join(stats, key)
               .join(makes.select(key, "make", "make_score"), [key, "make"], "left")
               .join(models.select(key, "make", "model", "model_score"),
                     [key, "make", "model"], "left"))
-    parts = {
+    scored = scored.withColumns({
         "make_score": F.coalesce(F.col("make_score"), F.lit(0.0)),
         "model_score": F.coalesce(F.col("model_score"), F.lit(0.0)),
         "year_score": range_score(F.col("year"), F.col("year_mean"), F.col("year_std")),
         "km_score": range_score(F.col("kilometers"), F.col("km_mean"), F.col("km_std")),
-    }
-    scored = scored.withColumns(parts)
+    })
     total = F.col("make_score") + F.col("model_score") + F.col("year_score") + F.col("km_score")
-    breakdown = F.concat(
+    return scored.withColumn("match_score", total)
+
+
+def _breakdown() -> Column:
+    return F.concat(
         F.lit("Make: "), one_decimal(F.col("make_score")),
         F.lit(", Model: "), one_decimal(F.col("model_score")),
         F.lit(", Year: "), one_decimal(F.col("year_score")),
         F.lit(", Mileage: "), one_decimal(F.col("km_score")))
-    scored = scored.withColumns({"match_score": total, "score_breakdown": breakdown})
+
+
+def _top(scored: DataFrame, k: int, key: str) -> DataFrame:
     # a car listed twice in the snapshot is recommended twice, as on the dashboard
-    scored = scored.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    rows = scored.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     order = Window.partitionBy(key).orderBy(F.col("match_score").desc(), "sf_vehicle_name",
                                             "car_id", "_copy")
-    ranked = scored.withColumn("rank", F.row_number().over(order)) \
-        .where(F.col("rank") <= top_k)
-    return ranked.select(key, "sf_vehicle_name", "make", "model", "year", "kilometers",
-                         "match_score", "score_breakdown", "rank")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def recommend_cars(history: DataFrame, live: DataFrame, top_k: int = DEFAULT_TOP_K,
+                   key: str = "dealer_name") -> DataFrame:
+    """The ``top_k`` best-scoring live cars of every dealer with purchases.
+
+    Order: ``match_score`` descending, then vehicle name.  Dealers without
+    history get no rows, as on the dashboard.  Exact: the candidate set
+    provably contains every dealer's top k (module doc).
+
+    Two rounds keep the candidate set small.  First the cells of the
+    dealer's bought (make, model) pairs with the highest constant part are
+    searched, in that order until they hold k cars, which gives ``tau``, a
+    lower bound of the dealer's k-th best score.  Then only cells whose best
+    possible score reaches ``tau`` are generated and searched; every other
+    cell holds only cars that score below k others.  A dealer whose pairs
+    hold fewer than k live cars has no ``tau`` and searches every cell.
+    """
+    # The profile tables and the live cars feed both rounds; they are small
+    # (one row per dealer, make or car) and are materialised once with a
+    # reliable checkpoint in the shared checkpoint folder, so the history is
+    # not re-derived per branch and a lost executor costs a re-read only.
+    held = history.select(key, "make", "model", "year", "kilometers").persist()
+    stats = materialize(dealer_stats(held, key))
+    makes = materialize(make_scores(held, key))
+    models = materialize(model_scores(held, key))
+    held.unpersist()
+    cars = materialize(_live_cars(live))
+    cells = _cells(cars)
+    pairs = _pair_cells(stats, makes, models, cars, key)
+
+    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size"))
+    best_first = Window.partitionBy(key).orderBy(F.col("fixed").desc(), "cell") \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seed_cells = pairs.join(sizes, "cell") \
+        .withColumn("_before", F.sum("size").over(best_first) - F.col("size")) \
+        .where(F.col("_before") < top_k).drop("_before", "size")
+    seeds = _top(_score(_candidates(seed_cells, cells, top_k, key), cars, stats, makes,
+                        models, key), top_k, key)
+    tau = seeds.groupBy(key).agg(
+        F.when(F.count(F.lit(1)) >= top_k, F.min("match_score")).alias("tau"))
+    tau = materialize(tau)
+    kept = _within(pairs, tau, key).unionByName(_other_cells(stats, makes, cars, tau, key))
+
+    scored = _score(_candidates(kept, cells, top_k, key), cars, stats, makes, models, key)
+    return _top(scored, top_k, key).select(
+        key, "sf_vehicle_name", "make", "model", "year", "kilometers", "match_score",
+        _breakdown().alias("score_breakdown"), "rank")

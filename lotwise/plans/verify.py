@@ -91,7 +91,7 @@ def _close(s_cols, s_rows, o_cols, o_rows, rel: float = 1e-9) -> bool:
         order = sorted(range(len(cols)), key=lambda i: cols[i])
         out = []
         for r in rows:
-            vals = [_norm(r[i]) for i in order]
+            vals = [r[i] if isinstance(r[i], float) else _norm(r[i]) for i in order]
             out.append((tuple(round(v, 3) if isinstance(v, float) else v for v in vals), vals))
         return sorted(out, key=lambda x: repr(x[0]))
     a, b = keyed(s_cols, s_rows), keyed(o_cols, o_rows)

@@ -65,3 +65,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def env_int(name: str, default: int) -> int:
     value = os.environ.get(name)
     return int(value) if value else default
+
+
+def materialize(df):
+    """Write ``df`` to the shared checkpoint folder and return a frame reading it.
+
+    Persisting first makes the reliable checkpoint reuse the computed rows
+    instead of running the query a second time for the write; the cache is
+    dropped once the checkpoint files exist.  Used where a small
+    intermediate feeds several branches of a plan.
+    """
+    checkpoint_dir(df.sparkSession)
+    held = df.persist()
+    out = held.checkpoint(eager=True)
+    held.unpersist()
+    return out
