@@ -1,0 +1,62 @@
+"""Incremental daily activity: the ``dealers_activity`` input, kept up to date.
+
+The dashboard reads a daily table of car events per dealer (one row per
+dealer and day).  This module maintains the same rollup from an app-event
+stream with Structured Streaming: events are counted per (dealer, UTC day)
+in tumbling one-day windows, a watermark bounds the state kept for late
+events, and each finished day is appended once to a parquet table that
+:func:`lotwise.operators.activity.dealer_activity` reads as a batch.
+
+Only what the batch adapter computes is computed here; the reference itself
+has no streaming part (its freshness is a 12-hour cache).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# ---- fixed values: the event kinds counted as car events ----
+CAR_EVENT_TYPES = ("view", "click")
+# --------------------------------------------------------------
+
+
+def daily_activity(events: DataFrame, late: str = "2 days") -> DataFrame:
+    """Per (dealer, day): number of car events; days with other events count 0.
+
+    ``events`` has ``ts``, ``user_id`` and ``event_type`` (batch or stream).
+    In a stream, a day is emitted in append mode once the watermark passes
+    its end, so late events up to ``late`` are still counted.
+    """
+    # event time must be a zoned TIMESTAMP for watermarks; zone-less values
+    # are read as UTC (the session time zone)
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    if events.isStreaming:
+        events = events.withWatermark("ts", late)
+    car = F.when(F.col("event_type").isin(*CAR_EVENT_TYPES), 1).otherwise(0)
+    per_day = (events.groupBy(F.col("user_id"), F.window("ts", "1 day").alias("day"))
+               .agg(F.sum(car).cast("bigint").alias("all_cars_events")))
+    return per_day.select(
+        F.col("user_id").cast("string").alias("dealer_code"),
+        F.to_date(F.col("day.start")).alias("event_date"),
+        "all_cars_events")
+
+
+def start_daily_activity(events: DataFrame, path: str, checkpoint: str,
+                         trigger_seconds: int = 300, late: str = "2 days"):
+    """Start the streaming rollup into a parquet table at ``path``.
+
+    The checkpoint must live in shared storage; on restart the query resumes
+    from it and the file sink's log keeps the output exactly once.
+    """
+    return (daily_activity(events, late).writeStream
+            .format("parquet").outputMode("append")
+            .option("path", path).option("checkpointLocation", checkpoint)
+            .trigger(processingTime=f"{trigger_seconds} seconds")
+            .start())
+
+
+def with_names(daily: DataFrame, dealers: DataFrame) -> DataFrame:
+    """Attach dealer names from the roster (a dealer may carry several names)."""
+    return daily.join(dealers.select("dealer_code", "dealer_name").distinct(), "dealer_code") \
+        .select("dealer_code", "dealer_name", "event_date", "all_cars_events")
