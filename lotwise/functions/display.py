@@ -63,3 +63,23 @@ def format_requests(df: DataFrame) -> DataFrame:
     if "car_kilometrage" in df.columns:
         cols["car_kilometrage"] = kilometres("car_kilometrage")
     return df.withColumns(cols)
+
+
+def format_views(df: DataFrame) -> DataFrame:
+    """Recent views as shown: time text, price ``EGP``, kilometrage ``km``."""
+    return df.withColumns({"time": timestamp_text("time"),
+                           "buy_now_price": money_prefix("buy_now_price"),
+                           "kilometrage": kilometres("kilometrage")})
+
+
+def format_filters(df: DataFrame) -> DataFrame:
+    """Recent filters as shown: time text and kilometrage ``km``."""
+    return df.withColumns({"time": timestamp_text("time"),
+                           "kilometrage": kilometres("kilometrage")})
+
+
+def format_listings(df: DataFrame) -> DataFrame:
+    """Listing panel columns with minute timestamps and ``1,234 EGP`` prices."""
+    return df.select(timestamp_text("added_at", TS_MINUTES).alias("added_at"), "title", "make",
+                     "model", "year", "kilometers", money_suffix("price").alias("price"),
+                     "condition", "is_active", "region")

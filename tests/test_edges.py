@@ -109,3 +109,13 @@ def test_mileage_bins(spark):
 def test_one_decimal_is_half_even(spark):
     df = spark.createDataFrame([(0.25,), (0.35,), (2.0,)], "x double")
     assert [r[0] for r in df.select(one_decimal("x")).collect()] == ["0.2", "0.3", "2.0"]
+
+
+def test_display_formats(spark):
+    import datetime as _dt
+    from lotwise.functions import display
+    df = spark.createDataFrame([(_dt.datetime(2024, 1, 2, 3, 4, 5), 1234567.5, None)],
+                               "time timestamp, buy_now_price double, kilometrage double")
+    row = display.format_views(df).first()
+    assert (row.time, row.buy_now_price, row.kilometrage) == \
+        ("2024-01-02 03:04:05", "EGP 1,234,568", "N/A")
