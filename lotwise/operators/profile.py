@@ -169,31 +169,43 @@ def dealer_profile(segmentation: DataFrame, activity: DataFrame,
         "dealer_name", "active_days_30d", "total_car_events_30d", "active_days_7d",
         "total_car_events_7d")
 
-    makes = make_distribution(history)
-    models = model_distribution(history)
-    miles = mileage_histogram(history)
-    counts = history.groupBy("dealer_name").agg(
-        F.count_distinct("make").alias("n_makes"),
-        F.count_distinct(F.when(F.col("make").isNotNull(), F.col("model"))).alias("_m"))
-    n_models = models.groupBy("dealer_name").agg(F.count(F.lit(1)).alias("n_models"))
-    top_makes = _joined_top(makes, "dealer_name",
-                            F.format_string("%s (%d)", "make", "purchases"),
+    # Two passes over the history: counts per (dealer, make, model), and one
+    # row per dealer with the price moments and the four mileage-bin counts.
+    key = "dealer_name"
+    pairs = history.groupBy(key, "make", "model").agg(F.count(F.lit(1)).alias("n"))
+    makes = pairs.where(F.col("make").isNotNull()).groupBy(key, "make") \
+        .agg(F.sum("n").alias("purchases"))
+    makes = makes.withColumn("rank", _rank([key], [F.col("purchases").desc(), "make"]))
+    models = pairs.where(F.col("make").isNotNull() & F.col("model").isNotNull()) \
+        .withColumnRenamed("n", "purchases")
+    models = models.withColumn("rank", _rank([key], [F.col("purchases").desc(), "make",
+                                                     "model"]))
+    n_makes = makes.groupBy(key).agg(F.count(F.lit(1)).alias("n_makes"))
+    n_models = models.groupBy(key).agg(F.count(F.lit(1)).alias("n_models"))
+    top_makes = _joined_top(makes, key, F.format_string("%s (%d)", "make", "purchases"),
                             TOP_MAKES, "top_makes")
-    top_models = _joined_top(models, "dealer_name",
+    top_models = _joined_top(models, key,
                              F.format_string("%s %s (%d)", "make", "model", "purchases"),
                              TOP_MODELS, "top_models")
-    top_miles = _joined_top(miles, "dealer_name",
-                            F.format_string("%s (%d)", "mileage_range", "purchases"),
-                            TOP_MILEAGE, "top_mileage")
-    price = history.groupBy("dealer_name").agg(
-        F.avg("price").alias("_mean"), F.stddev_samp("price").alias("_std"))
-    price = price.select("dealer_name", F.concat(
-        F.lit(CURRENCY + " "), _money0(F.col("_mean") - F.col("_std")), F.lit(" - "),
-        _money0(F.col("_mean") + F.col("_std"))).alias("price_range"))
+    km = F.col("kilometers")
+    per_dealer = history.groupBy(key).agg(
+        F.avg("price").alias("_mean"), F.stddev_samp("price").alias("_std"),
+        *[F.count(F.when(mileage_bin(km) == F.lit(label), 1)).alias(f"b{i}")
+          for i, (label, _, _) in enumerate(MILEAGE_BINS)])
+    # top bins: sort (count desc, bin order) inside the row, no shuffle needed
+    bins = F.array(*[F.struct((-F.col(f"b{i}")).alias("o1"), F.lit(i).alias("o2"),
+                              F.format_string("%s (%d)", F.lit(label), F.col(f"b{i}"))
+                              .alias("t"))
+                     for i, (label, _, _) in enumerate(MILEAGE_BINS)])
+    top_miles_text = F.array_join(F.transform(F.slice(F.array_sort(bins), 1, TOP_MILEAGE),
+                                              lambda x: x["t"]), ", ")
+    per_dealer = per_dealer.select(
+        key, top_miles_text.alias("top_mileage"),
+        F.concat(F.lit(CURRENCY + " "), _money0(F.col("_mean") - F.col("_std")), F.lit(" - "),
+                 _money0(F.col("_mean") + F.col("_std"))).alias("price_range"))
 
     out = seg.join(act, "dealer_name", "inner")
-    for part in (counts.select("dealer_name", "n_makes"), n_models, top_makes, top_models,
-                 top_miles, price):
+    for part in (per_dealer, n_makes, n_models, top_makes, top_models):
         out = out.join(part, "dealer_name", "left")
     has_history = F.col("price_range").isNotNull()
     return out.select(

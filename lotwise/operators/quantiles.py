@@ -2,22 +2,24 @@
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one
 aggregation buffer, so a group holding a third of the data would have to fit
-in one task.  This module computes the same numbers in three distributed
-passes:
+in one task.  This module computes the same numbers in distributed passes:
 
-1. per group: the row count and a ``percentile_approx`` bracket around each
-   wanted rank (quantile sketches of bounded size, merged map-side);
-2. exact counts of values below and inside each bracket; a bracket that does
-   not provably contain its two ranks (possible only for groups smaller than
-   about ``2 * ACCURACY`` rows) is widened to the whole group, which is then
-   small;
-3. the values inside the bracket, counted per distinct value, ranked with a
-   running sum; the two neighbouring order statistics ``a = x[f]`` and
-   ``b = x[f+1]`` (``h = (n - 1) * p``, ``f = floor(h)``, ``t = h - f``) are
-   interpolated bit for bit as numpy/pandas do: ``a + (b - a) * t`` when
-   ``t < 0.5``, else ``b - (b - a) * (1 - t)``.
+A. per group: the count of values and, for groups of more than
+   ``2 * ACCURACY`` values, a ``percentile_approx`` bracket around each wanted
+   rank (quantile sketches of bounded size, merged map-side).  Smaller groups
+   are "bracketed" by their whole range.
+B. one join of the values with their brackets, aggregated to one row per
+   distinct value inside the bracket plus the count below it.  The running
+   count over those rows locates the two neighbouring order statistics
+   ``a = x[f]`` and ``b = x[f+1]`` (``h = (n - 1) * p``, ``f = floor(h)``,
+   ``t = h - f``), interpolated bit for bit as numpy/pandas do:
+   ``a + (b - a) * t`` when ``t < 0.5``, else ``b - (b - a) * (1 - t)``.
+C. a bracket that does not contain both ranks (the sketch guarantee rules
+   this out, but it is checked) is redone over its whole group; when no
+   bracket fails, AQE sees the empty set and skips this pass.
 
-A bracket holds about ``4 / ACCURACY`` of its group, so pass 3 is bounded.
+A sketch bracket holds about ``4 / ACCURACY`` of its group, so no task ever
+ranks more than that share of a large group, or a whole small group.
 """
 
 from __future__ import annotations
@@ -38,68 +40,64 @@ def lerp(a, b, t):
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str,
                       probs: dict[str, float]) -> DataFrame:
-    """One row per group: ``keys`` plus one column per entry of ``probs``.
+    """One row per group of ``df``: ``keys`` plus one column per entry of ``probs``.
 
     NULL values are ignored; a group with no values gets NULL percentiles.
-    Groups are those of ``df`` (NULL keys form their own group).
+    NULL keys form their own group.
     """
     names = list(probs)
-    vals = df.select(*keys, F.col(value).alias("v")).where(F.col("v").isNotNull())
+    v = F.col(value)
     lo_p = [max(0.0, probs[k] - _EPS) for k in names]
     hi_p = [min(1.0, probs[k] + _EPS) for k in names]
-    sketch = vals.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx("v", lo_p + hi_p, ACCURACY).alias("approx"))
-    # One row per (group, wanted percentile) with its bracket and ranks.
-    targets = sketch.select(
-        *keys, "n",
-        F.inline(F.array(*[
-            F.struct(F.lit(name).alias("q"), F.lit(float(probs[name])).alias("p"),
-                     F.col("approx")[i].alias("lo"),
-                     F.col("approx")[len(names) + i].alias("hi"))
-            for i, name in enumerate(names)])))
+    sketch = df.groupBy(*keys).agg(
+        F.count(v).alias("n"),
+        F.percentile_approx(v, lo_p + hi_p, ACCURACY).alias("approx"))
+    big = F.col("n") > F.lit(2 * ACCURACY)
+    targets = sketch.select(*keys, "n", F.inline(F.array(*[
+        F.struct(F.lit(name).alias("q"), F.lit(float(probs[name])).alias("p"),
+                 F.when(big, F.col("approx")[i]).alias("lo"),
+                 F.when(big, F.col("approx")[len(names) + i]).alias("hi"))
+        for i, name in enumerate(names)])))
     h = (F.col("n") - 1) * F.col("p")
     targets = targets.withColumns({"h": h, "r1": F.floor(h)}) \
         .withColumn("r2", F.least(F.col("r1") + 1, F.col("n") - 1))
+    vals = df.select(*keys, v.alias("v")).where(F.col("v").isNotNull())
 
-    key_match = [F.col(f"t.{k}").eqNullSafe(F.col(f"x.{k}")) for k in keys]
-    joined = targets.alias("t").join(vals.alias("x"), key_match, "inner")
-    below = F.col("x.v") < F.col("t.lo")
-    inside = (F.col("x.v") >= F.col("t.lo")) & (F.col("x.v") <= F.col("t.hi"))
-    checks = joined.groupBy(*[F.col(f"t.{k}").alias(k) for k in keys], F.col("t.q").alias("q")) \
-        .agg(F.count(F.when(below, 1)).alias("c_below"),
-             F.count(F.when(inside, 1)).alias("c_in"))
-    t2 = targets.join(checks, [targets[k].eqNullSafe(checks[k]) for k in keys]
-                      + [targets["q"] == checks["q"]], "inner") \
-        .select(*[targets[k] for k in keys], targets["q"], "n", "h", "r1", "r2", "lo", "hi",
-                "c_below", "c_in")
-    ok = (F.col("c_below") <= F.col("r1")) & (F.col("c_below") + F.col("c_in") > F.col("r2"))
-    t2 = t2.withColumns({
-        "lo": F.when(ok, F.col("lo")),          # NULL bound = unbounded
-        "hi": F.when(ok, F.col("hi")),
-        "base": F.when(ok, F.col("c_below")).otherwise(F.lit(0)),
-    })
+    def located(t: DataFrame, whole: bool) -> DataFrame:
+        """Per (group, q): counts below the bracket and per distinct value inside."""
+        match = [F.col(f"t.{k}").eqNullSafe(F.col(f"x.{k}")) for k in keys]
+        j = t.alias("t").join(vals.alias("x"), match, "inner")
+        below = F.lit(False) if whole else \
+            (F.col("t.lo").isNotNull() & (F.col("x.v") < F.col("t.lo")))
+        above = F.lit(False) if whole else \
+            (F.col("t.hi").isNotNull() & (F.col("x.v") > F.col("t.hi")))
+        return (j.where(~above)
+                .groupBy(*[F.col(f"t.{k}").alias(k) for k in keys],
+                         *[F.col(f"t.{c}").alias(c) for c in ("q", "h", "r1", "r2")],
+                         F.when(below, F.lit(None)).otherwise(F.col("x.v")).alias("v"))
+                .agg(F.count(F.lit(1)).alias("c")))
+
+    def pick(rows: DataFrame) -> DataFrame:
+        """Running counts over the bracket rows (NULL v = the below-bracket row first)."""
+        w = Window.partitionBy(*keys, "q").orderBy(F.col("v").asc_nulls_first()) \
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = rows.withColumn("upto", F.sum("c").over(w))
+        inside = F.col("v").isNotNull()
+        return rows.groupBy(*keys, "q", "h", "r1", "r2").agg(
+            F.sum(F.when(~inside, F.col("c")).otherwise(0)).alias("c_below"),
+            F.sum(F.when(inside, F.col("c")).otherwise(0)).alias("c_in"),
+            F.min(F.when(inside & (F.col("upto") > F.col("r1")), F.col("v"))).alias("x1"),
+            F.min(F.when(inside & (F.col("upto") > F.col("r2")), F.col("v"))).alias("x2"))
 
-    # Distinct values inside each (widened) bracket with their multiplicity.
-    key_match = [F.col(f"t.{k}").eqNullSafe(F.col(f"x.{k}")) for k in keys]
-    in_bracket = (F.col("t.lo").isNull() | (F.col("x.v") >= F.col("t.lo"))) & \
-                 (F.col("t.hi").isNull() | (F.col("x.v") <= F.col("t.hi")))
-    cand = t2.alias("t").join(vals.alias("x"), key_match + [in_bracket], "inner") \
-        .groupBy(*[F.col(f"t.{k}").alias(k) for k in keys], F.col("t.q").alias("q"),
-                 F.col("t.h").alias("h"), F.col("t.r1").alias("r1"),
-                 F.col("t.r2").alias("r2"), F.col("t.base").alias("base"),
-                 F.col("x.v").alias("v")) \
-        .agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(*keys, "q").orderBy("v") \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cand = cand.withColumn("upto", F.col("base") + F.sum("c").over(w))
-    # value at 0-based rank r: the first v whose running count exceeds r
-    picked = cand.groupBy(*keys, "q", "h", "r1").agg(
-        F.min(F.when(F.col("upto") > F.col("r1"), F.col("v"))).alias("x1"),
-        F.min(F.when(F.col("upto") > F.col("r2"), F.col("v"))).alias("x2"))
+    first = pick(located(targets.where(F.col("n") > 0), whole=False))
+    ok = (F.col("c_below") <= F.col("r1")) & (F.col("c_below") + F.col("c_in") > F.col("r2"))
+    good = first.where(ok)
+    retry = first.where(~ok).select(*keys, "q", "h", "r1", "r2")
+    redone = pick(located(retry, whole=True))
+    chosen = good.unionByName(redone)
     value_at = lerp(F.col("x1"), F.col("x2"), F.col("h") - F.col("r1"))
-    long = picked.select(*keys, "q", value_at.alias("value"))
-    wide = long.groupBy(*keys).pivot("q", names).agg(F.first("value"))
-    groups = df.select(*keys).distinct()
+    wide = chosen.select(*keys, "q", value_at.alias("value")) \
+        .groupBy(*keys).pivot("q", names).agg(F.first("value"))
+    groups = sketch.select(*keys)
     return groups.join(wide, [groups[k].eqNullSafe(wide[k]) for k in keys], "left") \
         .select(*[groups[k] for k in keys], *names)
