@@ -82,6 +82,21 @@ def model_scores(history: DataFrame, key: str = "dealer_name") -> DataFrame:
         .alias("model_score"))
 
 
+def _scores_from_counts(stats: DataFrame, pair_counts: DataFrame, key: str):
+    """Make and model scores from per-(dealer, make, model) counts (small tables)."""
+    made = pair_counts.where(F.col("make").isNotNull()).groupBy(key, "make") \
+        .agg(F.sum("n").alias("make_purchases"))
+    makes = made.join(stats.select(key, "n_purchases"), key).select(
+        key, "make", "make_purchases",
+        (F.col("make_purchases") / F.col("n_purchases") * F.lit(MAKE_WEIGHT))
+        .alias("make_score"))
+    models = pair_counts.where(F.col("make").isNotNull() & F.col("model").isNotNull()) \
+        .join(made, [key, "make"]).select(
+            key, "make", "model", F.col("n").alias("model_purchases"),
+            (F.col("n") / F.col("make_purchases") * F.lit(MODEL_WEIGHT)).alias("model_score"))
+    return makes, models
+
+
 def dealer_preferences(history: DataFrame, key: str = "dealer_name") -> DataFrame:
     """The recommender's profile, one row per (dealer, make, model) bought.
 
@@ -129,20 +144,30 @@ def _cells(cars: DataFrame) -> DataFrame:
         F.struct(F.lit(2).alias("level"), _key(F.lit("mmy"), mk, md, y).alias("cell")))))
 
 
-def _finish_cells(cells: DataFrame, base: DataFrame, key: str) -> DataFrame:
+def _cell_ranges(cells: DataFrame) -> DataFrame:
+    """Per cell: smallest and largest mileage (NULL when no car has one)."""
+    return cells.groupBy("cell").agg(F.min("kilometers").alias("km_lo"),
+                                     F.max("kilometers").alias("km_hi"))
+
+
+def _finish_cells(cells: DataFrame, base: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
     """Add the cell key, ``fixed`` (make/model score plus year score, constant in
-    the cell) and ``bound`` (``fixed`` plus the largest possible mileage score)."""
+    the cell) and ``bound``: ``fixed`` plus the best mileage score any car of
+    the cell can get, reached at the dealer's mean clamped into the cell's
+    mileage range (cars without mileage score 0)."""
     cells = cells.join(base, key)
     fixed = F.col("a") + range_score(F.col("year"), F.col("year_mean"), F.col("year_std"))
-    k_max = F.when(F.col("km_std") > 0, F.lit(float(RANGE_POINTS))).otherwise(F.lit(0.0))
     cell = (F.when(F.col("level") == 0, _key(F.lit("y"), F.col("year")))
             .when(F.col("level") == 1, _key(F.lit("my"), F.col("make"), F.col("year")))
             .otherwise(_key(F.lit("mmy"), F.col("make"), F.col("model"), F.col("year"))))
-    return cells.select(key, cell.alias("cell"), fixed.alias("fixed"),
-                        (fixed + k_max).alias("bound"), "km_mean", "km_std")
+    cells = cells.withColumn("cell", cell).join(ranges, "cell")
+    nearest = F.least(F.greatest(F.col("km_mean"), F.col("km_lo")), F.col("km_hi"))
+    k_best = range_score(nearest, F.col("km_mean"), F.col("km_std"))
+    return cells.select(key, "cell", fixed.alias("fixed"), (fixed + k_best).alias("bound"),
+                        "km_mean", "km_std")
 
 
-def _pair_cells(stats, makes, models, cars, key) -> DataFrame:
+def _pair_cells(stats, makes, models, cars, ranges, key) -> DataFrame:
     """Cells (make, model, year) of the pairs each dealer bought."""
     pair_years = cars.select("make", "model", "year").distinct()
     mk = makes.select(key, "make", "make_score")
@@ -150,10 +175,10 @@ def _pair_cells(stats, makes, models, cars, key) -> DataFrame:
         .join(pair_years, ["make", "model"]).select(
             key, F.lit(2).alias("level"), "make", "model", "year",
             (F.col("make_score") + F.col("model_score")).alias("a"))
-    return _finish_cells(rows, _base(stats, key), key)
+    return _finish_cells(rows, _base(stats, key), ranges, key)
 
 
-def _other_cells(stats, makes, cars, tau, key) -> DataFrame:
+def _other_cells(stats, makes, cars, ranges, tau, key) -> DataFrame:
     """Cells (year) for every dealer and (make, year) for bought makes, keeping
     only those whose bound reaches the dealer's ``tau`` (NULL keeps all).
 
@@ -175,7 +200,7 @@ def _other_cells(stats, makes, cars, tau, key) -> DataFrame:
     by_make = live_makes.select(key, "make", "make_score").join(make_years, "make").select(
         key, F.lit(1).alias("level"), "make", none.alias("model"), "year",
         F.col("make_score").alias("a"))
-    cells = _finish_cells(by_year.unionByName(by_make), _base(stats, key), key)
+    cells = _finish_cells(by_year.unionByName(by_make), _base(stats, key), ranges, key)
     return _within(cells, tau, key)
 
 
@@ -293,12 +318,14 @@ def recommend_cars(history: DataFrame, live: DataFrame, top_k: int = DEFAULT_TOP
     # not re-derived per branch and a lost executor costs a re-read only.
     held = history.select(key, "make", "model", "year", "kilometers").persist()
     stats = materialize(dealer_stats(held, key))
-    makes = materialize(make_scores(held, key))
-    models = materialize(model_scores(held, key))
+    pair_counts = materialize(held.groupBy(key, "make", "model")
+                              .agg(F.count(F.lit(1)).alias("n")))
     held.unpersist()
+    makes, models = _scores_from_counts(stats, pair_counts, key)
     cars = materialize(_live_cars(live))
     cells = _cells(cars)
-    pairs = _pair_cells(stats, makes, models, cars, key)
+    ranges = _cell_ranges(cells)
+    pairs = _pair_cells(stats, makes, models, cars, ranges, key)
 
     sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size"))
     best_first = Window.partitionBy(key).orderBy(F.col("fixed").desc(), "cell") \
@@ -311,7 +338,8 @@ def recommend_cars(history: DataFrame, live: DataFrame, top_k: int = DEFAULT_TOP
     tau = seeds.groupBy(key).agg(
         F.when(F.count(F.lit(1)) >= top_k, F.min("match_score")).alias("tau"))
     tau = materialize(tau)
-    kept = _within(pairs, tau, key).unionByName(_other_cells(stats, makes, cars, tau, key))
+    kept = _within(pairs, tau, key).unionByName(
+        _other_cells(stats, makes, cars, ranges, tau, key))
 
     scored = _score(_candidates(kept, cells, top_k, key), cars, stats, makes, models, key)
     return _top(scored, top_k, key).select(
