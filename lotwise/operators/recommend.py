@@ -102,11 +102,13 @@ def dealer_preferences(history: DataFrame, key: str = "dealer_name") -> DataFram
 
     ``model`` may be NULL (a make bought with unknown model); its
     ``model_score`` is then NULL because such a row never matches a car.
+    Two passes over the history: dealer moments and (dealer, make, model) counts.
     """
     stats = dealer_stats(history, key)
-    makes = make_scores(history, key)
-    pairs = history.where(F.col("make").isNotNull()).groupBy(key, "make", "model") \
-        .agg(F.count(F.lit(1)).alias("model_purchases"))
+    pair_counts = history.groupBy(key, "make", "model").agg(F.count(F.lit(1)).alias("n"))
+    makes, _ = _scores_from_counts(stats, pair_counts, key)
+    pairs = pair_counts.where(F.col("make").isNotNull()) \
+        .withColumnRenamed("n", "model_purchases")
     out = pairs.join(makes, [key, "make"]).join(stats, key)
     model_score = F.when(F.col("model").isNotNull(),
                          F.col("model_purchases") / F.col("make_purchases")
