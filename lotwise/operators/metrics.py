@@ -152,7 +152,7 @@ def dealer_metrics(requests: DataFrame, dealers: DataFrame, as_of) -> DataFrame:
 
 # ---- the per-window views of the same day counts ----
 
-def _windowed_days(requests: DataFrame, kind: str, as_of, windows) -> DataFrame:
+def _windowed_days(requests: DataFrame, kind: str, windows) -> DataFrame:
     days = buy_now_day_counts(requests).where(F.col("kind") == F.lit(kind))
     d = F.col("d")
     tags = F.array(*[F.when(cond(d), F.lit(name)) for name, cond in windows])
@@ -160,8 +160,8 @@ def _windowed_days(requests: DataFrame, kind: str, as_of, windows) -> DataFrame:
                        F.explode(F.filter(tags, lambda t: t.isNotNull())).alias("period"))
 
 
-def _gaps(requests, kind, as_of, windows, date_name, count_name) -> DataFrame:
-    days = _windowed_days(requests, kind, as_of, windows)
+def _gaps(requests, kind, windows, date_name, count_name) -> DataFrame:
+    days = _windowed_days(requests, kind, windows)
     order = Window.partitionBy("dealer_code", "period").orderBy("d")
     return days.select(
         "dealer_code", "period", F.col("d").alias(date_name),
@@ -184,14 +184,14 @@ def purchase_gaps(requests: DataFrame, as_of) -> DataFrame:
     windows = ((LIFETIME, lambda d: F.lit(True)),
                (SIXTY, lambda d: since(d, as_of, DAYS_60)),
                (PREVIOUS_SIXTY, lambda d: previous_60(d, as_of)))
-    return _gaps(requests, PURCHASE, as_of, windows, "purchase_date", "n_purchases")
+    return _gaps(requests, PURCHASE, windows, "purchase_date", "n_purchases")
 
 
 def request_gaps(requests: DataFrame, as_of) -> DataFrame:
     """As :func:`purchase_gaps`, for Buy Now requests (lifetime and 60 days)."""
     windows = ((LIFETIME, lambda d: F.lit(True)),
                (SIXTY, lambda d: since(d, as_of, DAYS_60)))
-    return _gaps(requests, REQUEST, as_of, windows, "request_date", "n_requests")
+    return _gaps(requests, REQUEST, windows, "request_date", "n_requests")
 
 
 def purchase_intervals(requests: DataFrame, as_of) -> DataFrame:

@@ -18,7 +18,7 @@ from lotwise.operators.quantiles import exact_percentiles
 MILEAGE_BINS = (("0-50K", 0, 50000), ("50K-100K", 50000, 100000),
                 ("100K-150K", 100000, 150000), ("150K+", 150000, None))
 NO_DATA = "No data"
-TOP_MAKES, TOP_MODELS, TOP_MILEAGE, TOP_LIST = 3, 3, 2, 10
+TOP_MAKES, TOP_MODELS, TOP_MILEAGE = 3, 3, 2
 # -----------------------------------------------------------------------------
 
 

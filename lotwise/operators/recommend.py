@@ -46,7 +46,6 @@ from lotwise.session import materialize
 MAKE_WEIGHT = 3
 MODEL_WEIGHT = 2
 RANGE_POINTS = 2            # year and mileage scores are clamped to [0, 2]
-MAX_SCORE = 9
 # -------------------------------------------------
 
 DEFAULT_TOP_K = 10

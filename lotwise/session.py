@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -62,11 +61,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def env_int(name: str, default: int) -> int:
-    value = os.environ.get(name)
-    return int(value) if value else default
-
-
 def materialize(df):
     """Write ``df`` to the shared checkpoint folder and return a frame reading it.
 
