@@ -32,6 +32,8 @@ def build_session(master: str | None = None, app_name: str = "lotwise",
     conf = dict(CORE_CONF)
     conf["spark.ui.enabled"] = "false"
     conf["spark.ui.showConsoleProgress"] = "false"
+    # checkpoint files of frames that are no longer referenced are removed
+    conf["spark.cleaner.referenceTracking.cleanCheckpoints"] = "true"
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})

@@ -38,3 +38,13 @@ def test_no_cartesian_products(spark):
     for name, query in queries().items():
         plan = _plan(query(spark, SMALL))
         assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan, name
+
+
+def test_dealer_filter_reaches_the_scan(spark):
+    from lotwise.operators import activity
+    from lotwise.sources.fixtures import AS_OF_EVENTS, fixture_tables
+    views = fixture_tables(spark, SMALL).view_events
+    plan = _plan(activity.recent_views(views, AS_OF_EVENTS, dealer_code="7"))
+    scan = [line for line in plan.splitlines() if "events.parquet" in line][0]
+    assert "user_id" in scan and "ts#" in scan
+    assert "PushedFilters" in scan and "GreaterThanOrEqual(ts" in scan
