@@ -83,29 +83,29 @@ _PRICE_PROBS = {"p25": 0.25, "median": 0.5, "p75": 0.75}
 
 
 def price_stats(history: DataFrame, key: str = "dealer_name") -> DataFrame:
-    """Mean, min, max, sample deviation, mean +/- one deviation and exact quartiles."""
-    basic = history.groupBy(key).agg(
+    """Mean, min, max, sample deviation, mean +/- one deviation and exact quartiles.
+
+    The moments are computed in the same pass as the quantile sketches.
+    """
+    q = exact_percentiles(history, [key], "price", _PRICE_PROBS, extra=[
         F.avg("price").alias("mean_price"), F.min("price").alias("min_price"),
-        F.max("price").alias("max_price"), F.stddev_samp("price").alias("std_price"))
-    basic = basic.withColumns({
-        "price_band_low": F.col("mean_price") - F.col("std_price"),
-        "price_band_high": F.col("mean_price") + F.col("std_price")})
-    q = exact_percentiles(history, [key], "price", _PRICE_PROBS)
-    return basic.join(q, basic[key].eqNullSafe(q[key]), "inner").select(
-        basic[key], "mean_price", "min_price", "max_price", "std_price", "price_band_low",
-        "price_band_high", "p25", "median", "p75")
+        F.max("price").alias("max_price"), F.stddev_samp("price").alias("std_price")])
+    return q.select(
+        key, "mean_price", "min_price", "max_price", "std_price",
+        (F.col("mean_price") - F.col("std_price")).alias("price_band_low"),
+        (F.col("mean_price") + F.col("std_price")).alias("price_band_high"),
+        "p25", "median", "p75")
 
 
 def price_box_by_make(history: DataFrame, key: str = "dealer_name") -> DataFrame:
     """Box-plot inputs per (dealer, make): n, min, quartiles, max."""
-    basic = history.groupBy(key, "make").agg(
-        F.count("price").alias("n"), F.min("price").alias("min_price"),
-        F.max("price").alias("max_price"))
     q = exact_percentiles(history, [key, "make"], "price",
-                          {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    cond = [basic[key].eqNullSafe(q[key]), basic["make"].eqNullSafe(q["make"])]
-    return basic.join(q, cond, "inner").select(
-        basic[key], basic["make"], "n", "min_price", "q1", "median", "q3", "max_price")
+                          {"q1": 0.25, "median": 0.5, "q3": 0.75}, extra=[
+                              F.count("price").alias("n_values"),
+                              F.min("price").alias("min_price"),
+                              F.max("price").alias("max_price")])
+    return q.select(key, "make", F.col("n_values").alias("n"), "min_price", "q1", "median",
+                    "q3", "max_price")
 
 
 def purchase_timeline(history: DataFrame, key: str = "dealer_name") -> DataFrame:

@@ -39,11 +39,12 @@ def lerp(a, b, t):
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str,
-                      probs: dict[str, float]) -> DataFrame:
+                      probs: dict[str, float], extra=()) -> DataFrame:
     """One row per group of ``df``: ``keys`` plus one column per entry of ``probs``.
 
     NULL values are ignored; a group with no values gets NULL percentiles.
-    NULL keys form their own group.
+    NULL keys form their own group.  ``extra`` aggregate columns (aliased)
+    are computed in the same first pass and returned after the percentiles.
     """
     names = list(probs)
     v = F.col(value)
@@ -51,7 +52,8 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str,
     hi_p = [min(1.0, probs[k] + _EPS) for k in names]
     sketch = df.groupBy(*keys).agg(
         F.count(v).alias("n"),
-        F.percentile_approx(v, lo_p + hi_p, ACCURACY).alias("approx"))
+        F.percentile_approx(v, lo_p + hi_p, ACCURACY).alias("approx"), *extra)
+    extra_names = [c for c in sketch.columns if c not in (*keys, "n", "approx")]
     big = F.col("n") > F.lit(2 * ACCURACY)
     targets = sketch.select(*keys, "n", F.inline(F.array(*[
         F.struct(F.lit(name).alias("q"), F.lit(float(probs[name])).alias("p"),
@@ -98,6 +100,6 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str,
     value_at = lerp(F.col("x1"), F.col("x2"), F.col("h") - F.col("r1"))
     wide = chosen.select(*keys, "q", value_at.alias("value")) \
         .groupBy(*keys).pivot("q", names).agg(F.first("value"))
-    groups = sketch.select(*keys)
+    groups = sketch.select(*keys, *extra_names)
     return groups.join(wide, [groups[k].eqNullSafe(wide[k]) for k in keys], "left") \
-        .select(*[groups[k] for k in keys], *names)
+        .select(*[groups[k] for k in keys], *names, *[groups[c] for c in extra_names])
