@@ -99,39 +99,77 @@ class _Days:
         span = F.datediff(F.max(F.when(cond, self.d)), F.min(F.when(cond, self.d)))
         return safe_div(span, self.events(cond) - F.lit(1))
 
-    def per_month(self, cond: Column) -> Column:
-        months = F.size(F.collect_set(F.when(cond, F.trunc(self.d, "MM"))))
-        return F.round(safe_div(self.days(cond), months), 2)
 
+def _month_rollup(days: DataFrame, as_of) -> DataFrame:
+    """Day rows to one row per (dealer, kind, month) with per-window partials.
 
-def dealer_metrics_by_code(requests: DataFrame, as_of) -> DataFrame:
-    """All cadence metrics for every dealer code with a Buy Now event."""
+    For each window: days with events, events, first and last day.  A month
+    counts for a window's per-month rate when it has a day in that window.
+    """
     k = _Days(as_of)
-    last = k.last(k.p)
-    last_prev = k.last(k.p & k.wp60)
-    return buy_now_day_counts(requests).groupBy("dealer_code").agg(
-        k.mean_gap(k.p).alias("lifetime_avg_days_between_purchases"),
-        k.mean_gap(k.p & k.w60).alias("sixty_day_avg_days_between_purchases"),
-        k.mean_gap(k.p & k.wp60).alias("previous_sixty_day_avg_days_between_purchases"),
-        k.mean_gap(k.r).alias("lifetime_avg_days_between_requests"),
-        k.mean_gap(k.r & k.w60).alias("sixty_day_avg_days_between_requests"),
-        last.alias("last_purchase_date"),
-        F.datediff(F.lit(as_of), last).cast("bigint").alias("days_since_last_purchase"),
-        last_prev.alias("last_purchase_date_previous_60d"),
-        F.datediff(days_before(as_of, DAYS_60), last_prev).cast("bigint")
+    windows = {"l": F.lit(True), "s": k.w60, "p": k.wp60, "t": k.w30}
+    parts = []
+    for w, cond in windows.items():
+        parts += [F.count(F.when(cond, F.lit(1))).alias(f"days_{w}"),
+                  F.sum(F.when(cond, F.col("n"))).alias(f"events_{w}"),
+                  F.min(F.when(cond, k.d)).alias(f"first_{w}"),
+                  F.max(F.when(cond, k.d)).alias(f"last_{w}")]
+    return days.groupBy("dealer_code", "kind", F.trunc(k.d, "MM").alias("month")).agg(*parts)
+
+
+def dealer_metrics_by_code(requests: DataFrame, as_of) -> DataFrame:
+    """All cadence metrics for every dealer code with a Buy Now event.
+
+    Three hash aggregates, each over the previous one's much smaller output:
+    (dealer, kind, day) -> (dealer, kind, month) -> dealer.  All stay
+    code-generated hash aggregates (no collect or count-distinct expansion).
+    """
+    months = _month_rollup(buy_now_day_counts(requests), as_of)
+    p = F.col("kind") == F.lit(PURCHASE)
+    r = F.col("kind") == F.lit(REQUEST)
+
+    def days(kind, w):
+        return F.sum(F.when(kind, F.col(f"days_{w}"))).cast("bigint")
+
+    def events(kind, w):
+        return F.sum(F.when(kind, F.col(f"events_{w}")))
+
+    def first(kind, w):
+        return F.min(F.when(kind, F.col(f"first_{w}")))
+
+    def last(kind, w):
+        return F.max(F.when(kind, F.col(f"last_{w}")))
+
+    def mean_gap(kind, w):
+        return safe_div(F.datediff(last(kind, w), first(kind, w)), events(kind, w) - F.lit(1))
+
+    def per_month(kind, w):
+        n_months = F.count(F.when(kind & (F.col(f"days_{w}") > 0), F.lit(1)))
+        return F.round(safe_div(F.coalesce(days(kind, w), F.lit(0)), n_months), 2)
+
+    return months.groupBy("dealer_code").agg(
+        mean_gap(p, "l").alias("lifetime_avg_days_between_purchases"),
+        mean_gap(p, "s").alias("sixty_day_avg_days_between_purchases"),
+        mean_gap(p, "p").alias("previous_sixty_day_avg_days_between_purchases"),
+        mean_gap(r, "l").alias("lifetime_avg_days_between_requests"),
+        mean_gap(r, "s").alias("sixty_day_avg_days_between_requests"),
+        last(p, "l").alias("last_purchase_date"),
+        F.datediff(F.lit(as_of), last(p, "l")).cast("bigint").alias("days_since_last_purchase"),
+        last(p, "p").alias("last_purchase_date_previous_60d"),
+        F.datediff(days_before(as_of, DAYS_60), last(p, "p")).cast("bigint")
         .alias("days_since_last_purchase_previous_60d"),
-        k.days(k.p).alias("total_purchases_lifetime"),
-        k.days(k.p & k.w60).alias("total_purchases_60d"),
-        k.days(k.p & k.wp60).alias("total_purchases_previous_60d"),
-        k.days(k.r).alias("total_requests_lifetime"),
-        k.days(k.r & k.w60).alias("total_requests_60d"),
-        k.per_month(k.p).alias("avg_purchases_per_month_lifetime"),
-        k.per_month(k.p & k.w60).alias("avg_purchases_per_month_60d"),
-        k.per_month(k.p & k.wp60).alias("avg_purchases_per_month_previous_60d"),
-        k.per_month(k.r).alias("avg_requests_per_month_lifetime"),
-        k.per_month(k.r & k.w60).alias("avg_requests_per_month_60d"),
-        k.events(k.p & k.w30).alias("sold_cars_30d"),
-        k.events(k.r & k.w30).alias("buy_requests_30d"))
+        days(p, "l").alias("total_purchases_lifetime"),
+        days(p, "s").alias("total_purchases_60d"),
+        days(p, "p").alias("total_purchases_previous_60d"),
+        days(r, "l").alias("total_requests_lifetime"),
+        days(r, "s").alias("total_requests_60d"),
+        per_month(p, "l").alias("avg_purchases_per_month_lifetime"),
+        per_month(p, "s").alias("avg_purchases_per_month_60d"),
+        per_month(p, "p").alias("avg_purchases_per_month_previous_60d"),
+        per_month(r, "l").alias("avg_requests_per_month_lifetime"),
+        per_month(r, "s").alias("avg_requests_per_month_60d"),
+        events(p, "t").alias("sold_cars_30d"),
+        events(r, "t").alias("buy_requests_30d"))
 
 
 def dealer_metrics(requests: DataFrame, dealers: DataFrame, as_of) -> DataFrame:
