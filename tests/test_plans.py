@@ -15,18 +15,20 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_no_python_udf_anywhere(spark):
+def test_no_python_udf_and_no_cartesian_product_anywhere(spark):
     for name, query in queries().items():
         plan = _plan(query(spark, SMALL))
         assert "PythonUDF" not in plan and "ArrowEvalPython" not in plan \
             and "BatchEvalPython" not in plan, name
+        assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan, name
 
 
 def test_segmentation_scans_the_request_fact_once(spark):
     plan = _plan(queries()["dealer_segmentation"](spark, SMALL))
     assert plan.count("lineitem.parquet") == 1
-    # map-side partial aggregation below the first shuffle
+    # map-side partial aggregation below the first shuffle, code-generated aggregates only
     assert "partial_count" in plan
+    assert "ObjectHashAggregate" not in plan and "Expand" not in plan
 
 
 def test_latest_requests_limit_before_shuffle(spark):
@@ -34,12 +36,6 @@ def test_latest_requests_limit_before_shuffle(spark):
     assert "WindowGroupLimit" in plan
 
 
-def test_no_cartesian_products(spark):
-    for name, query in queries().items():
-        plan = _plan(query(spark, SMALL))
-        assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan, name
-
-
 def test_dealer_filter_reaches_the_scan(spark):
     from lotwise.operators import activity
     from lotwise.sources.fixtures import AS_OF_EVENTS, fixture_tables
