@@ -146,9 +146,11 @@ def _cells(cars: DataFrame) -> DataFrame:
 
 
 def _cell_ranges(cells: DataFrame) -> DataFrame:
-    """Per cell: smallest and largest mileage (NULL when no car has one)."""
-    return cells.groupBy("cell").agg(F.min("kilometers").alias("km_lo"),
-                                     F.max("kilometers").alias("km_hi"))
+    """Per cell: car count, smallest and largest mileage, and whether a car lacks one."""
+    return cells.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("size"), F.min("kilometers").alias("km_lo"),
+        F.max("kilometers").alias("km_hi"),
+        (F.count(F.lit(1)) > F.count("kilometers")).alias("km_missing"))
 
 
 def _finish_cells(cells: DataFrame, base: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
@@ -164,8 +166,13 @@ def _finish_cells(cells: DataFrame, base: DataFrame, ranges: DataFrame, key: str
     cells = cells.withColumn("cell", cell).join(ranges, "cell")
     nearest = F.least(F.greatest(F.col("km_mean"), F.col("km_lo")), F.col("km_hi"))
     k_best = range_score(nearest, F.col("km_mean"), F.col("km_std"))
+    # the mileage score only falls away from the mean, so its minimum over the
+    # cell is at one end of the range, or 0 if some car has no mileage
+    k_worst = F.when(F.col("km_missing"), F.lit(0.0)).otherwise(F.least(
+        range_score(F.col("km_lo"), F.col("km_mean"), F.col("km_std")),
+        range_score(F.col("km_hi"), F.col("km_mean"), F.col("km_std"))))
     return cells.select(key, "cell", fixed.alias("fixed"), (fixed + k_best).alias("bound"),
-                        "km_mean", "km_std")
+                        (fixed + k_worst).alias("floor"), "size", "km_mean", "km_std")
 
 
 def _pair_cells(stats, makes, models, cars, ranges, key) -> DataFrame:
@@ -305,13 +312,14 @@ def recommend_cars(history: DataFrame, live: DataFrame, top_k: int = DEFAULT_TOP
     history get no rows, as on the dashboard.  Exact: the candidate set
     provably contains every dealer's top k (module doc).
 
-    Two rounds keep the candidate set small.  First the cells of the
-    dealer's bought (make, model) pairs with the highest constant part are
-    searched, in that order until they hold k cars, which gives ``tau``, a
-    lower bound of the dealer's k-th best score.  Then only cells whose best
-    possible score reaches ``tau`` are generated and searched; every other
-    cell holds only cars that score below k others.  A dealer whose pairs
-    hold fewer than k live cars has no ``tau`` and searches every cell.
+    Pruning keeps the candidate set small.  Each cell has a floor (the least
+    any of its cars can score) and a bound (the most).  Walking a dealer's
+    bought-pair cells by floor, ``tau`` is the floor at which they first hold
+    k cars, so k cars score at least ``tau``: a lower bound of the k-th best
+    score.  Only cells whose bound reaches ``tau`` are generated and
+    searched; every other cell holds only cars that score below k others.
+    A dealer whose pairs hold fewer than k live cars has no ``tau`` and
+    searches every cell.
     """
     # The profile tables and the live cars feed both rounds; they are small
     # (one row per dealer, make or car) and are materialised once with a
@@ -328,17 +336,14 @@ def recommend_cars(history: DataFrame, live: DataFrame, top_k: int = DEFAULT_TOP
     ranges = _cell_ranges(cells)
     pairs = _pair_cells(stats, makes, models, cars, ranges, key)
 
-    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size"))
-    best_first = Window.partitionBy(key).orderBy(F.col("fixed").desc(), "cell") \
+    # tau: walking the dealer's pair cells by their floor (the least any of
+    # their cars scores), the floor at which they first hold k cars; k cars
+    # score at least tau, so tau never exceeds the k-th best score.
+    by_floor = Window.partitionBy(key).orderBy(F.col("floor").desc(), "cell") \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seed_cells = pairs.join(sizes, "cell") \
-        .withColumn("_before", F.sum("size").over(best_first) - F.col("size")) \
-        .where(F.col("_before") < top_k).drop("_before", "size")
-    seeds = _top(_score(_candidates(seed_cells, cells, top_k, key), cars, stats, makes,
-                        models, key), top_k, key)
-    tau = seeds.groupBy(key).agg(
-        F.when(F.count(F.lit(1)) >= top_k, F.min("match_score")).alias("tau"))
-    tau = materialize(tau)
+    walked = pairs.withColumn("_held", F.sum("size").over(by_floor))
+    tau = materialize(walked.groupBy(key).agg(
+        F.max(F.when(F.col("_held") >= top_k, F.col("floor"))).alias("tau")))
     kept = _within(pairs, tau, key).unionByName(
         _other_cells(stats, makes, cars, ranges, tau, key))
 
