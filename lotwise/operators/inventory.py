@@ -49,12 +49,15 @@ def live_inventory(vehicle_history: DataFrame, requests: DataFrame, as_of) -> Da
     """Vehicles in today's snapshot that were never sold.
 
     ``date_key = as_of`` is a partition filter when the history is
-    partitioned by day.  Year and kilometers are coerced to numbers.
+    partitioned by day.  Year and kilometers are coerced to numbers and
+    ``date_key`` is returned as a (zone-less) timestamp, as the dashboard
+    converts it.
     """
     today = vehicle_history.where(F.col("date_key") == F.lit(as_of)) \
         .select(*LIVE_COLUMNS)
     live = not_in(today, sold_vehicle_names(requests), "sf_vehicle_name")
-    return live.withColumns({"year": to_number("year"), "kilometers": to_number("kilometers")}) \
+    return live.withColumns({"date_key": F.col("date_key").cast("timestamp_ntz"),
+                             "year": to_number("year"), "kilometers": to_number("kilometers")}) \
         .select(*LIVE_COLUMNS)
 
 
@@ -84,6 +87,8 @@ def purchase_history(requests: DataFrame, vehicle_history: DataFrame,
     even if the cost rows differ only in a column that is not returned (the
     DISTINCT runs over all five cost columns).  The two joins on
     ``vehicle_id`` come first so one shuffle of the sales serves both.
+    ``request_date`` (the sale day) is returned as a zone-less timestamp,
+    as the dashboard converts it.
     """
     sales = purchases(requests)
     logs = publishing_logs.select("vehicle_id", "minutes_published_for")
@@ -97,7 +102,7 @@ def purchase_history(requests: DataFrame, vehicle_history: DataFrame,
               .join(vehicles, "vehicle_id", "left")
               .join(cost, "car_name", "left"))
     return joined.select(
-        "request_date", "dealer_code",
+        F.col("request_date").cast("timestamp_ntz").alias("request_date"), "dealer_code",
         to_number(F.round(F.col("minutes_published_for") / F.lit(MINUTES_PER_DAY)))
         .alias("time_on_app"),
         to_number("price").alias("price"), "make", "model",
