@@ -115,3 +115,17 @@ def test_exact_percentiles_match_numpy(spark):
         for name, p in probs.items():
             want, have = _np_quantile(vals, p), getattr(got[k], name)
             assert (want is None and have is None) or have == want, (k, name, have, want)
+
+
+def test_shares_sum_to_100_and_scores_bounded(spark):
+    import os
+    from lotwise.plans.registry import queries
+    from conftest import SMALL
+    if not os.path.isdir(SMALL):
+        pytest.skip("fixture data missing")
+    q = queries()
+    for key in ("make_distribution", "model_distribution", "mileage_histogram"):
+        totals = q[key](spark, SMALL).groupBy("dealer_name").sum("share_pct").collect()
+        assert totals and all(t[1] is None or abs(t[1] - 100.0) < 1e-9 for t in totals), key
+    scores = [r.match_score for r in q["recommend_cars"](spark, SMALL).collect()]
+    assert scores and all(0.0 <= s <= 9.0 for s in scores)
