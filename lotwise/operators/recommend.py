@@ -155,9 +155,12 @@ def _cell_ranges(cells: DataFrame) -> DataFrame:
 
 def _finish_cells(cells: DataFrame, base: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
     """Add the cell key, ``fixed`` (make/model score plus year score, constant in
-    the cell) and ``bound``: ``fixed`` plus the best mileage score any car of
-    the cell can get, reached at the dealer's mean clamped into the cell's
-    mileage range (cars without mileage score 0)."""
+    the cell), ``bound`` and ``floor``: ``fixed`` plus the best and the worst
+    mileage score a car of the cell can get.  The best is reached at the
+    dealer's mean clamped into the cell's mileage range, the worst at one
+    end of it (0 if a car has no mileage).  Both are summed in the same order
+    as the car's own score, so every car of the cell scores within
+    ``[floor, bound]`` exactly."""
     cells = cells.join(base, key)
     fixed = F.col("a") + range_score(F.col("year"), F.col("year_mean"), F.col("year_std"))
     cell = (F.when(F.col("level") == 0, _key(F.lit("y"), F.col("year")))
