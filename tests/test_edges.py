@@ -119,3 +119,19 @@ def test_display_formats(spark):
     row = display.format_views(df).first()
     assert (row.time, row.buy_now_price, row.kilometrage) == \
         ("2024-01-02 03:04:05", "EGP 1,234,568", "N/A")
+
+
+def test_request_panels_columns_and_limit(spark):
+    from lotwise.operators.requests import latest_requests
+    rows = [{"dealer_code": "d", "request_status": s, "vehicle_request_created_at": day(i)}
+            for i, s in enumerate(["Succeeded", "Failed Before Visit", "Failed After Visit",
+                                   "Payment Log"] * 4)]
+    req = requests_frame(spark, rows)
+    widths = {"all": 19, "succeeded": 15, "failed_before": 14, "failed_after": 16}
+    for panel, width in widths.items():
+        out = latest_requests(req, panel)
+        assert len(out.columns) == width + 1, panel          # + request_rank
+    latest = latest_requests(req, "all").orderBy("request_rank").collect()
+    assert len(latest) == 10
+    assert latest[0].vehicle_request_created_at == day(0)    # newest first
+    assert [r.request_rank for r in latest] == list(range(1, 11))
