@@ -135,3 +135,24 @@ def test_request_panels_columns_and_limit(spark):
     assert len(latest) == 10
     assert latest[0].vehicle_request_created_at == day(0)    # newest first
     assert [r.request_rank for r in latest] == list(range(1, 11))
+
+
+def test_profile_without_history_reads_no_data(spark):
+    from lotwise.operators import segmentation
+    from helpers import sales
+    req = requests_frame(spark, sales("a", 5, 20, name="A"))
+    roster = spark.createDataFrame([("a", "A"), ("b", "B")], "dealer_code string, dealer_name string")
+    seg = segmentation.dealer_segmentation(req, roster, AS_OF, ordered=False)
+    act = spark.createDataFrame(
+        [("a", "A", 3, 9, 1, 2), ("b", "B", 1, 1, 0, 0)],
+        "dealer_code string, dealer_name string, active_days_30d long, "
+        "total_car_events_30d long, active_days_7d long, total_car_events_7d long")
+    hist = spark.createDataFrame(
+        [("A", "M", "X", 2020.0, 60000.0, 100.0), ("A", "M", "Y", 2021.0, 0.0, 300.0)],
+        "dealer_name string, make string, model string, year double, kilometers double, "
+        "price double")
+    rows = {r.dealer_name: r for r in profile.dealer_profile(seg, act, hist).collect()}
+    assert rows["B"].top_makes == "No data" and rows["B"].n_makes is None
+    assert rows["A"].top_makes == "M (2)" and rows["A"].n_models == 2
+    assert rows["A"].top_mileage == "50K-100K (1), 0-50K (0)"
+    assert rows["A"].price_range == "EGP 59 - 341"
