@@ -39,9 +39,11 @@ def not_in(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
     size), and the two NULL rules come from one scalar aggregate over the
     right side: NULL when it is empty, 0 when it holds a NULL, else 1.
     """
-    distinct = right.select(column).where(F.col(column).isNotNull()).distinct()
-    state = right.select(F.min(F.when(F.col(column).isNull(), 0).otherwise(1))).scalar()
-    kept = left.join(distinct, column, "left_anti")
+    # one distinct aggregate (NULL group included) feeds both the anti join and
+    # the scalar check, so Spark reuses its exchange instead of reading twice
+    names = right.select(column).distinct()
+    state = names.select(F.min(F.when(F.col(column).isNull(), 0).otherwise(1))).scalar()
+    kept = left.join(names.where(F.col(column).isNotNull()), column, "left_anti")
     return kept.where(state.isNull() | ((state == F.lit(1)) & F.col(column).isNotNull()))
 
 
