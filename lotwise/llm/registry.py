@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from lotwise.llm import exact_dedup, mixing, packing
+from lotwise.llm import exact_dedup, minhash_dedup, mixing, packing, suffix_dedup
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op4_mixing": mixing.op4_mixing,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_minhash_dedup": minhash_dedup.op6_minhash_dedup,
     "op10_packing": packing.op10_packing,
 }
 
