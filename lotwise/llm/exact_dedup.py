@@ -73,9 +73,10 @@ def new_index(spark: SparkSession) -> DigestIndex:
 def verdicts(rows: DataFrame, index: DigestIndex) -> DataFrame:
     """One row per document with the copy that stays, looked up in the index.
 
-    The lookup joins on the digest; AQE splits the digest of a large group.
+    The lookup reads the index's files without their buckets and shuffles both
+    sides, so that AQE can split the digest of a large group.
     """
-    found = rows.alias("r").join(index.read().alias("g"), "digest")
+    found = rows.join(index.spark.read.parquet(index.path), "digest")
     each = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return each.select(
         "doc_id", "keep_id", "group_size",
