@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from lotwise.llm import exact_dedup, minhash_dedup, mixing, packing, suffix_dedup
+from lotwise.llm import exact_dedup, html_text, minhash_dedup, mixing, packing, quality_rules, suffix_dedup, url_filter, warc_zip
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
+    "op2_warc": warc_zip.op2_warc,
+    "op3_url_filter": url_filter.op3_url_filter,
     "op4_mixing": mixing.op4_mixing,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_minhash_dedup": minhash_dedup.op6_minhash_dedup,
+    "op7_html_text": html_text.op7_html_text,
+    "op8_quality_rules": quality_rules.op8_quality_rules,
     "op10_packing": packing.op10_packing,
 }
 
 ORACLE_SQL = {
+    "op2_warc": warc_zip.OP2_SQL,
     "op4_mixing": mixing.OP4_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
 }
