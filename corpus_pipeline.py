@@ -1,18 +1,35 @@
-"""The corpus pipeline over ``documents``."""
+"""The corpus pipeline: documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept,
+and returns a frame that is written as Parquet and read again.  All but the last
+return the columns of ``documents``; the last returns the packing plan, one row
+per piece.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotwise.llm import exact_dedup, mixing, packing
+from lotwise.llm import exact_dedup, minhash_dedup, mixing, packing, quality_classifier
 from lotwise.llm.tables import cut, table
 
 
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    model = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
+    return quality_classifier.keep_good(docs, model)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
     return exact_dedup.keep_unique(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return minhash_dedup.keep_one(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in training order, repeated or left out to meet the targets."""
     return mixing.training_rows(docs)
@@ -23,7 +40,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
-STAGES = [("exact dedup", exact), ("mixing", mix), ("packing", pack)]
+STAGES = [("quality classifier", classify), ("exact dedup", exact), ("minhash near-dedup", near),
+          ("mixing", mix), ("packing", pack)]
 
 #: SQL cannot express the classifier, MinHash and packing stages.
 ORACLE_SQL = None
@@ -32,7 +50,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each reads what the one before wrote."""
     docs = table(spark, sf_dir, "documents")
-    for number, (name, stage) in enumerate(STAGES, 1):
+    for number, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES):
             docs = cut(docs, f"stage-{number}")

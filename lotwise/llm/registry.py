@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from lotwise.llm import exact_dedup, html_text, minhash_dedup, mixing, packing, quality_rules, suffix_dedup, url_filter, warc_zip
+from lotwise.llm import (
+    exact_dedup,
+    html_text,
+    minhash_dedup,
+    mixing,
+    packing,
+    quality_classifier,
+    quality_rules,
+    suffix_dedup,
+    url_filter,
+    warc_zip,
+)
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -13,6 +24,7 @@ QUERIES = {
     "op6_minhash_dedup": minhash_dedup.op6_minhash_dedup,
     "op7_html_text": html_text.op7_html_text,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_packing": packing.op10_packing,
 }
 
