@@ -16,6 +16,8 @@ null ids are packed like any other row; an empty table gives no pieces.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 
 import numpy as np
@@ -34,33 +36,55 @@ PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 PACKED = PIECES + ", sequence_id long, offset long"
 
 
+# Punctuation that the pre-tokeniser parts from a letter or digit
+# before it; no apostrophes, since contractions are words of their own.
+TAIL = re.compile(rb"(?<=[a-z0-9])([.,;:!?*#%&$|]+)(?=[ \t\n\r\x0b\x0c]|\Z)")
+
+
 class WordTokenizer:
     """Token ids of a text, word by word, with a bounded cache of words.
 
-    The vocabulary's pre-tokeniser never joins characters across ASCII white
-    space and drops it, so the ids of a text are those of its words in turn.
-    Ids are little-endian unsigned 32-bit bytes.
+    The vocabulary lower-cases texts, and its pre-tokeniser never joins
+    characters across ASCII white space, nor letters or digits with a run of
+    punctuation; white space is dropped.  So the ids of a text are those of its
+    lower-cased words and of the punctuation after them, in turn.  Texts with
+    the opening of a special token are encoded whole.  Ids are little-endian
+    unsigned 32-bit bytes.
     """
 
     def __init__(self, path: str, cached_words: int = CACHED_WORDS):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
         self._tokenizer = Tokenizer.from_file(path)
         self._limit = cached_words
         self._cache: dict[bytes, bytes] = {}
 
+    def whole(self, text: bytes) -> bytes:
+        ids = self._tokenizer.encode(text.decode("utf-8"), add_special_tokens=False).ids
+        return np.asarray(ids, "<u4").tobytes()
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Cache the words' ids: one encoding of all of them, cut at their places."""
+        plain = [w.decode("utf-8") for w in words]
+        coded = self._tokenizer.encode(" ".join(plain), add_special_tokens=False)
+        starts = np.cumsum([0] + [len(w) + 1 for w in plain])
+        at = np.fromiter((o[0] for o in coded.offsets), np.int64, len(coded.ids))
+        ids = np.asarray(coded.ids, "<u4").tobytes()
+        cuts = (4 * np.searchsorted(at, starts)).tolist()
+        self._cache.update((w, ids[a:b]) for w, a, b in zip(words, cuts, cuts[1:]))
+
     def ids(self, text: bytes) -> bytes:
-        words = text.split()
-        try:
-            return b"".join([self._cache[w] for w in words])
-        except KeyError:
-            pass
-        missing = list({w for w in words if w not in self._cache})
-        if len(self._cache) + len(missing) > self._limit:
-            self._cache.clear()
-            missing = list(set(words))
-        coded = self._tokenizer.encode_batch([w.decode("utf-8") for w in missing], add_special_tokens=False)
-        self._cache.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(missing, coded))
-        return b"".join([self._cache[w] for w in words])
+        if b"<|" in text:
+            return self.whole(text)
+        words = TAIL.sub(rb" \1", text.lower()).split()
+        cache = self._cache
+        missing = [w for w in dict.fromkeys(words) if w not in cache]
+        if missing:
+            if len(cache) + len(missing) > self._limit:
+                cache.clear()
+                missing = list(dict.fromkeys(words))
+            self._learn(missing)
+        return b"".join([cache[w] for w in words])
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
