@@ -76,7 +76,8 @@ def verdicts(rows: DataFrame, index: DigestIndex) -> DataFrame:
     The lookup reads the index's files without their buckets and shuffles both
     sides, so that AQE can split the digest of a large group.
     """
-    found = rows.join(index.spark.read.parquet(index.path), "digest")
+    files = index.spark.read.schema(index.read().schema).parquet(index.path)
+    found = rows.join(files, "digest")
     each = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return each.select(
         "doc_id", "keep_id", "group_size",

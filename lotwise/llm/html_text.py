@@ -148,7 +148,7 @@ class Page:
     def _pop_to(self, depth: int) -> None:
         while len(self._stack) > depth:
             element = self._stack[-1]
-            if element.name in BLOCK or element.main or element.dropped:
+            if element.name in BLOCK or element.name in MAIN:
                 self._flush()
             self._stack.pop()
             hash_ = xxhash.xxh3_64_intdigest("\x00".join(element.parts))

@@ -126,7 +126,7 @@ def curriculum(sized: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: i
     rows = rows.withColumn("taken", F.col("full") * F.col("size") + F.col("rest"))
 
     def position(number: Column) -> Column:
-        share = (number * F.col("source_size") + F.col("before")) / F.col("target")
+        share = (number * F.col("source_size") + F.col("before")) / F.nullif(F.col("target"), F.lit(0.0))
         by_class = [F.when(F.col("class") == i, training_time(share, knots))
                     for i, knots in enumerate(schedules)]
         return F.col("total") * F.coalesce(*by_class)
