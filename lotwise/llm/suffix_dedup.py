@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,8 +42,10 @@ from lotwise.llm.tables import cut, table
 
 LENGTH = 400
 SEED = 100
-GROUP_LIMIT = 4096
-SORT_BYTES = 8 << 20
+GROUP_LIMIT = 2048
+#: Bytes of text that a task hashes or sorts at once.
+SEGMENT_BYTES = 1 << 20
+SORT_BYTES = 2 << 20
 
 CHUNKS = "id string, h long, p0 long, nw long, at long, anchor long, content long"
 SPANS = "id string, h long, begin long, end long"
@@ -75,6 +78,17 @@ def anchored_chunks(buf: np.ndarray, off: np.ndarray, length: int, seed: int):
     return (docs[first], starts[first], np.diff(np.append(first, total)), at[first], grams[at[first]])
 
 
+def segments(offsets: np.ndarray, length: int, limit: int = SEGMENT_BYTES):
+    """(first document, last + 1, first byte, last + 1) of each segment of a batch."""
+    for lo, hi in T.slices(offsets, limit):
+        begin, end = int(offsets[lo]), int(offsets[hi])
+        if end - begin <= limit:
+            yield lo, hi, begin, end
+        else:  # one long text
+            for part in range(begin, max(begin + 1, end - length + 1), limit):
+                yield lo, hi, part, min(end, part + limit + length - 1)
+
+
 def chunk_rows(docs: DataFrame, length: int, seed: int) -> DataFrame:
     """The chunks of every document, without their text."""
 
@@ -82,18 +96,20 @@ def chunk_rows(docs: DataFrame, length: int, seed: int) -> DataFrame:
         for batch in batches:
             ids, hashes = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
             data, offsets = T.binary(batch.column(2))
-            for lo, hi in T.slices(offsets):
-                off = offsets[lo:hi + 1] - offsets[lo]
-                buf = data[offsets[lo]:offsets[hi]]
+            for lo, hi, begin, end in segments(offsets, length):
+                # a text longer than a segment comes in parts that overlap, so
+                # that each window lies in one of them
+                buf = data[begin:end]
+                off = np.clip(offsets[lo:hi + 1], begin, end) - begin
                 doc, start, windows, at, anchor = anchored_chunks(buf, off, length, seed)
                 view = memoryview(buf)
                 content = np.fromiter(
                     (xxhash.xxh3_64_intdigest(view[a:b]) for a, b in
                      zip(start.tolist(), (start + windows - 1 + length).tolist())), np.uint64, len(start))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(doc + lo)), pa.array(hashes[doc + lo]), pa.array(start - off[doc]),
-                     pa.array(windows), pa.array(at - start), pa.array(anchor.view(np.int64)),
-                     pa.array(content.view(np.int64))],
+                    [ids.take(pa.array(doc + lo)), pa.array(hashes[doc + lo]),
+                     pa.array(start + begin - offsets[doc + lo]), pa.array(windows), pa.array(at - start),
+                     pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64))],
                     ["id", "h", "p0", "nw", "at", "anchor", "content"])
 
     return docs.mapInArrow(run, CHUNKS)
@@ -234,6 +250,18 @@ def _spans(owner: np.ndarray, number: np.ndarray):
     return owner[first], number[first], number[np.append(first[1:], len(owner)) - 1]
 
 
+def anchor_ends(rows: pa.Table) -> list[int]:
+    """Where to cut rows sorted by anchor: between anchors, about every ``SORT_BYTES``."""
+    anchor = rows.column("anchor").to_numpy()
+    size = np.cumsum(pc.binary_length(rows.column("bytes")).to_numpy())
+    ends, done = [], 0
+    for change in (np.flatnonzero(anchor[1:] != anchor[:-1]) + 1).tolist():
+        if size[change - 1] - done >= SORT_BYTES:
+            ends.append(change)
+            done = int(size[change - 1])
+    return ends
+
+
 def sorted_spans(chunks: DataFrame, length: int) -> DataFrame:
     """Repeated stretches among chunks that hold their bytes, anchor by anchor."""
 
@@ -257,14 +285,16 @@ def sorted_spans(chunks: DataFrame, length: int) -> DataFrame:
             if sum(b.nbytes for b in held) < SORT_BYTES:
                 continue
             rows = pa.Table.from_batches(held)
-            anchor = rows.column("anchor").to_numpy()
-            change = np.flatnonzero(anchor[1:] != anchor[:-1])
-            if len(change):  # the last anchor may go on in the next batch
-                whole = int(change[-1]) + 1
-                yield solve(rows.slice(0, whole))
-                held = rows.slice(whole).combine_chunks().to_batches()
+            ends = anchor_ends(rows)
+            for lo, hi in zip([0, *ends], ends):
+                yield solve(rows.slice(lo, hi - lo))
+            if ends:  # the last anchor may go on in the next batch
+                held = rows.slice(ends[-1]).combine_chunks().to_batches()
         if held:
-            yield solve(pa.Table.from_batches(held))
+            rows = pa.Table.from_batches(held)
+            ends = [*anchor_ends(rows), len(rows)]
+            for lo, hi in zip([0, *ends], ends):
+                yield solve(rows.slice(lo, hi - lo))
 
     return (chunks.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, SPANS))
 

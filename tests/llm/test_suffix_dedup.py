@@ -49,6 +49,22 @@ def test_matches_brute_force(spark, limit):
     assert sum(w[1] for w in want) > 100
 
 
+def test_small_segments_and_sorts_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SORT_BYTES", 200)
+    offsets = np.array([0, 5, 5, 300, 1000, 1010])
+    parts = list(suffix_dedup.segments(offsets, 20, limit=100))
+    seen = sorted(p for lo, hi, a, b in parts for d in range(lo, hi)
+                  for p in range(max(a, offsets[d]), min(b, offsets[d + 1]) - 19))
+    assert seen == [p for a, b in zip(offsets, offsets[1:]) for p in range(a, b - 19)]
+    monkeypatch.setattr(suffix_dedup.segments, "__defaults__", (150,))
+    texts = corpus(9) + ["".join(random.Random(8).choice("ab ") for _ in range(900))] * 2
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = remove_repeats(docs, length=20, seed=6).collect()
+    want = brute([(t or "").encode() for t in texts], 20)
+    assert sorted((int(r.id), r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == [
+        (i, *w) for i, w in enumerate(want)]
+
+
 def test_suffixes_sort_like_bytes():
     rng = np.random.default_rng(1)
     buf = rng.integers(97, 99, 3000).astype(np.uint8)
