@@ -8,29 +8,28 @@ Score of a live car for a dealer (0 to 9):
   deviation of the dealer's purchases, 0 when the deviation is missing or 0
   or the car's value is missing.
 
-The dashboard scores every live car for one selected dealer.  For all
-dealers at once that is a dealers x cars product, so this module returns the
-exact ``top_k`` cars of every dealer (ties by vehicle name) without forming
-that product.  The argument:
-
-1. A car whose make the dealer never bought scores ``Y + K``; every other car
-   scores at least its ``Y + K``.  So an unmatched car in the top k is among
-   the top k of *all* cars by ``(Y + K, name)``.  The same argument inside a
-   make (model score 0 for unbought models) and inside a bought (make,
-   model) pair bounds the rest.  Candidates therefore come from "cells":
-   (year), (make, year) for bought makes and (make, model, year) for bought
-   pairs, where the make and model parts of the score are constant.
-2. Inside a cell only ``K`` varies, and it only falls as ``|km - mean|``
-   grows, until it is 0 beyond two deviations.  The cell's top k by
-   ``(K, name)`` is among (a) the k nearest cars by ``(|km - mean|, name)``
-   and (b) the cell's k first names (the fill when fewer than k cars have
-   ``K > 0``).  (a) is found from the cell's distinct mileage values
-   ordered by km: the dealer's insertion index comes from one sorted pass
-   over points and dealer queries, and the k values on each side, each
-   with its k first names, are looked up by index.
-
-Candidates per dealer are at most ``cells x (2k^2 + k)``; cells per dealer
-are bounded by the distinct years times (1 + bought makes + bought pairs).
+``recommend_for_dealer`` ranks every live car for one dealer, as the dashboard
+does.  ``recommend_cars`` reports the exact first ``top_k`` cars of every dealer
+(ties by the car's columns) without forming dealers x cars.  The argument:
+
+1. Let Y and K be the year and mileage scores.  The make and model scores of
+   all cars of a bought (make, model) are equal; those of a bought make are at
+   least the make's; all others are at least 0.  So a car is scored with a set
+   S of cars that score at least as much besides Y + K: its (make, model), its
+   make, or all cars.
+2. If Y > 0, only the cars of S of the same year matter: each scores at least
+   as much besides K, so a car in the dealer's top k is among the first k of
+   that year by (K, car).  If Y = 0, every car of S scores at least as much
+   besides K, so the car is among the first k of S by (K, car).
+3. "Cells" are therefore (), (year), (make), (make, year), (make, model) and
+   (make, model, year).  In a cell K only falls as ``|km - mean|`` grows, so
+   its first k by (K, car) are among the k nearest mileages on each side (each
+   with its first k cars) and the cell's first k cars, which fill up when
+   fewer than k cars have K > 0.
+
+A cell's mileages are held in buckets of ``KM_WIDTH``; a directory of bucket
+sizes tells which neighbouring buckets a dealer needs.  Cells and cars are
+compared as structs, field by field, never as joined text.
 """
 
 from __future__ import annotations
@@ -48,8 +47,13 @@ MODEL_WEIGHT = 2
 RANGE_POINTS = 2            # year and mileage scores are clamped to [0, 2]
 # -------------------------------------------------
 
-DEFAULT_TOP_K = 10
-_NULL_KEY = "\u0000"        # stands for a NULL make/model inside cell keys
+KM_WIDTH = 500              # kilometers per mileage bucket of a cell
+KM_BUCKETS = 1000           # mileages beyond this many buckets share the last
+YEARS = (1899, 2101)        # years outside count as these two when dealt out
+SALTS = 16
+SLACK = 1e-9                # float margin of the pruning comparisons
+
+CAR = ("sf_vehicle_name", "make", "model", "year", "kilometers")
 
 
 def dealer_stats(history: DataFrame, key: str = "dealer_name") -> DataFrame:
@@ -60,27 +64,6 @@ def dealer_stats(history: DataFrame, key: str = "dealer_name") -> DataFrame:
         F.avg("kilometers").alias("km_mean"), F.stddev_samp("kilometers").alias("km_std"))
 
 
-def make_scores(history: DataFrame, key: str = "dealer_name") -> DataFrame:
-    stats = dealer_stats(history, key).select(key, "n_purchases")
-    made = history.where(F.col("make").isNotNull()).groupBy(key, "make") \
-        .agg(F.count(F.lit(1)).alias("make_purchases"))
-    return made.join(stats, key).select(
-        key, "make", "make_purchases",
-        (F.col("make_purchases") / F.col("n_purchases") * F.lit(MAKE_WEIGHT))
-        .alias("make_score"))
-
-
-def model_scores(history: DataFrame, key: str = "dealer_name") -> DataFrame:
-    """Per (dealer, make, model); the denominator counts NULL-model rows too."""
-    makes = make_scores(history, key).select(key, "make", "make_purchases")
-    models = history.where(F.col("make").isNotNull() & F.col("model").isNotNull()) \
-        .groupBy(key, "make", "model").agg(F.count(F.lit(1)).alias("model_purchases"))
-    return models.join(makes, [key, "make"]).select(
-        key, "make", "model", "model_purchases",
-        (F.col("model_purchases") / F.col("make_purchases") * F.lit(MODEL_WEIGHT))
-        .alias("model_score"))
-
-
 def _scores_from_counts(stats: DataFrame, pair_counts: DataFrame, key: str):
     """Make and model scores from per-(dealer, make, model) counts (small tables)."""
     made = pair_counts.where(F.col("make").isNotNull()).groupBy(key, "make") \
@@ -124,171 +107,106 @@ def range_score(value: Column, mean: Column, std: Column) -> Column:
     return F.when(std > 0, F.coalesce(clamped, F.lit(0.0))).otherwise(F.lit(0.0))
 
 
-def _key(*cols) -> Column:
-    """Exact composite key (NULL-safe text) for cells and cars."""
-    return F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit(_NULL_KEY)) for c in cols])
+def _cell(level: int, make: Column | None = None, model: Column | None = None,
+          year: Column | None = None) -> Column:
+    """A cell's key: a struct, so that NULLs and any text compare field by field."""
+    none = F.lit(None)
+    return F.struct(F.lit(level).alias("level"),
+                    (none if make is None else make).cast("string").alias("make"),
+                    (none if model is None else model).cast("string").alias("model"),
+                    (none if year is None else year).cast("double").alias("year"))
+
+
+def _km_bucket(km: Column) -> Column:
+    return F.least(F.greatest(F.floor(km / F.lit(KM_WIDTH)), F.lit(-1)), F.lit(KM_BUCKETS))
 
 
 def _live_cars(live: DataFrame) -> DataFrame:
-    """Distinct live cars with their multiplicity and an exact identifier."""
-    cols = ["sf_vehicle_name", "make", "model", "year", "kilometers"]
-    cars = live.groupBy(*cols).agg(F.count(F.lit(1)).alias("copies"))
-    return cars.withColumn("car_id", _key(*[F.col(c) for c in cols]))
-
-
-def _cells(cars: DataFrame) -> DataFrame:
-    """Every car in its three cells: (year), (make, year), (make, model, year)."""
-    y, mk, md = F.col("year"), F.col("make"), F.col("model")
-    return cars.select("car_id", "sf_vehicle_name", "kilometers", F.inline(F.array(
-        F.struct(F.lit(0).alias("level"), _key(F.lit("y"), y).alias("cell")),
-        F.struct(F.lit(1).alias("level"), _key(F.lit("my"), mk, y).alias("cell")),
-        F.struct(F.lit(2).alias("level"), _key(F.lit("mmy"), mk, md, y).alias("cell")))))
-
-
-def _cell_ranges(cells: DataFrame) -> DataFrame:
-    """Per cell: car count, smallest and largest mileage, and whether a car lacks one."""
-    return cells.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("size"), F.min("kilometers").alias("km_lo"),
-        F.max("kilometers").alias("km_hi"),
-        (F.count(F.lit(1)) > F.count("kilometers")).alias("km_missing"))
-
-
-def _finish_cells(cells: DataFrame, base: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
-    """Add the cell key, ``fixed`` (make/model score plus year score, constant in
-    the cell), ``bound`` and ``floor``: ``fixed`` plus the best and the worst
-    mileage score a car of the cell can get.  The best is reached at the
-    dealer's mean clamped into the cell's mileage range, the worst at one
-    end of it (0 if a car has no mileage).  Both are summed in the same order
-    as the car's own score, so every car of the cell scores within
-    ``[floor, bound]`` exactly."""
-    cells = cells.join(base, key)
-    fixed = F.col("a") + range_score(F.col("year"), F.col("year_mean"), F.col("year_std"))
-    cell = (F.when(F.col("level") == 0, _key(F.lit("y"), F.col("year")))
-            .when(F.col("level") == 1, _key(F.lit("my"), F.col("make"), F.col("year")))
-            .otherwise(_key(F.lit("mmy"), F.col("make"), F.col("model"), F.col("year"))))
-    cells = cells.withColumn("cell", cell).join(ranges, "cell")
-    nearest = F.least(F.greatest(F.col("km_mean"), F.col("km_lo")), F.col("km_hi"))
-    k_best = range_score(nearest, F.col("km_mean"), F.col("km_std"))
-    # the mileage score only falls away from the mean, so its minimum over the
-    # cell is at one end of the range, or 0 if some car has no mileage
-    k_worst = F.when(F.col("km_missing"), F.lit(0.0)).otherwise(F.least(
-        range_score(F.col("km_lo"), F.col("km_mean"), F.col("km_std")),
-        range_score(F.col("km_hi"), F.col("km_mean"), F.col("km_std"))))
-    return cells.select(key, "cell", fixed.alias("fixed"), (fixed + k_best).alias("bound"),
-                        (fixed + k_worst).alias("floor"), "size", "km_mean", "km_std")
-
-
-def _pair_cells(stats, makes, models, cars, ranges, key) -> DataFrame:
-    """Cells (make, model, year) of the pairs each dealer bought."""
-    pair_years = cars.select("make", "model", "year").distinct()
-    mk = makes.select(key, "make", "make_score")
-    rows = models.select(key, "make", "model", "model_score").join(mk, [key, "make"]) \
-        .join(pair_years, ["make", "model"]).select(
-            key, F.lit(2).alias("level"), "make", "model", "year",
-            (F.col("make_score") + F.col("model_score")).alias("a"))
-    return _finish_cells(rows, _base(stats, key), ranges, key)
-
-
-def _other_cells(stats, makes, cars, ranges, tau, key) -> DataFrame:
-    """Cells (year) for every dealer and (make, year) for bought makes, keeping
-    only those whose bound reaches the dealer's ``tau`` (NULL keeps all).
-
-    The list of year values is a scalar subquery over the live cars (a small
-    domain of model years), exploded per dealer.
-    """
-    # structs keep a NULL year in the set (cars without a year form a cell)
-    years = cars.select(F.collect_set(F.struct(F.col("year").alias("y"))).alias("ys")).scalar()
-    none = F.lit(None).cast("string")
-    by_year = stats.select(key, F.explode(years).alias("e")).select(
-        key, F.lit(0).alias("level"), none.alias("make"), none.alias("model"),
-        F.col("e.y").alias("year"), F.lit(0.0).alias("a"))
-    reach = tau.select(key, "tau")
-    # a make can only matter if make score + 2 + 2 reaches tau
-    live_makes = makes.join(reach, key, "left").where(
-        F.col("tau").isNull()
-        | (F.col("make_score") + F.lit(2.0 * RANGE_POINTS) >= F.col("tau") - F.lit(_SLACK)))
-    make_years = cars.select("make", "year").distinct()
-    by_make = live_makes.select(key, "make", "make_score").join(make_years, "make").select(
-        key, F.lit(1).alias("level"), "make", none.alias("model"), "year",
-        F.col("make_score").alias("a"))
-    cells = _finish_cells(by_year.unionByName(by_make), _base(stats, key), ranges, key)
-    return _within(cells, tau, key)
-
-
-def _base(stats: DataFrame, key: str) -> DataFrame:
-    return stats.select(key, "year_mean", "year_std", "km_mean", "km_std")
-
-
-def _within(cells: DataFrame, tau: DataFrame, key: str) -> DataFrame:
-    return cells.join(tau.select(key, "tau"), key, "left").where(
-        F.col("tau").isNull() | (F.col("bound") >= F.col("tau") - F.lit(_SLACK))).drop("tau")
-
-
-def _candidates(dealer_cells: DataFrame, cells: DataFrame, k: int, key: str) -> DataFrame:
-    """(dealer, car_id) pairs that can reach the dealer's top k (see module doc).
-
-    A cell with at most k cars is covered entirely by its k first names, so
-    the nearest-mileage search runs only on larger cells, and the index
-    range it looks up is clipped to the cell's points.
+    """Distinct live cars with their multiplicity."""
+    return live.groupBy(*CAR).agg(F.count(F.lit(1)).alias("copies"))
+
+
+class _CellIndex:
+    """First cars, mileage buckets and bucket directory of every cell.
+
+    Every collected list has a bound: ``k`` cars per mileage, the mileages of a
+    bucket, and the buckets of a cell.
     """
-    by_name = Window.partitionBy("cell").orderBy("sf_vehicle_name", "car_id")
-    ranked = cells.withColumn("_r", F.row_number().over(by_name))
-    heads = ranked.where(F.col("_r") <= k).select("cell", "car_id")
-    from_heads = dealer_cells.select(key, "cell").join(heads, "cell").select(key, "car_id")
-    big = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size")) \
-        .where(F.col("size") > k).select("cell")
-
-    # Distinct mileage values of the large cells, each with its k first cars
-    # by name, numbered 1..P in km order.
-    at_point = Window.partitionBy("cell", "kilometers").orderBy("sf_vehicle_name", "car_id")
-    points = (cells.join(big, "cell", "left_semi").where(F.col("kilometers").isNotNull())
-              .withColumn("_r", F.row_number().over(at_point)).where(F.col("_r") <= k)
-              .groupBy("cell", "kilometers").agg(F.collect_list("car_id").alias("cars")))
-    points = points.withColumn(
-        "idx", F.row_number().over(Window.partitionBy("cell").orderBy("kilometers")))
-
-    # Insertion index of each dealer's mean mileage: the index of the last
-    # point with km <= mean, from one sorted pass over points and queries.
-    queries = dealer_cells.where((F.col("km_std") > 0) & F.col("km_mean").isNotNull()) \
-        .join(big, "cell", "left_semi") \
-        .select(key, "cell", F.col("km_mean").alias("kilometers"))
-    merged = points.select(F.lit(None).cast("string").alias(key), "cell", "kilometers", "idx",
-                           F.lit(0).alias("_q")) \
-        .unionByName(queries.select(key, "cell", "kilometers", F.lit(None).cast("int")
-                                    .alias("idx"), F.lit(1).alias("_q")))
-    upto = Window.partitionBy("cell").orderBy("kilometers", "_q") \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy("cell")
-    located = merged.withColumns({
-        "pos": F.coalesce(F.last("idx", ignorenulls=True).over(upto), F.lit(0)),
-        "n_points": F.max("idx").over(whole)}) \
-        .where(F.col("_q") == 1).select(key, "cell", "pos", "n_points")
-    wanted = located.select(key, "cell", F.explode(F.sequence(
-        F.greatest(F.col("pos") - F.lit(k - 1), F.lit(1)),
-        F.least(F.col("pos") + F.lit(k), F.col("n_points")))).alias("idx"))
-    near = wanted.join(points.select("cell", "idx", "cars"), ["cell", "idx"]) \
-        .select(key, F.explode("cars").alias("car_id"))
-    return from_heads.unionByName(near).distinct()
-
-
-_SLACK = 1e-9         # float margin on the pruning comparison
-
-
-def _score(cand: DataFrame, cars: DataFrame, stats: DataFrame, makes: DataFrame,
-           models: DataFrame, key: str) -> DataFrame:
-    """Exact score and breakdown of (dealer, car) candidate pairs."""
-    scored = (cand.join(cars, "car_id").join(stats, key)
+
+    def __init__(self, cars: DataFrame, k: int):
+        self.k = k
+        mk, md, y = F.col("make"), F.col("model"), F.col("year")
+        cells = cars.select(
+            F.struct(F.struct(*CAR).alias("car"), "copies").alias("item"), "kilometers",
+            F.explode(F.array(_cell(0), _cell(1, year=y), _cell(2, mk), _cell(3, mk, year=y),
+                              _cell(4, mk, md), _cell(5, mk, md, y))).alias("cell"))
+        salted = cells.withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(SALTS)))
+        first = Window.partitionBy("cell", "salt").orderBy("item.car")
+        self.heads = (salted.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k)
+                      .groupBy("cell").agg(F.slice(F.sort_array(F.collect_list("item")), 1, k)
+                                           .alias("items")))
+        alike = Window.partitionBy("cell", "kilometers").orderBy("item.car")
+        points = (cells.where(F.col("kilometers").isNotNull())
+                  .withColumn("r", F.row_number().over(alike)).where(F.col("r") <= k)
+                  .groupBy("cell", F.col("kilometers").alias("km"))
+                  .agg(F.sort_array(F.collect_list("item")).alias("items")))
+        self.buckets = (points.groupBy("cell", _km_bucket(F.col("km")).alias("bucket"))
+                        .agg(F.sort_array(F.collect_list(F.struct("km", "items"))).alias("points")))
+        self.directory = self.buckets.groupBy("cell").agg(F.sort_array(F.collect_list(
+            F.struct("bucket", F.size("points").alias("n")))).alias("directory"))
+
+    def search(self, queries: DataFrame, key: str) -> DataFrame:
+        """Candidate cars (dealer, car, copies) of each query (dealer, cell, km_mean, km_std)."""
+        k, own = self.k, F.col("own")
+        heads = queries.select(key, "cell").join(self.heads, "cell").select(
+            key, F.explode("items").alias("item"))
+        asked = (queries.where((F.col("km_std") > 0) & F.col("km_mean").isNotNull())
+                 .select(key, "cell", "km_mean", _km_bucket(F.col("km_mean")).alias("own")))
+
+        def reach(entries: Column) -> Column:
+            """The bucket at which the entries, nearest first, hold k mileages."""
+            zero = F.struct(F.lit(0).cast("long").alias("held"), own.alias("at"))
+            step = lambda acc, x: F.when(acc["held"] >= k, acc).otherwise(
+                F.struct((acc["held"] + x["n"]).alias("held"), x["bucket"].alias("at")))
+            return F.aggregate(entries, zero, step, lambda acc: acc["at"])
+
+        found = asked.join(self.directory, "cell")
+        below = F.reverse(F.filter("directory", lambda x: x["bucket"] < own))
+        above = F.filter("directory", lambda x: x["bucket"] > own)
+        found = found.withColumns({"lo": reach(below), "hi": reach(above)})
+        wanted = F.filter("directory", lambda x: (x["bucket"] >= F.col("lo"))
+                          & (x["bucket"] <= F.col("hi")))
+        found = (found.withColumn("bucket", F.explode(F.transform(wanted, lambda x: x["bucket"])))
+                 .drop("directory", "lo", "hi").join(self.buckets, ["cell", "bucket"]))
+        left = F.filter("points", lambda p: p["km"] <= F.col("km_mean"))
+        right = F.filter("points", lambda p: p["km"] > F.col("km_mean"))
+        found = found.withColumns({"left": left, "right": right})
+        last = F.slice("left", F.greatest(F.size("left") - (k - 1), F.lit(1)), F.lit(k))
+        near = found.select(key, F.explode(F.concat(last, F.slice("right", 1, k))).alias("point")) \
+            .select(key, F.explode("point.items").alias("item"))
+        return (heads.unionByName(near).select(key, "item.car", "item.copies")
+                .dropDuplicates([key, "car"]))
+
+
+def _score(cand: DataFrame, stats: DataFrame, makes: DataFrame, models: DataFrame,
+           key: str) -> DataFrame:
+    """Exact score and breakdown of (dealer, car) candidates."""
+    rows = cand.select(key, "car", "copies", "car.*")
+    scored = (rows.join(stats, key)
               .join(makes.select(key, "make", "make_score"), [key, "make"], "left")
               .join(models.select(key, "make", "model", "model_score"),
                     [key, "make", "model"], "left"))
-    scored = scored.withColumns({
+    return _totals(scored.withColumns({
         "make_score": F.coalesce(F.col("make_score"), F.lit(0.0)),
-        "model_score": F.coalesce(F.col("model_score"), F.lit(0.0)),
+        "model_score": F.coalesce(F.col("model_score"), F.lit(0.0))}))
+
+
+def _totals(scored: DataFrame) -> DataFrame:
+    scored = scored.withColumns({
         "year_score": range_score(F.col("year"), F.col("year_mean"), F.col("year_std")),
-        "km_score": range_score(F.col("kilometers"), F.col("km_mean"), F.col("km_std")),
-    })
-    total = F.col("make_score") + F.col("model_score") + F.col("year_score") + F.col("km_score")
-    return scored.withColumn("match_score", total)
+        "km_score": range_score(F.col("kilometers"), F.col("km_mean"), F.col("km_std"))})
+    return scored.withColumn("match_score", F.col("make_score") + F.col("model_score")
+                             + F.col("year_score") + F.col("km_score"))
 
 
 def _breakdown() -> Column:
@@ -299,35 +217,39 @@ def _breakdown() -> Column:
         F.lit(", Mileage: "), one_decimal(F.col("km_score")))
 
 
-def _top(scored: DataFrame, k: int, key: str) -> DataFrame:
-    # a car listed twice in the snapshot is recommended twice, as on the dashboard
-    rows = scored.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    order = Window.partitionBy(key).orderBy(F.col("match_score").desc(), "sf_vehicle_name",
-                                            "car_id", "_copy")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def _first(scored: DataFrame, k: int, key: str) -> DataFrame:
+    order = Window.partitionBy(key).orderBy(F.col("match_score").desc(), "car")
+    return scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
 
 
-def recommend_cars(history: DataFrame, live: DataFrame, top_k: int = DEFAULT_TOP_K,
+def _years_in_reach(stats: DataFrame, years: DataFrame, key: str) -> DataFrame:
+    """(dealer, year) of the live years with a year score that can still matter.
+
+    Dealers are dealt to whole years within the deviations that their ``tau``
+    leaves, at most ``YEARS`` of them, and met by an equality join.
+    """
+    whole = lambda c: F.least(F.greatest(F.floor(c), F.lit(YEARS[0])), F.lit(YEARS[1]))
+    reach = F.least(F.lit(2.0), F.lit(4.0) - F.coalesce(F.col("tau"), F.lit(0.0))) + F.lit(SLACK)
+    near = stats.where((F.col("year_std") > 0) & (reach >= 0)).withColumn(
+        "slot", F.explode(F.sequence(whole(F.col("year_mean") - reach * F.col("year_std")),
+                                     whole(F.col("year_mean") + reach * F.col("year_std")))))
+    return near.join(years.withColumn("slot", whole(F.col("year"))), "slot").drop("slot")
+
+
+def recommend_cars(history: DataFrame, live: DataFrame, top_k: int,
                    key: str = "dealer_name") -> DataFrame:
     """The ``top_k`` best-scoring live cars of every dealer with purchases.
 
-    Order: ``match_score`` descending, then vehicle name.  Dealers without
-    history get no rows, as on the dashboard.  Exact: the candidate set
-    provably contains every dealer's top k (module doc).
-
-    Pruning keeps the candidate set small.  Each cell has a floor (the least
-    any of its cars can score) and a bound (the most).  Walking a dealer's
-    bought-pair cells by floor, ``tau`` is the floor at which they first hold
-    k cars, so k cars score at least ``tau``: a lower bound of the k-th best
-    score.  Only cells whose bound reaches ``tau`` are generated and
-    searched; every other cell holds only cars that score below k others.
-    A dealer whose pairs hold fewer than k live cars has no ``tau`` and
-    searches every cell.
+    Order: ``match_score`` descending, then the car's columns.  Dealers without
+    history get no rows, as on the dashboard.  Exact (module doc).
+
+    The search runs in two rounds.  The first covers the cells of the pairs
+    that a dealer bought; the k-th best of those cars scores ``tau``, so the
+    second needs only cells of makes and of all cars whose bound reaches it.
+    Four small tables (dealer moments, pair counts, live cars, the first
+    round's best) are written to the shared checkpoint folder while the plan is
+    built; the rest is lazy.
     """
-    # The profile tables and the live cars feed both rounds; they are small
-    # (one row per dealer, make or car) and are materialised once with a
-    # reliable checkpoint in the shared checkpoint folder, so the history is
-    # not re-derived per branch and a lost executor costs a re-read only.
     held = history.select(key, "make", "model", "year", "kilometers").persist()
     stats = materialize(dealer_stats(held, key))
     pair_counts = materialize(held.groupBy(key, "make", "model")
@@ -335,22 +257,65 @@ def recommend_cars(history: DataFrame, live: DataFrame, top_k: int = DEFAULT_TOP
     held.unpersist()
     makes, models = _scores_from_counts(stats, pair_counts, key)
     cars = materialize(_live_cars(live))
-    cells = _cells(cars)
-    ranges = _cell_ranges(cells)
-    pairs = _pair_cells(stats, makes, models, cars, ranges, key)
-
-    # tau: walking the dealer's pair cells by their floor (the least any of
-    # their cars scores), the floor at which they first hold k cars; k cars
-    # score at least tau, so tau never exceeds the k-th best score.
-    by_floor = Window.partitionBy(key).orderBy(F.col("floor").desc(), "cell") \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    walked = pairs.withColumn("_held", F.sum("size").over(by_floor))
-    tau = materialize(walked.groupBy(key).agg(
-        F.max(F.when(F.col("_held") >= top_k, F.col("floor"))).alias("tau")))
-    kept = _within(pairs, tau, key).unionByName(
-        _other_cells(stats, makes, cars, ranges, tau, key))
-
-    scored = _score(_candidates(kept, cells, top_k, key), cars, stats, makes, models, key)
-    return _top(scored, top_k, key).select(
-        key, "sf_vehicle_name", "make", "model", "year", "kilometers", "match_score",
-        _breakdown().alias("score_breakdown"), "rank")
+    index = _CellIndex(cars, top_k)
+    moments = stats.select(key, "year_mean", "year_std", "km_mean", "km_std")
+    gain = range_score(F.col("year"), F.col("year_mean"), F.col("year_std"))
+    dated = cars.where(F.col("year").isNotNull())
+    asked = lambda frame, cell: frame.select(key, cell.alias("cell"), "km_mean", "km_std")
+    mk, md, y = F.col("make"), F.col("model"), F.col("year")
+
+    pairs = models.select(key, "make", "model").join(moments, key)
+    in_year = pairs.join(dated.select("make", "model", "year").distinct(), ["make", "model"]) \
+        .where(gain > 0)
+    first = asked(pairs, _cell(4, mk, md)).unionByName(asked(in_year, _cell(5, mk, md, y)))
+    best = materialize(_first(_score(index.search(first, key), stats, makes, models, key), top_k, key))
+
+    tau = best.groupBy(key).agg(F.when(F.count(F.lit(1)) >= top_k, F.min("match_score")).alias("tau"))
+    moments = moments.join(tau, key, "left")
+    matters = lambda bound: F.col("tau").isNull() | (bound >= F.col("tau") - F.lit(SLACK))
+    top = F.lit(float(RANGE_POINTS))
+    bought = makes.select(key, "make", "make_score").join(moments, key)
+    in_year = bought.where(matters(F.col("make_score") + top + top)) \
+        .join(dated.select("make", "year").distinct(), "make") \
+        .where((gain > 0) & matters(F.col("make_score") + gain + top))
+    second = asked(bought.where(matters(F.col("make_score") + top)), _cell(2, mk)) \
+        .unionByName(asked(in_year, _cell(3, mk, year=y)))
+    by_year = _years_in_reach(moments, dated.select("year").distinct(), key) \
+        .where((gain > 0) & matters(gain + top))
+    second = second.unionByName(asked(moments.where(matters(top)), _cell(0))) \
+        .unionByName(asked(by_year, _cell(1, year=y)))
+    more = _score(index.search(second, key), stats, makes, models, key)
+
+    rows = (best.unionByName(more).dropDuplicates([key, "car"])
+            # a car listed twice in the snapshot is recommended twice, as on the dashboard
+            .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))))
+    order = Window.partitionBy(key).orderBy(F.col("match_score").desc(), "car", "copy")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select(
+        key, *CAR, "match_score", _breakdown().alias("score_breakdown"), "rank")
+
+
+def recommend_for_dealer(history: DataFrame, live: DataFrame, dealer: str,
+                         key: str = "dealer_name") -> DataFrame:
+    """Every live car with its score for one dealer, best first (ties by name).
+
+    The dealer's profile is three scalar subqueries: the moments, and maps of
+    make and model scores whose size is bounded by what one dealer has bought.
+    So the live cars are scored in one pass, without a join.  A dealer without
+    history gets no rows.
+    """
+    own = history.where(F.col(key) == F.lit(dealer))
+    stats = dealer_stats(own, key)
+    makes, models = _scores_from_counts(
+        stats, own.groupBy(key, "make", "model").agg(F.count(F.lit(1)).alias("n")), key)
+    moments = stats.select(F.struct("n_purchases", "year_mean", "year_std", "km_mean", "km_std")).scalar()
+    by_make = makes.select(F.map_from_entries(F.collect_list(F.struct("make", "make_score")))).scalar()
+    by_model = models.select(F.map_from_entries(F.collect_list(
+        F.struct(F.struct("make", "model"), "model_score")))).scalar()
+    rows = live.select(*CAR, moments.alias("own"), by_make.alias("makes"), by_model.alias("models"))
+    rows = rows.where(F.col("own.n_purchases") > 0).select(
+        F.lit(dealer).alias(key), *CAR, "own.*",
+        F.coalesce(F.try_element_at("makes", F.col("make")), F.lit(0.0)).alias("make_score"),
+        F.coalesce(F.when(F.col("make").isNotNull() & F.col("model").isNotNull(), F.try_element_at(
+            "models", F.struct("make", "model"))), F.lit(0.0)).alias("model_score"))
+    return _totals(rows).select(key, *CAR, "match_score", _breakdown().alias("score_breakdown")) \
+        .orderBy(F.col("match_score").desc(), "sf_vehicle_name", "kilometers", "year", "make", "model")
