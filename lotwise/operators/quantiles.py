@@ -2,34 +2,29 @@
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one
 aggregation buffer, so a group holding a third of the data would have to fit
-in one task.  This module computes the same numbers in distributed passes:
+in one task.  Here the input is reduced once, map-side first, to one row per
+(group, value) with its count; everything else reads that exchange:
 
-A. per group: the count of values and, for groups of more than
-   ``2 * ACCURACY`` values, a ``percentile_approx`` bracket around each wanted
-   rank (quantile sketches of bounded size, merged map-side).  Smaller groups
-   are "bracketed" by their whole range.
-B. one join of the values with their brackets, aggregated to one row per
-   distinct value inside the bracket plus the count below it.  The running
-   count over those rows locates the two neighbouring order statistics
-   ``a = x[f]`` and ``b = x[f+1]`` (``h = (n - 1) * p``, ``f = floor(h)``,
-   ``t = h - f``), interpolated bit for bit as numpy/pandas do:
-   ``a + (b - a) * t`` when ``t < 0.5``, else ``b - (b - a) * (1 - t)``.
-C. a bracket that does not contain both ranks (the sketch guarantee rules
-   this out, but it is checked) is redone over its whole group; when no
-   bracket fails, AQE sees the empty set and skips this pass.
+1. counts per (group, bucket), where buckets are narrow bands of the value's
+   logarithm; a running count over a group's buckets tells in which bucket each
+   wanted rank lies;
+2. the values of those buckets alone are ranked, by (group, rank, bucket);
+3. the two neighbouring order statistics ``a = x[f]`` and ``b = x[f + 1]``
+   (``h = (n - 1) * p``, ``f = floor(h)``, ``t = h - f``) are interpolated bit
+   for bit as numpy does: ``a + (b - a) * t`` when ``t < 0.5``, else
+   ``b - (b - a) * (1 - t)``.
 
-A sketch bracket holds about ``4 / ACCURACY`` of its group, so no task ever
-ranks more than that share of a large group, or a whole small group.
+A window therefore sees a group's buckets, or the distinct values of one of
+them, never a group.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-ACCURACY = 10000
-_EPS = 2.0 / ACCURACY
+BANDS = 256           # buckets per unit of the natural logarithm
 
 
 def lerp(a, b, t):
@@ -38,68 +33,64 @@ def lerp(a, b, t):
     return F.when(t >= 0.5, b - diff * (F.lit(1.0) - t)).otherwise(a + diff * t)
 
 
+def bucket(v: Column, bands: int = BANDS) -> Column:
+    """A whole number that never falls as ``v`` rises; NULL for NULL."""
+    band = F.floor(F.log1p(F.abs(v)) * F.lit(bands))
+    return F.when(v >= 0, band).otherwise(-band - 1)
+
+
 def exact_percentiles(df: DataFrame, keys: list[str], value: str,
-                      probs: dict[str, float], extra=()) -> DataFrame:
+                      probs: dict[str, float], extra=(), bands: int = BANDS) -> DataFrame:
     """One row per group of ``df``: ``keys`` plus one column per entry of ``probs``.
 
     NULL values are ignored; a group with no values gets NULL percentiles.
-    NULL keys form their own group.  ``extra`` aggregate columns (aliased)
-    are computed in the same first pass and returned after the percentiles.
+    NULL keys form their own group.  ``extra`` aggregates over ``value``
+    (aliased) are computed from the same rows and returned after the percentiles.
     """
     names = list(probs)
-    v = F.col(value)
-    lo_p = [max(0.0, probs[k] - _EPS) for k in names]
-    hi_p = [min(1.0, probs[k] + _EPS) for k in names]
-    sketch = df.groupBy(*keys).agg(
-        F.count(v).alias("n"),
-        F.percentile_approx(v, lo_p + hi_p, ACCURACY).alias("approx"), *extra)
-    extra_names = [c for c in sketch.columns if c not in (*keys, "n", "approx")]
-    big = F.col("n") > F.lit(2 * ACCURACY)
-    targets = sketch.select(*keys, "n", F.inline(F.array(*[
-        F.struct(F.lit(name).alias("q"), F.lit(float(probs[name])).alias("p"),
-                 F.when(big, F.col("approx")[i]).alias("lo"),
-                 F.when(big, F.col("approx")[len(names) + i]).alias("hi"))
-        for i, name in enumerate(names)])))
-    h = (F.col("n") - 1) * F.col("p")
-    targets = targets.withColumns({"h": h, "r1": F.floor(h)}) \
-        .withColumn("r2", F.least(F.col("r1") + 1, F.col("n") - 1))
-    vals = df.select(*keys, v.alias("v")).where(F.col("v").isNotNull())
-
-    def located(t: DataFrame, whole: bool) -> DataFrame:
-        """Per (group, q): counts below the bracket and per distinct value inside."""
-        match = [F.col(f"t.{k}").eqNullSafe(F.col(f"x.{k}")) for k in keys]
-        j = t.alias("t").join(vals.alias("x"), match, "inner")
-        below = F.lit(False) if whole else \
-            (F.col("t.lo").isNotNull() & (F.col("x.v") < F.col("t.lo")))
-        above = F.lit(False) if whole else \
-            (F.col("t.hi").isNotNull() & (F.col("x.v") > F.col("t.hi")))
-        return (j.where(~above)
-                .groupBy(*[F.col(f"t.{k}").alias(k) for k in keys],
-                         *[F.col(f"t.{c}").alias(c) for c in ("q", "h", "r1", "r2")],
-                         F.when(below, F.lit(None)).otherwise(F.col("x.v")).alias("v"))
-                .agg(F.count(F.lit(1)).alias("c")))
+    v = F.col("v")
+    counted = df.groupBy(*keys, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    rows = counted.select(*keys, v.alias(value),
+                          F.explode(F.sequence(F.lit(1).cast("long"), "c")).alias("_copy"))
+    groups = rows.groupBy(*keys).agg(F.count(value).alias("n"), *extra)
+    extra_names = [c for c in groups.columns if c not in (*keys, "n")]
 
-    def pick(rows: DataFrame) -> DataFrame:
-        """Running counts over the bracket rows (NULL v = the below-bracket row first)."""
-        w = Window.partitionBy(*keys, "q").orderBy(F.col("v").asc_nulls_first()) \
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        rows = rows.withColumn("upto", F.sum("c").over(w))
-        inside = F.col("v").isNotNull()
-        return rows.groupBy(*keys, "q", "h", "r1", "r2").agg(
-            F.sum(F.when(~inside, F.col("c")).otherwise(0)).alias("c_below"),
-            F.sum(F.when(inside, F.col("c")).otherwise(0)).alias("c_in"),
-            F.min(F.when(inside & (F.col("upto") > F.col("r1")), F.col("v"))).alias("x1"),
-            F.min(F.when(inside & (F.col("upto") > F.col("r2")), F.col("v"))).alias("x2"))
+    # No filter on the value: it would be pushed below the reduction in some
+    # branches only, and they would no longer share its exchange.
+    held = F.when(v.isNotNull(), F.col("c")).otherwise(F.lit(0))
+    sizes = counted.groupBy(*keys, bucket(v, bands).alias("b")).agg(F.sum(held).alias("c"))
+    whole = Window.partitionBy(*keys)
+    upto = whole.orderBy(F.col("b").asc_nulls_first()) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sizes = sizes.withColumns({"upto": F.sum("c").over(upto), "n": F.sum("c").over(whole)})
+    ranks = []
+    for name in names:
+        low = F.floor((F.col("n") - 1) * F.lit(float(probs[name])))
+        for side, rank in (("a", low), ("b", F.least(low + 1, F.col("n") - 1))):
+            ranks.append(F.struct(F.lit(f"{name}|{side}").alias("q"), rank.alias("r")))
+    wanted = sizes.select(*keys, "b", "c", "upto", F.inline(F.array(*ranks))) \
+        .where((F.col("r") < F.col("upto")) & (F.col("r") >= F.col("upto") - F.col("c"))) \
+        .select(*[F.col(k).alias(f"w_{k}") for k in keys], F.col("b").alias("w_b"), "q",
+                (F.col("r") - F.col("upto") + F.col("c")).alias("r"))
 
-    first = pick(located(targets.where(F.col("n") > 0), whole=False))
-    ok = (F.col("c_below") <= F.col("r1")) & (F.col("c_below") + F.col("c_in") > F.col("r2"))
-    good = first.where(ok)
-    retry = first.where(~ok).select(*keys, "q", "h", "r1", "r2")
-    redone = pick(located(retry, whole=True))
-    chosen = good.unionByName(redone)
-    value_at = lerp(F.col("x1"), F.col("x2"), F.col("h") - F.col("r1"))
-    wide = chosen.select(*keys, "q", value_at.alias("value")) \
-        .groupBy(*keys).pivot("q", names).agg(F.first("value"))
-    groups = sketch.select(*keys, *extra_names)
-    return groups.join(wide, [groups[k].eqNullSafe(wide[k]) for k in keys], "left") \
-        .select(*[groups[k] for k in keys], *names, *[groups[c] for c in extra_names])
+    values = counted.select(*keys, bucket(v, bands).alias("b"), "v", "c")
+    match = values["b"].eqNullSafe(wanted["w_b"])
+    for k in keys:
+        match = match & values[k].eqNullSafe(wanted[f"w_{k}"])
+    inside = Window.partitionBy(*keys, "b", "q").orderBy("v") \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = (values.join(wanted, match).withColumn("upto", F.sum("c").over(inside))
+             .where(F.col("upto") > F.col("r")).groupBy(*keys, "q").agg(F.min("v").alias("v")))
+    wide = found.groupBy(*keys).agg(*[
+        F.max(F.when(F.col("q") == F.lit(f"{name}|{side}"), F.col("v"))).alias(f"{name}|{side}")
+        for name in names for side in "ab"])
+    wide = wide.select(*[F.col(k).alias(f"w_{k}") for k in keys],
+                       *[F.col(f"{name}|{side}") for name in names for side in "ab"])
+    match = F.lit(True)
+    for k in keys:
+        match = match & groups[k].eqNullSafe(wide[f"w_{k}"])
+    out = groups.join(wide, match, "left")
+    h = {name: (F.col("n") - 1) * F.lit(float(probs[name])) for name in names}
+    return out.select(
+        *keys, *[lerp(F.col(f"{n}|a"), F.col(f"{n}|b"), h[n] - F.floor(h[n])).alias(n) for n in names],
+        *extra_names)
