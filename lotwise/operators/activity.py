@@ -16,7 +16,8 @@ FILTER_COLUMNS = ("time", "make", "model", "year", "kilometrage", "group_filter"
                   "no_of_cars")
 
 
-def dealer_activity(activity: DataFrame, as_of, ordered: bool = True) -> DataFrame:
+def dealer_activity(activity: DataFrame, as_of, ordered: bool = True,
+                    dealer_code: str | None = None) -> DataFrame:
     """Active days and car events over the last 30 and 7 days.
 
     Only days with ``all_cars_events > 0`` count.  Groups are (code, name);
@@ -28,6 +29,8 @@ def dealer_activity(activity: DataFrame, as_of, ordered: bool = True) -> DataFra
     dealer spreads over its days), a per-name aggregate, then the join of
     two per-name frames.
     """
+    if dealer_code is not None:  # before the join, so that the scan gets it
+        activity = activity.where(F.col("dealer_code") == F.lit(dealer_code))
     d = F.col("event_date")
     recent = activity.where(since(d, as_of, DAYS_30) & (F.col("all_cars_events") > 0))
     per_day = (recent.groupBy("dealer_code", "dealer_name", "event_date")
@@ -52,7 +55,9 @@ def dealer_activity(activity: DataFrame, as_of, ordered: bool = True) -> DataFra
         F.coalesce("d7.active_days_7d", F.lit(0)).alias("active_days_7d"),
         F.coalesce("d7.total_car_events_7d", F.lit(0)).alias("total_car_events_7d"))
     if ordered:
-        out = out.orderBy(F.col("active_days_30d").desc(), F.col("total_car_events_30d").desc())
+        out = out.orderBy(F.col("active_days_30d").desc(), F.col("total_car_events_30d").desc(),
+                          F.col("dealer_code").asc_nulls_last(), "dealer_name",
+                          F.col("active_days_7d").desc(), F.col("total_car_events_7d").desc())
     return out
 
 
@@ -62,7 +67,7 @@ def _recent_feed(events: DataFrame, as_of, columns, dealer_code, ordered) -> Dat
     if dealer_code is not None:
         feed = feed.where(F.col("entity_code") == F.lit(dealer_code))
     out = feed.select(*columns, F.col("entity_code").alias("dealer_code"))
-    return out.orderBy(F.col("time").desc()) if ordered else out
+    return out.orderBy(F.col("time").desc(), "dealer_code", *columns[1:]) if ordered else out
 
 
 def recent_views(views: DataFrame, as_of, dealer_code: str | None = None,

@@ -16,7 +16,7 @@ MINUTES_PER_DAY = 1440
 
 LIVE_COLUMNS = ("date_key", "sf_vehicle_name", "make", "model", "year", "kilometers")
 HISTORY_COLUMNS = ("request_date", "dealer_code", "time_on_app", "price", "make", "model",
-                   "year", "kilometers", "sylndr_acquisition_price", "market_retail_price",
+                   "year", "kilometers", "acquisition_price", "market_retail_price",
                    "dealer_name", "dealer_phone")
 
 
@@ -81,7 +81,8 @@ def purchases(requests: DataFrame) -> DataFrame:
 
 
 def purchase_history(requests: DataFrame, vehicle_history: DataFrame,
-                     car_status: DataFrame, publishing_logs: DataFrame) -> DataFrame:
+                     car_status: DataFrame, publishing_logs: DataFrame,
+                     dealer_name: str | None = None) -> DataFrame:
     """Every sale enriched with vehicle attributes, cost and time on the app.
 
     Three left joins that may fan out, kept on purpose: a vehicle seen with
@@ -90,15 +91,19 @@ def purchase_history(requests: DataFrame, vehicle_history: DataFrame,
     DISTINCT runs over all five cost columns).  The two joins on
     ``vehicle_id`` come first so one shuffle of the sales serves both.
     ``request_date`` (the sale day) is returned as a zone-less timestamp,
-    as the dashboard converts it.
+    as the dashboard converts it.  With ``dealer_name`` the requests are
+    filtered first, so the scan gets the filter; every operator over a history
+    is then that dealer's.
     """
+    if dealer_name is not None:
+        requests = requests.where(F.col("dealer_name") == F.lit(dealer_name))
     sales = purchases(requests)
     logs = publishing_logs.select("vehicle_id", "minutes_published_for")
     vehicles = (vehicle_history
-                .select(F.col("ajans_vehicle_id").alias("vehicle_id"), "make", "model", "year",
+                .select("vehicle_id", "make", "model", "year",
                         "kilometers")
                 .distinct())
-    cost = car_status.select("car_name", "sylndr_acquisition_price", "market_retail_price",
+    cost = car_status.select("car_name", "acquisition_price", "market_retail_price",
                              "median_asked_price", "refurbishment_cost").distinct()
     joined = (sales.join(logs, "vehicle_id", "left")
               .join(vehicles, "vehicle_id", "left")
@@ -109,6 +114,6 @@ def purchase_history(requests: DataFrame, vehicle_history: DataFrame,
         .alias("time_on_app"),
         to_number("price").alias("price"), "make", "model",
         to_number("year").alias("year"), to_number("kilometers").alias("kilometers"),
-        to_number("sylndr_acquisition_price").alias("sylndr_acquisition_price"),
+        to_number("acquisition_price").alias("acquisition_price"),
         to_number("market_retail_price").alias("market_retail_price"),
         "dealer_name", "dealer_phone")

@@ -19,9 +19,13 @@ DEALER_COLUMNS = ("dealer_name", "dealer_code", "dealer_status", "dealer_email",
 MATCH_COLUMNS = LISTING_COLUMNS + ("phone_number",) + DEALER_COLUMNS
 
 
-def listing_phones(listings: DataFrame, as_of) -> DataFrame:
+def listing_phones(listings: DataFrame, as_of, wanted: DataFrame | None = None) -> DataFrame:
     """Listings of the last 30 days, one row per distinct (listing, phone number).
 
+    ``wanted`` (a frame of ``phone_number``) keeps only those numbers; it is
+    applied by a semi-join before the DISTINCT, so that only listings that
+    match are shuffled with their texts.
+
     The seller phone field is cleaned to digits and commas, split on commas
     (a NULL field yields no row, an empty one a single empty number) and each
     number loses its first digit.  One DISTINCT after the explode equals
@@ -31,9 +35,11 @@ def listing_phones(listings: DataFrame, as_of) -> DataFrame:
     cleaned = F.regexp_replace(F.col("seller_phone_number"), PHONE_KEEP, "")
     exploded = recent.select(*LISTING_COLUMNS,
                              F.explode(F.split(cleaned, PHONE_SEPARATOR)).alias("raw_phone"))
-    return exploded.select(*LISTING_COLUMNS,
-                           F.substr(F.col("raw_phone"), F.lit(PHONE_FROM)).alias("phone_number")) \
-        .distinct()
+    phones = exploded.select(*LISTING_COLUMNS,
+                             F.substr(F.col("raw_phone"), F.lit(PHONE_FROM)).alias("phone_number"))
+    if wanted is not None:
+        phones = phones.join(wanted.select("phone_number"), "phone_number", "left_semi")
+    return phones.distinct()
 
 
 def listing_match(listings: DataFrame, dim_dealers: DataFrame, as_of,
@@ -47,9 +53,10 @@ def listing_match(listings: DataFrame, dim_dealers: DataFrame, as_of,
     dealers = dim_dealers.select(F.col("dealer_phone").alias("phone_number"), *DEALER_COLUMNS)
     if dealer_code is not None:
         dealers = dealers.where(F.col("dealer_code") == F.lit(dealer_code))
-    out = listing_phones(listings, as_of).join(dealers, "phone_number", "inner") \
+    out = listing_phones(listings, as_of, dealers).join(dealers, "phone_number", "inner") \
         .select(*MATCH_COLUMNS)
-    return out.orderBy(F.col("added_at").desc()) if ordered else out
+    return out.orderBy(F.col("added_at").desc(), "id", "phone_number", "dealer_code",
+                       "dealer_name") if ordered else out
 
 
 def listing_summary(matches: DataFrame) -> DataFrame:

@@ -135,18 +135,23 @@ def dealer_roster(segmentation: DataFrame) -> DataFrame:
                         by_code.alias("name_for_code"))
 
 
-def _joined_top(df: DataFrame, key: str, text: Column, k: int, alias: str) -> DataFrame:
-    """``"a (n), b (m), ..."`` over the first ``k`` ranks (bounded collect)."""
-    top = df.where(F.col("rank") <= k).groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("rank"), text.alias("t")))).alias("items"))
-    return top.select(key, F.array_join(F.transform("items", lambda x: x["t"]), ", ").alias(alias))
-
-
 def _money0(c: Column) -> Column:
     # Python formats NaN as "nan"; a missing deviation (one purchase) shows so.
     return F.coalesce(F.format_number(c, 0), F.lit("nan"))
 
 
+def roster_by_name(segmentation: DataFrame) -> DataFrame:
+    """The roster as the name picker lists it."""
+    return dealer_roster(segmentation).orderBy(F.col("dealer_name").asc_nulls_last(),
+                                               F.col("dealer_code").asc_nulls_last())
+
+
+def roster_by_code(segmentation: DataFrame) -> DataFrame:
+    """The roster as the code picker lists it."""
+    return dealer_roster(segmentation).orderBy(F.col("dealer_code").asc_nulls_last(),
+                                               F.col("dealer_name").asc_nulls_last())
+
+
 def dealer_profile(segmentation: DataFrame, activity: DataFrame,
                    history: DataFrame) -> DataFrame:
     """One row per dealer name having a segmentation row and an activity row.
@@ -169,24 +174,24 @@ def dealer_profile(segmentation: DataFrame, activity: DataFrame,
         "dealer_name", "active_days_30d", "total_car_events_30d", "active_days_7d",
         "total_car_events_7d")
 
-    # Two passes over the history: counts per (dealer, make, model), and one
-    # row per dealer with the price moments and the four mileage-bin counts.
+    # Two aggregates over the history: counts per (dealer, make, model), rolled
+    # up to one row per dealer, and the price moments with the mileage counts.
+    # The collected lists hold a dealer's distinct makes and models.
     key = "dealer_name"
-    pairs = history.groupBy(key, "make", "model").agg(F.count(F.lit(1)).alias("n"))
-    makes = pairs.where(F.col("make").isNotNull()).groupBy(key, "make") \
-        .agg(F.sum("n").alias("purchases"))
-    makes = makes.withColumn("rank", _rank([key], [F.col("purchases").desc(), "make"]))
-    models = pairs.where(F.col("make").isNotNull() & F.col("model").isNotNull()) \
-        .withColumnRenamed("n", "purchases")
-    models = models.withColumn("rank", _rank([key], [F.col("purchases").desc(), "make",
-                                                     "model"]))
-    n_makes = makes.groupBy(key).agg(F.count(F.lit(1)).alias("n_makes"))
-    n_models = models.groupBy(key).agg(F.count(F.lit(1)).alias("n_models"))
-    top_makes = _joined_top(makes, key, F.format_string("%s (%d)", "make", "purchases"),
-                            TOP_MAKES, "top_makes")
-    top_models = _joined_top(models, key,
-                             F.format_string("%s %s (%d)", "make", "model", "purchases"),
-                             TOP_MODELS, "top_models")
+    pairs = history.where(F.col("make").isNotNull()).groupBy(key, "make", "model") \
+        .agg(F.count(F.lit(1)).alias("n"))
+    makes = pairs.groupBy(key, "make").agg(
+        F.sum("n").alias("n"), F.collect_list(F.when(F.col("model").isNotNull(), F.struct(
+            (-F.col("n")).alias("o"), "make", "model", "n"))).alias("models"))
+    tops = makes.groupBy(key).agg(
+        F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("o"), "make", "n"))).alias("mk"),
+        F.sort_array(F.flatten(F.collect_list("models"))).alias("md"))
+    text = lambda array, k, fmt, *names: F.array_join(F.transform(
+        F.slice(array, 1, k), lambda x: F.format_string(fmt, *[x[n] for n in names])), ", ")
+    tops = tops.select(
+        key, F.size("mk").alias("n_makes"), F.size("md").alias("n_models"),
+        text("mk", TOP_MAKES, "%s (%d)", "make", "n").alias("top_makes"),
+        text("md", TOP_MODELS, "%s %s (%d)", "make", "model", "n").alias("top_models"))
     km = F.col("kilometers")
     per_dealer = history.groupBy(key).agg(
         F.avg("price").alias("_mean"), F.stddev_samp("price").alias("_std"),
@@ -205,7 +210,7 @@ def dealer_profile(segmentation: DataFrame, activity: DataFrame,
                  _money0(F.col("_mean") + F.col("_std"))).alias("price_range"))
 
     out = seg.join(act, "dealer_name", "inner")
-    for part in (per_dealer, n_makes, n_models, top_makes, top_models):
+    for part in (per_dealer, tops):
         out = out.join(part, "dealer_name", "left")
     has_history = F.col("price_range").isNotNull()
     return out.select(

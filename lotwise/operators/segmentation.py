@@ -42,15 +42,20 @@ def label_columns(df: DataFrame) -> DataFrame:
 
 
 def dealer_segmentation(requests: DataFrame, dealers: DataFrame, as_of,
-                        ordered: bool = True) -> DataFrame:
+                        ordered: bool = True, dealer_code: str | None = None) -> DataFrame:
     """One row per roster dealer: 24 metrics and 11 labels.
 
     Sorted by ``total_requests_lifetime`` descending (NULLs last) like the
-    dashboard; pass ``ordered=False`` when the consumer re-sorts anyway.
+    dashboard; pass ``ordered=False`` when the consumer re-sorts anyway.  With
+    ``dealer_code`` both inputs are filtered before any work.
     """
+    if dealer_code is not None:
+        requests = requests.where(F.col("dealer_code") == F.lit(dealer_code))
+        dealers = dealers.where(F.col("dealer_code") == F.lit(dealer_code))
     out = label_columns(dealer_metrics(requests, dealers, as_of)).select(*SEGMENTATION_COLUMNS)
     if ordered:
-        out = out.orderBy(F.col("total_requests_lifetime").desc_nulls_last())
+        out = out.orderBy(F.col("total_requests_lifetime").desc_nulls_last(),
+                          F.col("dealer_code").asc_nulls_last(), "dealer_name")
     return out
 
 
