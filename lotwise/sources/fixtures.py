@@ -17,12 +17,17 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lotwise.sources.schemas import conform
+
 # Clocks of the fixture data (FIXTURES.md section 2): the last order date for
 # everything derived from orders/lineitem/part/customer, and a date three days
 # after the last event for everything derived from events.
 AS_OF = dt.date(2001, 8, 1)
 AS_OF_EVENTS = dt.date(2024, 2, 3)
 
+# The dealer of the registered single-dealer queries.
+DEALER_CODE, DEALER_NAME = "1", "Customer#000000001"
+
 DRIVER_TABLES = ("customer", "orders", "lineitem", "part", "events")
 
 # Dialect differences between Spark SQL and DuckDB used below.
@@ -87,7 +92,7 @@ _VEHICLE_HISTORY_DAY = """
 SELECT
   DATE '{day}' AS date_key,
   'SF-' || CAST(p_partkey AS STRING) AS sf_vehicle_name,
-  p_partkey AS ajans_vehicle_id,
+  p_partkey AS vehicle_id,
   CASE WHEN p_partkey % 97 = 5 THEN NULL ELSE p_brand END AS make,
   p_type AS model,
   CASE WHEN p_partkey % 101 = 7 THEN 'n/a' ELSE CAST(2000 + p_size % 25 AS STRING) END AS year,
@@ -96,15 +101,15 @@ FROM {{part}}
 """
 
 _CAR_STATUS = """
-SELECT p_name || ' ' || CAST(p_partkey AS STRING) AS car_name,
-       p_retailprice * 0.8 AS sylndr_acquisition_price,
+SELECT CASE WHEN p_partkey % 5 <> 0 THEN p_name || ' ' || CAST(p_partkey AS STRING) END AS car_name,
+       p_retailprice * 0.8 AS acquisition_price,
        p_retailprice AS market_retail_price,
        p_retailprice * 1.1 AS median_asked_price,
        CAST(p_size * 10 AS DOUBLE) AS refurbishment_cost
-FROM {part} WHERE p_partkey % 5 <> 0
+FROM {part}
 UNION ALL
 SELECT p_name || ' ' || CAST(p_partkey AS STRING) AS car_name,
-       p_retailprice * 0.8 AS sylndr_acquisition_price,
+       p_retailprice * 0.8 AS acquisition_price,
        p_retailprice AS market_retail_price,
        p_retailprice * 1.2 AS median_asked_price,
        CAST(p_size * 10 AS DOUBLE) AS refurbishment_cost
@@ -112,10 +117,10 @@ FROM {part} WHERE p_partkey % 60 = 3
 """
 
 _PUBLISHING_LOGS = """
-SELECT p_partkey AS vehicle_id,
+SELECT CASE WHEN p_partkey % 7 <> 0 THEN p_partkey END AS vehicle_id,
        CAST(NULL AS TIMESTAMP) AS min_published,
        CAST(p_size * 997 AS DOUBLE) AS minutes_published_for
-FROM {part} WHERE p_partkey % 7 <> 0
+FROM {part}
 """
 
 _DEALERS_ACTIVITY = """
@@ -142,7 +147,8 @@ SELECT ts AS time,
        CASE WHEN event_id % 19 = 0 THEN NULL ELSE value * 1000 END AS buy_now_price,
        p_type AS body_style,
        CASE WHEN event_id % 17 = 0 THEN NULL ELSE CAST(user_id AS STRING) END AS entity_code
-FROM {events} JOIN {part} ON p_partkey = event_id % 200
+FROM (SELECT e.*, event_id % (SELECT COUNT(*) FROM {part}) AS part_slot FROM {events} e) ev
+JOIN {part} ON p_partkey = part_slot
 WHERE event_type = 'view'
 """
 
@@ -156,7 +162,8 @@ SELECT ts AS time,
        event_type AS status,
        CAST({json_k} AS BIGINT) AS no_of_cars,
        CASE WHEN event_id % 17 = 0 THEN NULL ELSE CAST(user_id AS STRING) END AS entity_code
-FROM {events} JOIN {part} ON p_partkey = event_id % 200
+FROM (SELECT e.*, event_id % (SELECT COUNT(*) FROM {part}) AS part_slot FROM {events} e) ev
+JOIN {part} ON p_partkey = part_slot
 WHERE event_type = 'click'
 """
 
@@ -190,7 +197,8 @@ SELECT o_orderkey AS id,
        CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS deactivated_at,
        o_custkey % 2 = 0 AS is_dealer,
        o_orderdate AS created_at
-FROM {orders} JOIN {part} ON p_partkey = o_orderkey % 200
+FROM (SELECT o.*, o_orderkey % (SELECT COUNT(*) FROM {part}) AS part_slot FROM {orders} o) ord
+JOIN {part} ON p_partkey = part_slot
 """
 
 _DIM_DEALERS = """
@@ -212,8 +220,7 @@ def _vehicle_history(as_of: dt.date) -> str:
     yesterday = _VEHICLE_HISTORY_DAY.format(
         day=(as_of - dt.timedelta(days=1)).isoformat(),
         km_bump="CASE WHEN p_partkey % 50 = 1 THEN 500 ELSE 0 END")
-    return (today.rstrip() + " WHERE p_partkey % 40 IN (0, 1, 10)\nUNION ALL\n"
-            + yesterday)
+    return today.rstrip() + "\nUNION ALL\n" + yesterday
 
 
 def contract_sql(as_of: dt.date = AS_OF) -> dict[str, str]:
@@ -261,7 +268,7 @@ class FixtureTables:
         sql = contract_sql(self.as_of)[name]
         used = [t for t in DRIVER_TABLES if "{" + t + "}" in sql]
         text = render(sql, "spark", {t: "{" + t + "}" for t in used})
-        return self.spark.sql(text, **{t: self.raw(t) for t in used})
+        return conform(self.spark.sql(text, **{t: self.raw(t) for t in used}), name)
 
     @cached_property
     def requests(self) -> DataFrame:

@@ -5,10 +5,12 @@ warehouse type is loose (year, kilometers) are normalised with ``to_number``
 inside the operators, so a string or a number is accepted there.
 """
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _S, _D, _L, _B = T.StringType(), T.DoubleType(), T.LongType(), T.BooleanType()
-_TS, _DATE = T.TimestampType(), T.DateType()
+_TS, _DATE = T.TimestampNTZType(), T.DateType()
 
 
 def _struct(*fields):
@@ -16,7 +18,7 @@ def _struct(*fields):
 
 
 VEHICLE_HISTORY = _struct(
-    ("date_key", _DATE), ("sf_vehicle_name", _S), ("ajans_vehicle_id", _L),
+    ("date_key", _DATE), ("sf_vehicle_name", _S), ("vehicle_id", _L),
     ("make", _S), ("model", _S), ("year", _S), ("kilometers", _L))
 
 REQUESTS = _struct(
@@ -33,7 +35,7 @@ PUBLISHING_LOGS = _struct(
     ("vehicle_id", _L), ("min_published", _TS), ("minutes_published_for", _D))
 
 CAR_STATUS = _struct(
-    ("car_name", _S), ("sylndr_acquisition_price", _D), ("market_retail_price", _D),
+    ("car_name", _S), ("acquisition_price", _D), ("market_retail_price", _D),
     ("median_asked_price", _D), ("refurbishment_cost", _D))
 
 DEALERS = _struct(("dealer_code", _S), ("dealer_name", _S))
@@ -50,11 +52,13 @@ FILTER_EVENTS = _struct(
     ("time", _TS), ("make", _S), ("model", _S), ("year", _L), ("kilometrage", _D),
     ("group_filter", _S), ("status", _S), ("no_of_cars", _L), ("entity_code", _S))
 
+# ---- fixed values: listing columns, in the order of the match table ----
 LISTING_COLUMNS = (
     "id", "title", "transmission_type", "year", "kilometers", "make", "model",
     "payment_options", "condition", "engine_capacity", "extra_features", "color",
     "body_type", "ad_type", "fuel_type", "description", "images", "region", "price",
     "seller_name", "is_active", "added_at", "deactivated_at", "is_dealer", "created_at")
+# -------------------------------------------------------------------------
 
 LISTINGS = _struct(
     ("id", _L), ("seller_name", _S), ("seller_phone_number", _S), ("title", _S),
@@ -82,3 +86,16 @@ CONTRACTS = {
     "listings": LISTINGS,
     "dim_dealers": DIM_DEALERS,
 }
+
+
+def conform(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with exactly the columns and types of contract ``name``.
+
+    A missing column fails here, at the scan; a cast to the type a column
+    already has costs nothing and does not stop filters from being pushed.
+    """
+    contract = CONTRACTS[name]
+    missing = [f.name for f in contract if f.name not in df.columns]
+    if missing:
+        raise ValueError(f"{name} lacks the columns {', '.join(missing)}")
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in contract])

@@ -23,11 +23,9 @@ def write_snapshot(frames: dict[str, DataFrame], root: str, as_of: dt.date) -> d
     """Write each frame to ``root/<name>`` partitioned by ``as_of``; returns the paths."""
     paths = {}
     for name, df in frames.items():
-        spark = df.sparkSession
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
         path = f"{root.rstrip('/')}/{name}"
         (df.withColumn(SNAPSHOT_PARTITION, F.lit(as_of))
-         .write.mode("overwrite").partitionBy(SNAPSHOT_PARTITION).parquet(path))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(SNAPSHOT_PARTITION).parquet(path))
         paths[name] = path
     return paths
 
