@@ -1,8 +1,9 @@
 """Registered queries: each key builds one operator over a scale-factor folder.
 
 Every callable takes ``(spark, sf_dir)``, derives the contract tables from
-the driver's parquet files (lazily; nothing runs until an action) and returns
-the operator's DataFrame over the whole tables.
+the driver's parquet files and returns the operator's DataFrame over the whole
+tables.  All are lazy but ``recommend_cars``, which writes four small tables to
+the shared checkpoint folder while its plan is built.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lotwise.operators import (activity, inbox, inventory, listings, metrics, profile,
                                recommend, requests, segmentation)
-from lotwise.sources.fixtures import AS_OF, AS_OF_EVENTS, fixture_tables
+from lotwise.functions import display
+from lotwise.sources.fixtures import AS_OF, AS_OF_EVENTS, DEALER_CODE, DEALER_NAME, fixture_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,6 +75,39 @@ def purchase_history(spark, sf_dir):
                                       t.publishing_logs)
 
 
+def history_for_dealer(spark, sf_dir):
+    t = fixture_tables(spark, sf_dir)
+    return inventory.purchase_history(t.requests, t.vehicle_history, t.car_status, t.publishing_logs,
+                                      dealer_name=DEALER_NAME)
+
+
+def segmentation_for_dealer(spark, sf_dir):
+    t = fixture_tables(spark, sf_dir)
+    return segmentation.dealer_segmentation(t.requests, t.dealers, AS_OF, dealer_code=DEALER_CODE)
+
+
+def activity_for_dealer(spark, sf_dir):
+    return activity.dealer_activity(fixture_tables(spark, sf_dir).dealers_activity, AS_OF_EVENTS,
+                                    dealer_code=DEALER_CODE)
+
+
+def profile_for_dealer(spark, sf_dir):
+    return profile.dealer_profile(segmentation_for_dealer(spark, sf_dir), activity_for_dealer(spark, sf_dir),
+                                  history_for_dealer(spark, sf_dir))
+
+
+def recommend_for_dealer(spark, sf_dir):
+    return recommend.recommend_for_dealer(history_for_dealer(spark, sf_dir), live_inventory(spark, sf_dir),
+                                          DEALER_NAME)
+
+
+def _shown(form, query):
+    def run(spark, sf_dir):
+        return form(query(spark, sf_dir))
+    run.__name__ = form.__name__
+    return run
+
+
 def _history_op(op):
     def run(spark, sf_dir):
         return op(purchase_history(spark, sf_dir))
@@ -145,4 +180,17 @@ def queries() -> dict[str, Query]:
         "price_box_by_make": _history_op(profile.price_box_by_make),
         "purchase_timeline": _history_op(profile.purchase_timeline),
         "dealer_profile": dealer_profile,
+        "roster_by_name": _seg_view(profile.roster_by_name),
+        "roster_by_code": _seg_view(profile.roster_by_code),
+        "recommend_for_dealer": recommend_for_dealer,
+        "purchase_history_for_dealer": history_for_dealer,
+        "price_stats_for_dealer": _shown(profile.price_stats, history_for_dealer),
+        "purchase_timeline_for_dealer": _shown(profile.purchase_timeline, history_for_dealer),
+        "dealer_segmentation_for_dealer": segmentation_for_dealer,
+        "dealer_activity_for_dealer": activity_for_dealer,
+        "dealer_profile_for_dealer": profile_for_dealer,
+        "requests_latest_displayed": _shown(display.format_requests, _panel("all")),
+        "recent_views_displayed": _shown(display.format_views, recent_views),
+        "recent_filters_displayed": _shown(display.format_filters, recent_filters),
+        "listing_match_displayed": _shown(display.format_listings, listing_match),
     }
