@@ -78,6 +78,64 @@ def test_recommend_top_k_equals_brute_force(spark, seed):
         assert [(s, n) for _, s, n in sorted(rows)] == want[dealer], dealer
 
 
+def _frames(spark, history, live):
+    return (spark.createDataFrame(history, "dealer_name string, make string, model string, "
+                                           "year double, kilometers double"),
+            spark.createDataFrame(live, "sf_vehicle_name string, make string, model string, "
+                                        "year double, kilometers double"))
+
+
+def test_recommend_with_hundreds_of_mileages_per_cell(spark):
+    """Year cells of far more than k cars and mileages, popular ones too."""
+    rnd = random.Random(11)
+    makes, models = ["A", "B", "C"], ["x", "y"]
+    years = [2008.0, 2012.0, 2013.0, 2019.0]
+    history = [(f"d{d}", rnd.choice(makes), rnd.choice(models), rnd.choice(years),
+                float(rnd.randint(0, 220000))) for d in range(12) for _ in range(rnd.choice([1, 3, 9]))]
+    live = [(f"car{c:05d}", rnd.choice([*makes, "D", None]), rnd.choice([*models, None]),
+             rnd.choice([*years, None, 1800.0]),
+             rnd.choice([float(rnd.randint(0, 220000)), float(rnd.randint(0, 20) * 10000), None, -5.0, 9e6]))
+            for c in range(4000)]
+    h, lv = _frames(spark, history, live)
+    k = 10
+    got = {}
+    for r in recommend.recommend_cars(h, lv, top_k=k).collect():
+        got.setdefault(r.dealer_name, []).append((r.rank, round(r.match_score, 9), r.sf_vehicle_name))
+    want = _brute_top(history, live, k)
+    assert {d: [(s, n) for _, s, n in sorted(rows)] for d, rows in got.items()} == want
+
+
+def test_full_ranking_for_one_dealer(spark):
+    rnd = random.Random(5)
+    history = [(f"d{d}", rnd.choice(["A", "B", None]), rnd.choice(["x", None]), rnd.choice([None, 2010.0, 2015.0]),
+                rnd.choice([None, 1000.0, 90000.0])) for d in range(4) for _ in range(6)]
+    live = [(f"car{c:03d}", rnd.choice(["A", "B", None]), rnd.choice(["x", "z", None]),
+             rnd.choice([None, 2011.0, 2015.0]), rnd.choice([None, 500.0, 80000.0])) for c in range(50)]
+    h, lv = _frames(spark, history, live)
+    want = _brute_top(history, live, len(live))
+    for dealer in ("d0", "d3"):
+        rows = recommend.recommend_for_dealer(h, lv, dealer).collect()
+        assert sorted((-round(r.match_score, 9), r.sf_vehicle_name) for r in rows) == sorted(
+            (-s, n) for s, n in want[dealer])
+        assert [r.match_score for r in rows] == sorted((r.match_score for r in rows), reverse=True)
+    assert recommend.recommend_for_dealer(h, lv, "nobody").collect() == []
+
+
+def test_cells_are_not_joined_text(spark):
+    """make 'a|b' + model 'c' is not make 'a' + model 'b|c'."""
+    history = [("d", "a", "b|c", 2010.0, 10000.0), ("d", "a", "b|c", 2010.0, 12000.0)]
+    live = [(f"r{i}", "a", "b|c", 2010.0, 90000.0) for i in range(4)]
+    live += [(f"s{i}", "a|b", "c", 2010.0, 11000.0 + i) for i in range(6)]
+    h, lv = _frames(spark, history, live)
+    got = recommend.recommend_cars(h, lv, top_k=2).orderBy("rank").collect()
+    assert [(r.make, r.match_score) for r in got] == [("a", 5.0), ("a", 5.0)]
+
+
+def test_no_window_by_cell_alone():
+    source = __import__("inspect").getsource(recommend)
+    assert 'partitionBy("cell")' not in source and "collect_set" not in source and "concat_ws" not in source
+
+
 def test_scores_are_bounded(spark):
     h = spark.createDataFrame([("d", "A", "x", 2010.0, 1000.0), ("d", "A", "x", 2012.0, 3000.0)],
                               "dealer_name string, make string, model string, year double, "
@@ -101,7 +159,8 @@ def test_exact_percentiles_match_numpy(spark):
         for _ in range(rnd.choice([1, 2, 3, 7, 40])):
             rows.append((f"g{g}" if g else None, rnd.choice([None, rnd.uniform(0, 1e5),
                                                              float(rnd.randint(0, 5))])))
-    # one large group exercises the sketch bracket path (more than 2 x accuracy rows)
+    # one large group, negative values, and heavy ties
+    rows += [("neg", rnd.uniform(-50, 50)) for _ in range(300)] + [("neg", -0.0), ("neg", 0.0)]
     rows += [("big", float(rnd.randint(0, 3000)) + rnd.random()) for _ in range(25000)]
     rows += [("big", 7.0)] * 3000                     # heavy ties inside the group
     df = spark.createDataFrame(rows, "k string, v double")
@@ -117,6 +176,28 @@ def test_exact_percentiles_match_numpy(spark):
             assert (want is None and have is None) or have == want, (k, name, have, want)
 
 
+def test_percentiles_do_not_depend_on_the_bands(spark):
+    rnd = random.Random(8)
+    rows = [(rnd.choice("ab"), rnd.choice([None, rnd.gauss(0, 1e4), 5.0])) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    probs = {"q1": 0.25, "median": 0.5}
+    one = sorted(exact_percentiles(df, ["k"], "v", probs, bands=1).collect())
+    assert one == sorted(exact_percentiles(df, ["k"], "v", probs, bands=5000).collect())
+
+
+def test_percentiles_read_the_input_once(spark):
+    import os
+    from lotwise.plans.registry import queries
+    from conftest import SMALL
+    if not os.path.isdir(SMALL):
+        pytest.skip("fixture data missing")
+    df = queries()["price_stats"](spark, SMALL)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("lineitem.parquet") == 1
+
+
 def test_shares_sum_to_100_and_scores_bounded(spark):
     import os
     from lotwise.plans.registry import queries
