@@ -14,9 +14,10 @@ it differs in all values of one collection: at 0.75, with 12 bands of 2, that is
    Candidates pass a length test and a test of the signatures, whose error at
    0.75 is below 1e-7, and are confirmed on the full sets.
 4. Buckets whose members are still in several components are searched to the
-   end: small ones by the pairs across components, large ones by an exact
-   prefix-filter join (two sets of similarity t share one of their rarest
-   ``n - ceil(t n) + 1`` shingles).
+   end by an exact prefix-filter join: two sets of similarity t share one of
+   their rarest ``n - ceil(t n) + 1`` shingles, and at the first that they share
+   enough must be left of both for the overlap that t asks for.  Only pairs
+   across components are looked for.
 5. Components of the confirmed links give each document its class id.
 
 Defined results: null or wordless texts have no shingles and link with nothing;
@@ -40,8 +41,8 @@ WORDS = 5
 PERCENT = 75
 BANDS = 12
 ROWS = 2
-#: Mixed buckets up to this size are searched by pairs, larger ones by prefixes.
-PAIR_LIMIT = 32
+#: Components of this many classes meet one another apart from the rest.
+GIANT = 64
 #: Candidates of one document that are confirmed in one group.
 STAR_LIMIT = 512
 #: Equal minhashes, of 48, below which a pair cannot be similar (error < 1e-7 at 0.75).
@@ -178,10 +179,12 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, words: int, star
             .mapInArrow(run, "u long, v long"))
 
 
-def prefix_pairs(members: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
+def prefix_pairs(members: DataFrame, texts: DataFrame, percent: int, words: int, giant: int = GIANT) -> DataFrame:
     """Pairs (a, b) across components that share a rare shingle: exact, without minhashes.
 
-    ``members`` has node and root of the classes in large mixed buckets.
+    ``members`` has the node and root of the classes in mixed buckets.  A pair
+    has at most one end in a giant component, or its ends in two of them, so
+    the shingles that one giant component alone has are never paired.
     """
 
     def run(batches):
@@ -195,27 +198,43 @@ def prefix_pairs(members: DataFrame, texts: DataFrame, percent: int, words: int)
                     [pa.array(np.repeat(nodes[lo:hi], size)), pa.array(np.repeat(size, size)),
                      pa.array(np.concatenate(sets).view(np.int64))], ["node", "n", "s"])
 
-    shingles = cut(texts.join(members.select("node"), "node").mapInArrow(run, "node long, n long, s long"),
-                   "shingles")
-    often = shingles.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df >= 2")
-    # shingles of one class alone come first in its order and meet nothing:
-    # of the prefix, only as many others as they leave over are needed
-    mine = Window.partitionBy("node").orderBy("df", "s")
-    rare = (shingles.join(often, "s")
-            .withColumn("rank", F.row_number().over(mine))
-            .withColumn("others", F.count(F.lit(1)).over(Window.partitionBy("node")))
-            .where(F.col("n") - F.col("others") + F.col("rank")
-                   <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1))
-    rare = rare.join(members, "node").select("s", "node", "n", "root")
-    other = rare.select("s", *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "root")])
-    return (rare.join(other, (rare.s == other.s) & (F.col("node") < F.col("o_node"))
-                      & (F.col("root") != F.col("o_root"))
-                      & (F.least("n", "o_n") * 100 >= F.greatest("n", "o_n") * percent))
-            .select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct())
+    sizes = members.groupBy("root").agg((F.count(F.lit(1)) >= giant).alias("giant"))
+    members = members.join(sizes, "root")
+    shingles = texts.join(members.select("node"), "node").mapInArrow(run, "node long, n long, s long")
+    shingles = cut(shingles.join(members, "node"), "shingles")
+    large = F.when(F.col("giant"), F.col("root"))
+    often = shingles.groupBy("s").agg(
+        F.count(F.lit(1)).alias("df"), (F.min("root") < F.max("root")).alias("mixed"),
+        F.coalesce(F.min(large) < F.max(large), F.lit(False)).alias("giants")).where("df >= 2")
+    # shingles of one class alone come first in its order and meet nothing, so
+    # the others' places follow from their number
+    mine = Window.partitionBy("node")
+    place = F.col("n") - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("df", "s"))
+    rare = cut(shingles.join(often, "s").withColumn("place", place).where(
+        F.col("mixed") & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)), "prefixes")
+    one = ["node", "n", "root", "place"]
+    other = rare.select("s", "giant", "giants", *[F.col(c).alias(f"o_{c}") for c in one])
+    total = F.col("n") + F.col("o_n")
+    overlap = F.ceil(total * percent / (100 + percent))
+    # whichever is smaller needs a shorter prefix, since the other is no smaller
+    short = lambda n: n - F.ceil(2 * n * percent / (100 + percent)) + 1
+    fits = ((F.least("n", "o_n") * 100 >= F.greatest("n", "o_n") * percent)
+            & F.when(F.col("n") <= F.col("o_n"), F.col("place") <= short(F.col("n")))
+            .otherwise(F.col("o_place") <= short(F.col("o_n")))
+            & (1 + F.least(F.col("n") - F.col("place"), F.col("o_n") - F.col("o_place")) >= overlap)
+            & (F.col("root") != F.col("o_root")))
+    found = None
+    for left, right, once in (
+            (rare.where("NOT giant"), other, F.col("giant") | (F.col("node") < F.col("o_node"))),
+            (rare.where("giant AND giants"), other.where("giant AND giants"), F.col("node") < F.col("o_node"))):
+        pairs = (left.select("s", *one).join(right, "s").where(fits & once)
+                 .select(F.col("node").alias("a"), F.col("o_node").alias("b")))
+        found = pairs if found is None else found.unionByName(pairs)
+    return found.distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS,
-                    rows: int = ROWS, pair_limit: int = PAIR_LIMIT, star_limit: int = STAR_LIMIT,
+                    rows: int = ROWS, giant: int = GIANT, star_limit: int = STAR_LIMIT,
                     least_equal: int = LEAST_EQUAL) -> DataFrame:
     """(id, h, n, component_id) for each document; ``docs`` is ``keyed``."""
     signed = cut(signatures(docs, words, bands, rows), "signatures")
@@ -235,20 +254,22 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
                           texts, percent, words, star_limit), "links")
     roots = components(links)
     placed = (buckets.join(roots, "node", "left")
-              .select("key", "size", "node", F.coalesce("root", "node").alias("root")))
+              .select("key", "node", F.coalesce("root", "node").alias("root")))
     mixed = (placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
              .where("lo < hi").select("key"))
-    mixed = cut(placed.join(mixed, "key"), "mixed")
-    few = mixed.where(F.col("size") <= pair_limit)
-    other = few.select("key", F.col("node").alias("b"), F.col("root").alias("o_root"))
-    pairs = (few.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("root") != F.col("o_root")))
-             .select(F.col("node").alias("a"), "b").distinct())
-    many = mixed.where(F.col("size") > pair_limit).select("node", "root").distinct()
-    pairs = pairs.unionByName(prefix_pairs(cut(many, "members"), texts, percent, words)).distinct()
-    more = confirmed(cut(plausible(pairs, classes, percent, least_equal), "pairs"),
-                     texts, percent, words, star_limit)
-    stars = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
-    roots = components(stars.unionByName(more))
+    members = cut(placed.join(mixed, "key").select("node", "root").distinct(), "members")
+    pairs = prefix_pairs(members, texts, percent, words, giant)
+    more = cut(confirmed(cut(plausible(pairs, classes, percent, least_equal), "pairs"),
+                         texts, percent, words, star_limit), "links")
+    if not more.isEmpty():
+        # the new links join components, so only those are merged
+        of = lambda c: members.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+        merged = components(more.join(of("u"), "u").join(of("v"), "v")
+                            .select(F.col("u_root").alias("u"), F.col("v_root").alias("v")))
+        merged = merged.select(F.col("node").alias("old"), F.col("root").alias("new"))
+        known = roots.unionByName(merged.select(F.col("old").alias("node"), F.col("old").alias("root"))).distinct()
+        roots = (known.join(merged, known["root"] == merged["old"], "left")
+                 .groupBy("node").agg(F.min(F.coalesce("new", "root")).alias("root")))
 
     whole = (classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     named = whole.groupBy("root").agg(F.min("least_id").alias("component_id"))

@@ -64,26 +64,42 @@ def corpus(seed, crowd=0):
     return rows + [rows[10], (None, rows[12][1]), (None, word() * 3)]
 
 
-@pytest.mark.parametrize("pair_limit", [32, 2])
-def test_matches_brute_force(spark, pair_limit):
-    rows = corpus(pair_limit, crowd=60)
+@pytest.mark.parametrize("giant", [64, 2])
+def test_matches_brute_force(spark, giant):
+    rows = corpus(giant, crowd=60)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = near_duplicates(keyed(docs), pair_limit=pair_limit).collect()
+    got = near_duplicates(keyed(docs), giant=giant).collect()
     found = [(int(r.id) if r.id else None, r.n, r.component_id) for r in got]
     assert as_key(found) == as_key(brute(rows))
 
 
-def test_prefix_search_alone_is_exact(spark):
+@pytest.mark.parametrize("giant", [1, 64])
+def test_prefix_search_alone_is_exact(spark, giant):
     rows = [r for r in corpus(5, crowd=30) if r[0] is not None and shingles(r[1])]
     texts = spark.createDataFrame([(i, (t or "").encode()) for i, (_, t) in enumerate(rows)], "node long, text binary")
     members = texts.selectExpr("node", "node AS root")
-    pairs = {(r.a, r.b) for r in minhash_dedup.prefix_pairs(members, texts, 75, 5).collect()}
+    pairs = {(r.a, r.b) for r in minhash_dedup.prefix_pairs(members, texts, 75, 5, giant).collect()}
     sets = [shingles(t) for _, t in rows]
     for i in range(len(rows)):
         for j in range(i):
             both = len(sets[i] & sets[j])
             if 100 * both >= 75 * len(sets[i] | sets[j]):
-                assert (j, i) in pairs
+                assert (j, i) in pairs or (i, j) in pairs
+
+
+def test_a_large_group_around_the_threshold(spark):
+    """Copies of one text with so many changes that about half of them link."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        text = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 5])):
+            text[rng.randrange(120)] = f"x{rng.randrange(300)}"
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_duplicates(keyed(docs)).collect()
+    assert as_key([(int(r.id), r.n, r.component_id) for r in got]) == as_key(brute(rows))
 
 
 def test_whole_table(spark):
