@@ -21,8 +21,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
-    return exact_dedup.keep_unique(docs)
+    """One document of each group of equal texts stays; a new index holds the digests."""
+    return exact_dedup.keep_unique(docs, exact_dedup.new_index(spark))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

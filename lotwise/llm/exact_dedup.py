@@ -85,19 +85,16 @@ def verdicts(rows: DataFrame, index: DigestIndex) -> DataFrame:
         F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def keep_unique(docs: DataFrame, index: DigestIndex | None = None,
-                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns.
+def keep_unique(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that stay, with all their columns; the index gets their digests.
 
-    With ``index``, texts that it holds go as well; call ``append`` with
-    ``groups(digest_rows(docs))`` afterwards to extend it.
+    Texts that the index holds already go, and of equal new texts one stays.
     """
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                          F.col(id_col).alias("doc_id"), digest(text_col).alias("digest"))
-    winners = groups(digest_rows(docs, id_col, text_col))
-    if index is not None:
-        winners = index.unseen(winners)
-    winners = winners.select(F.col("digest").alias("win"), "keep_id")
+    fresh = cut(index.unseen(groups(digest_rows(docs, id_col, text_col))), "fresh-digests")
+    index.append(fresh)
+    winners = fresh.select(F.col("digest").alias("win"), "keep_id")
     same = Window.partitionBy("digest", "doc_id").orderBy(F.xxhash64("row"))
     return (packed.join(winners, (F.col("digest") == F.col("win"))
                         & F.col("doc_id").eqNullSafe(F.col("keep_id")))
