@@ -4,8 +4,8 @@ Two small collections of ``bands`` band values (``rows`` minhashes each) are
 computed per document; a table key combines one value of the first with one of
 the second.  So ``bands ** 2`` tables of ``2 * rows`` minhashes cost
 ``2 * bands * rows`` minhashes.  A pair of similarity s meets in a table unless
-it differs in all values of one collection: at 0.75, with 12 bands of 2, that is
-2 * (1 - 0.75**2) ** 12 = 0.0001, and linked neighbours usually close the gap.
+it differs in all values of one collection: at 0.75, with 16 bands of 2, that is
+2 * (1 - 0.75**2) ** 16 = 0.000004, and linked neighbours usually close the gap.
 
 1. Documents with equal shingle sets form a class; only classes are compared.
 2. Band values that one class alone has can be in no shared key, so keys are
@@ -39,14 +39,14 @@ from lotwise.llm.tables import cut, table
 
 WORDS = 5
 PERCENT = 75
-BANDS = 12
+BANDS = 16
 ROWS = 2
 #: Components of this many classes meet one another apart from the rest.
 GIANT = 64
 #: Candidates of one document that are confirmed in one group.
 STAR_LIMIT = 512
-#: Equal minhashes, of 48, below which a pair cannot be similar (error < 1e-7 at 0.75).
-LEAST_EQUAL = 19
+#: Equal minhashes, of 64, below which a pair cannot be similar (error < 1e-7 at 0.75).
+LEAST_EQUAL = 29
 
 SIGNED = "id string, h long, n long, d1 long, d2 long, signature array<int>"
 
