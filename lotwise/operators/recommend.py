@@ -243,9 +243,10 @@ def recommend_cars(history: DataFrame, live: DataFrame, top_k: int,
     Order: ``match_score`` descending, then the car's columns.  Dealers without
     history get no rows, as on the dashboard.  Exact (module doc).
 
-    The search runs in two rounds.  The first covers the cells of the pairs
-    that a dealer bought; the k-th best of those cars scores ``tau``, so the
-    second needs only cells of makes and of all cars whose bound reaches it.
+    The search runs in two rounds.  The first covers the cells of a dealer's
+    best-scored pairs, as many as hold k live cars; the k-th best of those cars
+    scores ``tau``, so the second needs only the cells of other pairs, of makes
+    and of all cars whose bound reaches it.
     Four small tables (dealer moments, pair counts, live cars, the first
     round's best) are written to the shared checkpoint folder while the plan is
     built; the rest is lazy.
@@ -264,21 +265,36 @@ def recommend_cars(history: DataFrame, live: DataFrame, top_k: int,
     asked = lambda frame, cell: frame.select(key, cell.alias("cell"), "km_mean", "km_std")
     mk, md, y = F.col("make"), F.col("model"), F.col("year")
 
-    pairs = models.select(key, "make", "model").join(moments, key)
-    in_year = pairs.join(dated.select("make", "model", "year").distinct(), ["make", "model"]) \
-        .where(gain > 0)
-    first = asked(pairs, _cell(4, mk, md)).unionByName(asked(in_year, _cell(5, mk, md, y)))
+    # seeds: a dealer's best-scored pairs, as many as hold k live cars
+    stock = cars.groupBy("make", "model").agg(F.count(F.lit(1)).alias("stock"))
+    ahead = Window.partitionBy(key).orderBy(F.col("base").desc(), "make", "model") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    pairs = (models.select(key, "make", "model", "model_score")
+             .join(makes.select(key, "make", "make_score"), [key, "make"])
+             .withColumn("base", F.col("make_score") + F.col("model_score"))
+             .join(stock, ["make", "model"])
+             .withColumn("seed", F.coalesce(F.sum("stock").over(ahead), F.lit(0)) < top_k)
+             .select(key, "make", "model", "base", "seed"))
+    model_years = dated.select("make", "model", "year").distinct()
+    seeds = pairs.where("seed").join(moments, key)
+    in_year = seeds.join(model_years, ["make", "model"]).where(gain > 0)
+    first = asked(seeds, _cell(4, mk, md)).unionByName(asked(in_year, _cell(5, mk, md, y)))
     best = materialize(_first(_score(index.search(first, key), stats, makes, models, key), top_k, key))
 
     tau = best.groupBy(key).agg(F.when(F.count(F.lit(1)) >= top_k, F.min("match_score")).alias("tau"))
     moments = moments.join(tau, key, "left")
     matters = lambda bound: F.col("tau").isNull() | (bound >= F.col("tau") - F.lit(SLACK))
     top = F.lit(float(RANGE_POINTS))
+    rest = pairs.where("NOT seed").join(moments, key).where(matters(F.col("base") + top + top))
+    in_year = rest.join(model_years, ["make", "model"]) \
+        .where((gain > 0) & matters(F.col("base") + gain + top))
+    second = asked(rest.where(matters(F.col("base") + top)), _cell(4, mk, md)) \
+        .unionByName(asked(in_year, _cell(5, mk, md, y)))
     bought = makes.select(key, "make", "make_score").join(moments, key)
     in_year = bought.where(matters(F.col("make_score") + top + top)) \
         .join(dated.select("make", "year").distinct(), "make") \
         .where((gain > 0) & matters(F.col("make_score") + gain + top))
-    second = asked(bought.where(matters(F.col("make_score") + top)), _cell(2, mk)) \
+    second = second.unionByName(asked(bought.where(matters(F.col("make_score") + top)), _cell(2, mk))) \
         .unionByName(asked(in_year, _cell(3, mk, year=y)))
     by_year = _years_in_reach(moments, dated.select("year").distinct(), key) \
         .where((gain > 0) & matters(gain + top))
