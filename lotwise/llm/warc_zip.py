@@ -310,7 +310,9 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
         names = ("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload")
         return pa.RecordBatch.from_arrays([pa.array([h[i] for h in held], kind) for i, kind in enumerate(kinds)], names)
 
-    files = max(1, manifest.count())
+    # a task of its own for each archive, as far as a few waves of tasks go
+    waves = 4 * int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    files = max(1, min(manifest.count(), waves))
     return manifest.repartition(files).mapInArrow(run, READ + ", payload binary")
 
 
