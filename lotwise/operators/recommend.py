@@ -217,6 +217,11 @@ def _breakdown() -> Column:
         F.lit(", Mileage: "), one_decimal(F.col("km_score")))
 
 
+def _spans(cars: DataFrame, *columns: str) -> DataFrame:
+    """Least and greatest mileage of the cars of each cell."""
+    return cars.groupBy(*columns).agg(F.min("kilometers").alias("km_lo"), F.max("kilometers").alias("km_hi"))
+
+
 def _first(scored: DataFrame, k: int, key: str) -> DataFrame:
     order = Window.partitionBy(key).orderBy(F.col("match_score").desc(), "car")
     return scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
@@ -275,7 +280,7 @@ def recommend_cars(history: DataFrame, live: DataFrame, top_k: int,
              .join(stock, ["make", "model"])
              .withColumn("seed", F.coalesce(F.sum("stock").over(ahead), F.lit(0)) < top_k)
              .select(key, "make", "model", "base", "seed"))
-    model_years = dated.select("make", "model", "year").distinct()
+    model_years = _spans(dated, "make", "model", "year")
     seeds = pairs.where("seed").join(moments, key)
     in_year = seeds.join(model_years, ["make", "model"]).where(gain > 0)
     first = asked(seeds, _cell(4, mk, md)).unionByName(asked(in_year, _cell(5, mk, md, y)))
@@ -285,19 +290,23 @@ def recommend_cars(history: DataFrame, live: DataFrame, top_k: int,
     moments = moments.join(tau, key, "left")
     matters = lambda bound: F.col("tau").isNull() | (bound >= F.col("tau") - F.lit(SLACK))
     top = F.lit(float(RANGE_POINTS))
+    # the best mileage score in a cell is at the mean moved into its range
+    near = range_score(F.least(F.greatest("km_mean", "km_lo"), "km_hi"), F.col("km_mean"), F.col("km_std"))
     rest = pairs.where("NOT seed").join(moments, key).where(matters(F.col("base") + top + top))
     in_year = rest.join(model_years, ["make", "model"]) \
-        .where((gain > 0) & matters(F.col("base") + gain + top))
-    second = asked(rest.where(matters(F.col("base") + top)), _cell(4, mk, md)) \
+        .where((gain > 0) & matters(F.col("base") + gain + near))
+    rest = rest.join(_spans(cars, "make", "model"), ["make", "model"])
+    second = asked(rest.where(matters(F.col("base") + near)), _cell(4, mk, md)) \
         .unionByName(asked(in_year, _cell(5, mk, md, y)))
     bought = makes.select(key, "make", "make_score").join(moments, key)
     in_year = bought.where(matters(F.col("make_score") + top + top)) \
-        .join(dated.select("make", "year").distinct(), "make") \
-        .where((gain > 0) & matters(F.col("make_score") + gain + top))
-    second = second.unionByName(asked(bought.where(matters(F.col("make_score") + top)), _cell(2, mk))) \
+        .join(_spans(dated, "make", "year"), "make") \
+        .where((gain > 0) & matters(F.col("make_score") + gain + near))
+    bought = bought.join(_spans(cars, "make"), "make")
+    second = second.unionByName(asked(bought.where(matters(F.col("make_score") + near)), _cell(2, mk))) \
         .unionByName(asked(in_year, _cell(3, mk, year=y)))
-    by_year = _years_in_reach(moments, dated.select("year").distinct(), key) \
-        .where((gain > 0) & matters(gain + top))
+    by_year = _years_in_reach(moments, _spans(dated, "year"), key) \
+        .where((gain > 0) & matters(gain + near))
     second = second.unionByName(asked(moments.where(matters(top)), _cell(0))) \
         .unionByName(asked(by_year, _cell(1, year=y)))
     more = _score(index.search(second, key), stats, makes, models, key)
