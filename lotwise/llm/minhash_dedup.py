@@ -16,8 +16,9 @@ it differs in all values of one collection: at 0.75, with 16 bands of 2, that is
 4. Buckets whose members are still in several components are searched to the
    end by an exact prefix-filter join: two sets of similarity t share one of
    their rarest ``n - ceil(t n) + 1`` shingles, and at the first that they share
-   enough must be left of both for the overlap that t asks for.  Only pairs
-   across components are looked for.
+   enough must be left of both for the overlap that t asks for.  Counts of the
+   shingles by hash group bound the overlap once more.  Only pairs across
+   components are looked for.
 5. Components of the confirmed links give each document its class id.
 
 Defined results: null or wordless texts have no shingles and link with nothing;
@@ -41,6 +42,8 @@ WORDS = 5
 PERCENT = 75
 BANDS = 16
 ROWS = 2
+#: Hash groups whose counts bound the overlap of two classes.
+GROUPS = 64
 #: Components of this many classes meet one another apart from the rest.
 GIANT = 64
 #: Candidates of one document that are confirmed in one group.
@@ -210,9 +213,17 @@ def prefix_pairs(members: DataFrame, texts: DataFrame, percent: int, words: int,
     # the others' places follow from their number
     mine = Window.partitionBy("node")
     place = F.col("n") - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("df", "s"))
-    rare = cut(shingles.join(often, "s").withColumn("place", place).where(
-        F.col("mixed") & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)), "prefixes")
-    one = ["node", "n", "root", "place"]
+    shared = shingles.join(often, "s").withColumn("place", place)
+    # shingles that a class has in common with any other, counted by hash group:
+    # two classes share at most the smaller count of each group
+    groups = (shared.groupBy("node", F.pmod("s", F.lit(GROUPS)).cast("int").alias("g")).agg(
+        F.count(F.lit(1)).cast("int").alias("c")).groupBy("node").agg(
+        F.map_from_entries(F.collect_list(F.struct("g", "c"))).alias("by_group")))
+    groups = groups.select("node", F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda g: F.coalesce(
+        F.try_element_at("by_group", g), F.lit(0))).alias("counts"))
+    rare = cut(shared.where(
+        F.col("mixed") & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).join(groups, "node"), "prefixes")
+    one = ["node", "n", "root", "place", "counts"]
     other = rare.select("s", "giant", "giants", *[F.col(c).alias(f"o_{c}") for c in one])
     total = F.col("n") + F.col("o_n")
     overlap = F.ceil(total * percent / (100 + percent))
@@ -222,7 +233,9 @@ def prefix_pairs(members: DataFrame, texts: DataFrame, percent: int, words: int,
             & F.when(F.col("n") <= F.col("o_n"), F.col("place") <= short(F.col("n")))
             .otherwise(F.col("o_place") <= short(F.col("o_n")))
             & (1 + F.least(F.col("n") - F.col("place"), F.col("o_n") - F.col("o_place")) >= overlap)
-            & (F.col("root") != F.col("o_root")))
+            & (F.col("root") != F.col("o_root"))
+            & (F.aggregate(F.zip_with("counts", "o_counts", lambda x, y: F.least(x, y)), F.lit(0),
+                           lambda total, x: total + x) >= overlap))
     found = None
     for left, right, once in (
             (rare.where("NOT giant"), other, F.col("giant") | (F.col("node") < F.col("o_node"))),
