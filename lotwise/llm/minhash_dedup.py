@@ -107,6 +107,7 @@ def signatures(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: in
                  pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * count, pa.int32()),
                                           pa.array(flat.view(np.int32)))],
                 ["id", "h", "n", "d1", "d2", "signature"])
+        T.release()
 
     return docs.mapInArrow(run, SIGNED)
 
@@ -176,6 +177,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, words: int, star
                             links.append((a[k], b[k]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["u", "v"])
+        T.release()
 
     return (one.unionByName(two).repartition("b", "part")
             .sortWithinPartitions("b", "part", F.col("a").asc_nulls_first()).select("b", "a", "text")

@@ -25,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lotwise.llm import text as T
 from lotwise.llm.tables import cut, table
 
 WINDOW = 4096
 END_ID = 2
 BLOCK_PIECES = 32768
-CACHED_WORDS = 1 << 20
+CACHED_WORDS = 1 << 18
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -73,6 +74,10 @@ class WordTokenizer:
         cuts = (4 * np.searchsorted(at, starts)).tolist()
         self._cache.update((w, ids[a:b]) for w, a, b in zip(words, cuts, cuts[1:]))
 
+    def clear(self) -> None:
+        """Forget the words: a reused worker must not hold them during other stages."""
+        self._cache.clear()
+
     def ids(self, text: bytes) -> bytes:
         if b"<|" in text:
             return self.whole(text)
@@ -114,6 +119,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: i
             columns = list(zip(*out)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns],
                                              ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        coder.clear()
+        T.release()
 
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     return docs.select(F.col(id_col).cast("long"), text.alias("text")).mapInArrow(run, PIECES)

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -214,6 +215,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("order"), batch.column("doc_id"), batch.column("label"),
                  pa.array(sets, pa.list_(pa.int32()))], ["order", "doc_id", "label", "features"])
+        T.release()
 
     def solve(rows):
         rows = rows.sort_by([("order", "ascending"), ("doc_id", "ascending"), ("label", "ascending")])
@@ -241,6 +243,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(values), pa.array((values >= threshold).astype(np.int32))],
                 ["doc_id", "score", "predicted"])
+        T.release()
 
     return (_plain(docs, F.col("doc_id").cast("long").alias("doc_id"))
             .mapInArrow(run, "doc_id long, score double, predicted int"))
@@ -253,11 +256,12 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
 
     def run(batches):
         for batch in batches:
-            text = pa.array([(t or "").encode() for t in batch.column(place).to_pylist()], pa.binary())
+            text = pc.fill_null(batch.column(place), "").cast(pa.binary())
             one = pa.RecordBatch.from_arrays([text], ["text"])
             scores = [shared.value.scores(sets) for sets in _batches(one)]
             keep = np.concatenate(scores) >= threshold if scores else np.zeros(0, bool)
             yield batch.filter(pa.array(keep))
+        T.release()
 
     return docs.mapInArrow(run, docs.schema)
 

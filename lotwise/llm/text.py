@@ -24,6 +24,11 @@ _LOWER[65:91] += 32
 _powers: dict[int, np.ndarray] = {}
 
 
+def release() -> None:
+    """Give Arrow's free memory back at a task's end; Spark keeps the workers."""
+    pa.default_memory_pool().release_unused()
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """``base**0 .. base**n`` modulo 2**64; grown once per process."""
     have = _powers.get(base)
