@@ -38,7 +38,8 @@ SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 50
 MOST_REPEAT = 50
 
-HALF = 0.75
+#: Half of a group, so that copies or another kind of text may hold almost as much of it.
+HALF = 0.5
 STEPS = 3
 LEAST_GROUP = 50
 #: Chance that a clean text of a normal group lies beyond the cutoff.

@@ -92,3 +92,16 @@ def test_plan_has_no_python(spark):
     plan = base_statistics(table(spark, SMALL, "documents"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert quality_rules.DIMENSIONS == len(quality_rules.FLOORS) == len(quality_rules.vector())
+
+
+def test_copies_of_one_junk_text_in_a_third_of_a_group_go(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
+    clean = lambda: " ".join(word() for _ in range(rng.randint(60, 200)))
+    texts = [clean() for _ in range(100)]
+    junk = " ".join(word() + ("***" if k % 2 else "") for k in range(80))
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts + [junk] * 50)]
+    got = {r.doc_id: r.kept for r in judge(spark.createDataFrame(
+        rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i] for i in range(100))
+    assert not any(got[i] for i in range(100, 150))
