@@ -56,14 +56,18 @@ CONTAINER = frozenset("div section details figure table ul ol dl center".split()
 CLOSED_BY_BLOCK = frozenset(("p",))
 SAME_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"),
              "td": ("td", "th"), "th": ("td", "th")}
-#: Words of class, id or role names that mark what is no article text.
+#: Class, id or role names, or their leading words, that mark what is no article text.
 MARKS = frozenset("""ad ads advert adverts advertisement advertising banner sponsored promo comment comments disqus
     cookie cookies consent notice notices alert popup modal nav navbar navigation menu breadcrumb breadcrumbs sidebar
     footer header masthead share sharing social related newsletter subscribe""".split())
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
+#: A quote opens a value only after "="; possessive, so a tag without an end costs no backtracking.
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)"""
+                 r"""((?:=\s*+(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*+)|[^>])*+)>|<[!?][^>]*>""", re.S)
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-SPLIT = re.compile(r"[^a-z0-9]+")
+LEAD = re.compile(r"[a-z0-9]+")
+#: Elements that hold the text itself; their class names speak of the page.
+UNMARKED = MAIN | {"html", "body"}
 RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 
 PAGE = ("page_id long, url string, host string, digest long, subtrees array<long>, "
@@ -73,8 +77,8 @@ PAGE = ("page_id long, url string, host string, digest long, subtrees array<long
 def _marked(attributes: str) -> bool:
     if not attributes:
         return False
-    return any(word in MARKS for m in NAMED.finditer(attributes)
-               for word in SPLIT.split((m[1] or m[2] or m[3] or "").lower()))
+    names = (name for m in NAMED.finditer(attributes) for name in (m[1] or m[2] or m[3] or "").lower().split())
+    return any(lead[0] in MARKS for lead in map(LEAD.match, names) if lead)
 
 
 class _Element:
@@ -83,7 +87,8 @@ class _Element:
     def __init__(self, name, attributes, parent, first):
         self.name, self.first = name, first
         self.parts = [f"<{name}{attributes}>"]  # for the subtree's hash
-        self.dropped = parent is not None and parent.dropped or name in DROPPED or _marked(attributes)
+        self.dropped = parent is not None and parent.dropped or name in DROPPED or (
+            name not in UNMARKED and _marked(attributes))
         self.main = parent is not None and parent.main or name in MAIN
 
 

@@ -28,6 +28,21 @@ def test_broken_markup():
     assert text("<div>" * 3000 + "deep") == "deep"
 
 
+def test_marks_drop_only_what_they_name():
+    for name in ("has-sidebar", "no-sidebar", "comments-open", "menu-open"):
+        assert text(f"<body class='{name}'><p>kept</p></body>") == "kept"
+    assert text("<article class='post category-social'><p>kept</p></article>") == "kept"
+    assert text("<main id=menu><div class='with-sidebar'><p>kept</p></div></main>") == "kept"
+    assert text("<div class='x sidebar-left'>no</div><div id=Cookie_box>no</div><p>kept") == "kept"
+
+
+def test_quotes_open_a_value_only_after_an_equals_sign():
+    assert text("<p title=it's>two words</p><p>three</p><p>isn't four</p>") == "two words three isn't four"
+    assert text("<p o'clock>one</p><p>it's</p>") == "one it's"
+    assert text("""<p title = 'a>b' lang="c>d">x</p>""") == "x"
+    assert text("x " + '<a b="c" ' * 3000) == "x"
+
+
 def page(host, i, body):
     return (i, f"http://{host}/{i}", f"<html><body><div><p>Top of {host}</p></div>{body}</body></html>", "x")
 
