@@ -2,13 +2,15 @@
 
 Each page is parsed into an element tree once.  Every element outside the
 article gets a Merkle hash of its subtree; the hashes are counted per host over
-pages with different content, and a subtree that recurs across many of them is
-part of the site's template and goes.  What markup itself names as no article
+pages with different article texts (all their texts, if they have no article),
+and a subtree that recurs across many of them is part of the site's template and
+goes, if the page has text besides that does not recur.  What markup itself names as no article
 text (menus, headers, footers, sidebars, forms, scripts, notices, adverts,
 reader comments) goes as well.  If a page has an ``article`` or ``main``
-element, its text is that element's; its paragraphs, headings and lists stay
-even where copies of the article recur on the host, and only its generic
-containers can be template.  A page without one gives the rest of its body.
+element, its text is that element's; its paragraphs, headings, lists, tables and
+the like stay even where copies of the article recur on the host, in containers
+too; only text that stands in generic containers alone can be template.  A page
+without one gives the rest of its body.
 
 The text that is left is cut at block elements; character references are
 decoded, white space in a block becomes one space, blocks are trimmed and joined
@@ -20,7 +22,7 @@ their host's template, which is bounded by the subtrees of a page divided by
 ``least_share``.
 
 Defined results: null html is empty and gives an empty text; a null or odd url
-belongs to the host ''; repeated and equal pages count once for the template;
+belongs to the host ''; pages of equal article text count once for the template;
 an empty table gives no rows.
 """
 
@@ -51,8 +53,12 @@ BLOCK = frozenset("""address article aside blockquote body br caption center dd
 DROPPED = frozenset("""aside audio button canvas dialog embed footer form head header iframe input map math menu
     nav noembed noframes noscript object script select style svg template textarea title video""".split())
 MAIN = frozenset(("article", "main"))
-#: Generic containers, the only elements inside an article that can be template.
 CONTAINER = frozenset("div section details figure table ul ol dl center".split())
+#: Generic containers, the only elements inside an article that can be template.
+GENERIC = frozenset("div section details center".split())
+#: Elements whose text inside an article is always the article's.
+PROSE = frozenset("""p h1 h2 h3 h4 h5 h6 ul ol dl li dt dd table caption td th figure figcaption blockquote pre
+    address""".split())
 CLOSED_BY_BLOCK = frozenset(("p",))
 SAME_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"),
              "td": ("td", "th"), "th": ("td", "th")}
@@ -71,7 +77,7 @@ UNMARKED = MAIN | {"html", "body"}
 RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 
 PAGE = ("page_id long, url string, host string, digest long, subtrees array<long>, "
-        "blocks array<struct<text: string, within: array<long>>>")
+        "blocks array<struct<text: string, within: array<long>, own: long>>")
 
 
 def _marked(attributes: str) -> bool:
@@ -82,7 +88,7 @@ def _marked(attributes: str) -> bool:
 
 
 class _Element:
-    __slots__ = ("name", "parts", "dropped", "main", "within", "first")
+    __slots__ = ("name", "parts", "dropped", "main", "prose", "first")
 
     def __init__(self, name, attributes, parent, first):
         self.name, self.first = name, first
@@ -90,14 +96,19 @@ class _Element:
         self.dropped = parent is not None and parent.dropped or name in DROPPED or (
             name not in UNMARKED and _marked(attributes))
         self.main = parent is not None and parent.main or name in MAIN
+        self.prose = parent is not None and parent.prose or self.main and name in PROSE
+
+
+def _signed(hash_: int) -> int:
+    return hash_ - (1 << 64) if hash_ >> 63 else hash_
 
 
 class Page:
     """Blocks of a page and the hashes of the subtrees that hold them."""
 
     def __init__(self, source: str):
-        self.texts: list[tuple[str, bool]] = []  # each block and whether it is in the article
-        self.spans: list[tuple[int, int, int]] = []  # subtree hash, first block, end block
+        self.texts: list[tuple[str, bool, bool]] = []  # each block, whether in the article, and in its prose
+        self.spans: list[tuple[int, int, int, bool]] = []  # subtree hash, first block, end block, in the article
         self.hashes: set[int] = set()
         self._pending: list[str] = []
         self._stack = [_Element("", "", None, 0)]
@@ -108,7 +119,7 @@ class Page:
             text = " ".join(html.unescape("".join(self._pending)).split())
             self._pending = []
             if text:
-                self.texts.append((text, self._stack[-1].main))
+                self.texts.append((text, self._stack[-1].main, self._stack[-1].prose))
 
     def _text(self, data: str) -> None:
         if data:
@@ -159,11 +170,11 @@ class Page:
             hash_ = xxhash.xxh3_64_intdigest("\x00".join(element.parts))
             self._stack[-1].parts.append(f"{hash_:x}")
             free = element.name not in ("html", "body", "head") and element.name not in MAIN
-            if free and (not element.main or element.name in CONTAINER):
-                signed = hash_ - (1 << 64) if hash_ >> 63 else hash_
+            if free and (not element.main or element.name in GENERIC):
+                signed = _signed(hash_)
                 self.hashes.add(signed)
                 if len(self.texts) > element.first and not element.dropped:
-                    self.spans.append((signed, element.first, len(self.texts)))
+                    self.spans.append((signed, element.first, len(self.texts), element.main))
 
     def _parse(self, source: str) -> None:
         at, raw = 0, None
@@ -197,31 +208,45 @@ class Page:
         self._flush()
 
     def blocks(self) -> list[tuple[str, list[int]]]:
-        """The article's blocks, or all if there is none, with the subtrees around each."""
-        article = any(main for _, main in self.texts)
+        """The article's blocks, or all if there is none, with the subtrees around each that can be template."""
+        article = any(main for _, main, _ in self.texts)
         out = []
-        for k, (text, main) in enumerate(self.texts):
+        for k, (text, main, prose) in enumerate(self.texts):
             if main or not article:
-                out.append((text, [h for h, first, end in self.spans if first <= k < end]))
+                out.append((text, [] if prose else [h for h, first, end, inside in self.spans
+                                                    if first <= k < end and inside == main]))
         return out
 
 
+def _rows(source: str) -> tuple[int, list[int], list[dict]]:
+    """A page's digest of article text, the hashes it counts for, and its blocks.
+
+    If one of its blocks can be template, the hashes include those of the blocks' texts.
+    """
+    page = Page(source)
+    blocks = page.blocks()
+    digest = _signed(xxhash.xxh3_64_intdigest("\n".join(t for t, _ in blocks)))
+    own = [None] * len(blocks)
+    if any(within for _, within in blocks):
+        own = [_signed(xxhash.xxh3_64_intdigest("\x01" + t)) for t, _ in blocks]
+        page.hashes.update(own)
+    return digest, sorted(page.hashes), [{"text": t, "within": w, "own": o} for (t, w), o in zip(blocks, own)]
+
+
 def parse_pages(pages: DataFrame) -> DataFrame:
-    """One row per page: host, content digest, subtree hashes and blocks."""
+    """One row per page: host, digest of the article text, subtree hashes and blocks."""
 
     def run(batches):
         for batch in batches:
             rows = list(zip(*(batch.column(n).to_pylist() for n in ("page_id", "url", "host", "html"))))
             for lo in range(0, len(rows), 500):
                 ids, urls, hosts, sources = (list(c) for c in zip(*rows[lo:lo + 500]))
-                parsed = [Page(s) for s in sources]
-                digests = [xxhash.xxh3_64_intdigest(s) for s in sources]
+                digests, subtrees, blocks = (list(c) for c in zip(*map(_rows, sources)))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(hosts, pa.string()),
-                    pa.array([d - (1 << 64) if d >> 63 else d for d in digests], pa.int64()),
-                    pa.array([sorted(p.hashes) for p in parsed], pa.list_(pa.int64())),
-                    pa.array([[{"text": t, "within": w} for t, w in p.blocks()] for p in parsed],
-                             pa.list_(pa.struct([("text", pa.string()), ("within", pa.list_(pa.int64()))])))],
+                    pa.array(digests, pa.int64()), pa.array(subtrees, pa.list_(pa.int64())),
+                    pa.array(blocks, pa.list_(pa.struct([("text", pa.string()), ("within", pa.list_(pa.int64())),
+                                                         ("own", pa.int64())])))],
                     ["page_id", "url", "host", "digest", "subtrees", "blocks"])
 
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), host_of("url").alias("host"),
@@ -229,7 +254,7 @@ def parse_pages(pages: DataFrame) -> DataFrame:
 
 
 def templates(parsed: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(host, subtrees): the subtrees that recur across many different pages of a host."""
+    """(host, subtrees): the subtrees that recur across many different article texts of a host."""
     pages = (parsed.select("host", "digest").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
              .where(F.col("pages") >= least_pages))
     seen = (parsed.select("host", "digest", F.explode("subtrees").alias("subtree")).distinct()
@@ -243,9 +268,12 @@ def main_texts(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: fl
     parsed = cut(parse_pages(pages), "parsed")
     removable = F.exists("blocks", lambda b: F.size(b["within"]) > 0)
     found = templates(parsed, least_pages, least_share)
+    inside = lambda b: F.arrays_overlap(b["within"], F.col("template"))
+    # a page all of whose text recurs is a copy, and keeps it
+    unique = F.exists("blocks", lambda b: ~inside(b) & ~F.array_contains(F.col("template"), b["own"]))
     judged = (parsed.where(removable).join(found, F.col("host") == F.col("t_host"), "left")
-              .withColumn("blocks", F.when(F.col("template").isNull(), F.col("blocks")).otherwise(
-                  F.filter("blocks", lambda b: ~F.arrays_overlap(b["within"], F.col("template")))))
+              .withColumn("blocks", F.when(F.col("template").isNull() | ~unique, F.col("blocks")).otherwise(
+                  F.filter("blocks", lambda b: ~inside(b))))
               .select("page_id", "url", "blocks"))
     both = judged.unionByName(parsed.where(~removable).select("page_id", "url", "blocks"))
     return both.select("page_id", "url", F.array_join(F.transform("blocks", lambda b: b["text"]), " ").alias("text"))

@@ -69,6 +69,27 @@ def test_templates_are_counted_per_host(spark):
     assert main_texts(frame).count() == len(rows) + 1
 
 
+def test_copies_of_an_article_under_different_menus_keep_it(spark):
+    story = "<h1>Head</h1><p>One story.</p><ul><li>a<li>b</ul><table><tr><td>c</table>"
+    bodies = {"a.com": f"<article><div class=body>{story}</div></article>",
+              "b.com": "<article><div>Plain</div><section>words</section></article>",
+              "c.com": f"<div class=wrap><main>{story}<p>Licence</p></main></div>"}
+    texts = {"a.com": "Head One story. a b c", "b.com": "Plain words", "c.com": "Head One story. a b c Licence"}
+    rows = [page(h, 100 * k + i, f"<nav>menu {i}</nav>{b}<div class=comments>reply {i}</div>")
+            for k, (h, b) in enumerate(bodies.items()) for i in range(10)]
+    # other articles of the hosts, so that their copies are a part of the pages
+    rows += [page(h, 1000 + 100 * k + i, f"<article><p>Own {i}</p></article>") for k, h in enumerate(bodies)
+             for i in range(10)]
+    # the date of each copy is in the article, the paragraphs stay in their container
+    rows += [page("d.com", 2000 + i, f"<article><div>{story}</div><p>Day {i}</p></article>") for i in range(10)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
+    got = {r.page_id: r.text for r in main_texts(frame).collect()}
+    for k, h in enumerate(bodies):
+        assert {got[100 * k + i] for i in range(10)} == {texts[h]}
+        assert [got[1000 + 100 * k + i] for i in range(10)] == [f"Own {i}" for i in range(10)]
+    assert [got[2000 + i] for i in range(10)] == [f"Head One story. a b c Day {i}" for i in range(10)]
+
+
 def test_empty_table(spark):
     frame = spark.createDataFrame([], "page_id long, url string, html string")
     assert main_texts(frame).collect() == []
