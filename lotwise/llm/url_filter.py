@@ -2,14 +2,13 @@
 
 Fixed rules (host and path prefix) come first; the longest that fits decides.
 Every other URL is judged by association rules: FP-growth over the token sets of
-labelled URLs, with a ``bad`` item for bad labels, gives rules "tokens -> bad";
-those with enough support and confidence block.
+URLs labelled bad gives the combinations that a fixed number of bad URLs share,
+whatever the size of the table.  They are counted over all labelled URLs; those
+bad often enough, and no less often than labelled URLs at large, block.
 
-Rules are found through an inverted index, a map from each rule's rarest token
-to the rule.  Its size has a bound that does not grow with the corpus: an
-antecedent occurs in at least ``min_support`` of the labelled URLs, so there are
-at most (combinations per URL) / ``min_support``.  Only built-in expressions and
-the JVM's FP-growth run.
+Rules are a table, found through an inverted index: they are joined by their
+rarest token with the distinct token sets of the URLs.  Only built-in
+expressions and the JVM's FP-growth run.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path,
 fits no fixed rule and is judged by its (no) tokens: it is allowed.  Null labels
@@ -19,7 +18,7 @@ mined.  An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,11 +29,10 @@ from lotwise.llm.tables import cut, table
 #: (verdict, host, path prefix), fixed by the query's contract
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
          ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-MIN_SUPPORT = 0.005
-#: A combination needs this many labelled URLs, however few there are in all.
+#: A combination needs as many bad URLs as this many URLs have at the least
+#: confidence, however few or many there are in all.
 MIN_COUNT = 50
 MIN_CONFIDENCE = 0.5
-BAD = "label:bad"
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -79,9 +77,15 @@ def parsed(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", "host", "path", tokens("url", F.col("host"), F.col("path")).alias("tokens"))
 
 
-def mine(rows: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT,
-         min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT) -> list[tuple[tuple[str, ...], float]]:
-    """Token combinations that imply a bad label, with their confidence.
+def hits(sets: DataFrame, rules: DataFrame) -> DataFrame:
+    """The rows of ``sets`` (with tokens) beside each rule whose antecedent they contain, by inverted index."""
+    return (sets.withColumn("token", F.explode("tokens")).join(rules, F.col("token") == F.col("lead"))
+            .where(F.size(F.array_except("antecedent", "tokens")) == 0))
+
+
+def rule_table(rows: DataFrame, labels: DataFrame, min_confidence: float = MIN_CONFIDENCE,
+               min_count: int = MIN_COUNT) -> DataFrame | None:
+    """(antecedent, lead, confidence): token combinations that imply a bad label; None if there are none.
 
     Only combinations that no smaller one already covers are kept.
     """
@@ -89,47 +93,49 @@ def mine(rows: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT,
 
     bad = (F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)
     marks = labels.select(F.col("doc_id").alias("l_id"), bad.alias("bad"))
-    items = F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens"))
-    baskets = cut(rows.join(marks, F.col("page_id") == F.col("l_id")).select(items.alias("items")), "baskets")
-    labelled = baskets.count()
-    if labelled < min_count:
-        return []
-    # support counts the combination with the label, so the floor is that of
-    # the rule's bad rows
-    support = min(1.0, max(min_support, min_count * min_confidence / labelled))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
-    found = model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD)))
-    mined = sorted(((tuple(sorted(r.antecedent)), r.confidence) for r in found.toLocalIterator()),
-                   key=lambda r: (len(r[0]), r[0]))
-    kept: list[tuple[tuple[str, ...], float]] = []
-    for antecedent, confidence in mined:
-        if not any(set(k) <= set(antecedent) for k, _ in kept):
-            kept.append((antecedent, confidence))
-    return kept
-
-
-def matches(rules: list[tuple[tuple[str, ...], float]], items: str) -> Column:
-    """Whether a row's tokens contain the antecedent of a rule, by inverted index."""
-    if not rules:
-        return F.lit(False)
-    often = Counter(t for antecedent, _ in rules for t in antecedent)
-    index: dict[str, list[Column]] = {}
-    for antecedent, _ in rules:
-        lead = min(antecedent, key=lambda t: (often[t], t))
-        index.setdefault(lead, []).append(F.array(*[F.lit(t) for t in antecedent]))
-    entries = F.create_map(*[x for t, found in sorted(index.items()) for x in (F.lit(t), F.array(*found))])
-    return F.exists(items, lambda t: F.coalesce(
-        F.exists(F.try_element_at(entries, t), lambda rule: F.size(F.array_except(rule, F.col(items))) == 0),
-        F.lit(False)))
+    baskets = cut(rows.join(marks, F.col("page_id") == F.col("l_id")).select("tokens", "bad"), "baskets")
+    total, n_bad = baskets.agg(F.count(F.lit(1)), F.count_if("bad")).first()
+    least = max(1, math.ceil(min_count * min_confidence - 1e-9))
+    if n_bad < least:
+        return None
+    # half a row less, so that rounding of the share does not ask for one more
+    model = FPGrowth(itemsCol="tokens", minSupport=(least - 0.5) / n_bad).fit(baskets.where("bad").select("tokens"))
+    sets = cut(baskets.groupBy("tokens").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("n_bad")), "sets")
+    often = sets.select(F.explode("tokens").alias("token"), "n").groupBy("token").agg(F.sum("n").alias("often"))
+    found = model.freqItemsets.select(F.sort_array("items").alias("antecedent"))
+    found = cut(found.withColumn("token", F.explode("antecedent")).join(often, "token").groupBy("antecedent")
+                .agg(F.min(F.struct("often", "token"))["token"].alias("lead")), "combinations")
+    counted = (hits(sets, found).groupBy("antecedent", "lead")
+               .agg((F.sum("n_bad") / F.sum("n")).alias("confidence")))
+    rules = cut(counted.where(F.col("confidence") >= max(min_confidence, n_bad / total)), "rules")
+    larger = rules.select(F.col("antecedent").alias("tokens"))
+    covered = (hits(larger, rules).where(F.size("antecedent") < F.size("tokens"))
+               .select(F.col("tokens").alias("antecedent")).distinct())
+    return rules.join(covered, "antecedent", "left_anti")
+
+
+def mine(rows: DataFrame, labels: DataFrame, min_confidence: float = MIN_CONFIDENCE,
+         min_count: int = MIN_COUNT) -> list[tuple[tuple[str, ...], float]]:
+    """The rules as a list, to look at."""
+    rules = rule_table(rows, labels, min_confidence, min_count)
+    found = [] if rules is None else [(tuple(r.antecedent), r.confidence) for r in rules.collect()]
+    return sorted(found, key=lambda r: (len(r[0]), r[0]))
+
+
+def with_matches(rows: DataFrame, rules: DataFrame | None) -> DataFrame:
+    """``rows`` with ``mined``, whether their tokens contain the antecedent of a rule."""
+    if rules is None:
+        return rows.withColumn("mined", F.lit(False))
+    blocked = hits(rows.select("tokens").distinct(), rules).select(F.col("tokens").alias("b_tokens")).distinct()
+    return (rows.join(blocked, F.col("tokens") == F.col("b_tokens"), "left")
+            .withColumn("mined", F.col("b_tokens").isNotNull()))
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
-          min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
-          min_count: int = MIN_COUNT) -> DataFrame:
+          min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT) -> DataFrame:
     """(page_id, host, path, rule, verdict, mined) for each page."""
     rows = parsed(pages)
-    mined = mine(rows, labels, min_support, min_confidence, min_count)
-    rows = rows.withColumn("mined", matches(mined, "tokens"))
+    rows = with_matches(rows, rule_table(rows, labels, min_confidence, min_count))
     name, verdict = rule_match(rules, F.col("host"), F.col("path"))
     own = F.when(F.col("mined"), F.lit("block")).otherwise(F.lit("allow"))
     return rows.select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, own).alias("verdict"),

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from lotwise.llm.url_filter import host_of, judge, mine, parsed, path_of
 
 URLS = [
@@ -52,6 +54,17 @@ def test_mined_rules_match_brute_force(spark):
     assert verdicts[1000] and not verdicts[1001] and not verdicts[1002]
 
 
+def test_a_bad_host_is_mined_at_every_size(spark):
+    hosts = [(i, f"http://spam.example.net/a{i}") for i in range(30)]
+    for others in (0, 200, 12000):
+        pages = spark.createDataFrame(hosts + [(1000 + i, f"https://h{i % 50}.example.net/b/{i}") for i in range(others)],
+                                      "page_id long, url string")
+        labels = pages.select(F.col("page_id").alias("doc_id"), F.when(F.col("page_id") < 1000, 0).otherwise(1)
+                              .alias("quality"), F.lit(0).alias("toxic"))
+        got = {r.page_id: r.verdict for r in judge(pages, labels).collect()}
+        assert all(got[i] == ("block" if i < 1000 else "allow") for i in got) and len(got) == 30 + others
+
+
 def test_too_few_labels_mine_nothing(spark):
     pages, labels = labelled(spark)
     assert mine(parsed(pages), labels.limit(10)) == []
