@@ -43,7 +43,12 @@ TAIL = re.compile(rb"(?<=[a-z0-9])([.,;:!?*#%&$|]+)(?=[ \t\n\r\x0b\x0c]|\Z)")
 
 
 class WordTokenizer:
-    """Token ids of a text, word by word, with a bounded cache of words.
+    """Token ids of a text, word by word, with a bounded cache of words in two generations.
+
+    A new word enters the young generation; when that holds half of
+    ``cached_words`` it becomes the old one, and what was old and not used since
+    is forgotten.  The cache outlives a task, since the next task of a worker
+    meets mostly the same words.
 
     The vocabulary lower-cases texts, and its pre-tokeniser never joins
     characters across ASCII white space, nor letters or digits with a run of
@@ -57,8 +62,9 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
         self._tokenizer = Tokenizer.from_file(path)
-        self._limit = cached_words
-        self._cache: dict[bytes, bytes] = {}
+        self._limit = max(1, cached_words // 2)
+        self._young: dict[bytes, bytes] = {}
+        self._old: dict[bytes, bytes] = {}
 
     def whole(self, text: bytes) -> bytes:
         ids = self._tokenizer.encode(text.decode("utf-8"), add_special_tokens=False).ids
@@ -72,24 +78,23 @@ class WordTokenizer:
         at = np.fromiter((o[0] for o in coded.offsets), np.int64, len(coded.ids))
         ids = np.asarray(coded.ids, "<u4").tobytes()
         cuts = (4 * np.searchsorted(at, starts)).tolist()
-        self._cache.update((w, ids[a:b]) for w, a, b in zip(words, cuts, cuts[1:]))
-
-    def clear(self) -> None:
-        """Forget the words: a reused worker must not hold them during other stages."""
-        self._cache.clear()
+        self._young.update((w, ids[a:b]) for w, a, b in zip(words, cuts, cuts[1:]))
 
     def ids(self, text: bytes) -> bytes:
         if b"<|" in text:
             return self.whole(text)
         words = TAIL.sub(rb" \1", text.lower()).split()
-        cache = self._cache
-        missing = [w for w in dict.fromkeys(words) if w not in cache]
+        young, old = self._young, self._old
+        missing = [w for w in dict.fromkeys(words) if w not in young]
         if missing:
-            if len(cache) + len(missing) > self._limit:
-                cache.clear()
-                missing = list(dict.fromkeys(words))
-            self._learn(missing)
-        return b"".join([cache[w] for w in words])
+            young.update((w, old[w]) for w in missing if w in old)
+            new = [w for w in missing if w not in old]
+            if new:
+                self._learn(new)
+        out = b"".join([young[w] for w in words])
+        if len(young) > self._limit:
+            self._old, self._young = young, {}
+        return out
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -119,7 +124,6 @@ def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: i
             columns = list(zip(*out)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns],
                                              ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-        coder.clear()
         T.release()
 
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")

@@ -30,7 +30,7 @@ def test_words_give_the_ids_of_the_whole_text(tokenizer):
     texts = ODD + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 80))) for _ in range(3000)]
     for text in texts:
         assert coder.ids(text.encode()) == ids(tokenizer, text)[:-1].tobytes(), text
-    assert len(coder._cache) <= 600
+    assert len(coder._young) + len(coder._old) <= 1200
 
 
 def test_tree_finds_the_tightest_capacity():
