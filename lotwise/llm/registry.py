@@ -5,9 +5,11 @@ from __future__ import annotations
 from lotwise.llm import (
     exact_dedup,
     html_text,
+    license_scan,
     minhash_dedup,
     mixing,
     packing,
+    periodic_runs,
     quality_classifier,
     quality_rules,
     suffix_dedup,
@@ -26,6 +28,8 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_packing": packing.op10_packing,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_license_scan": license_scan.op12_license_scan,
 }
 
 ORACLE_SQL = {
