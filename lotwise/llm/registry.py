@@ -15,6 +15,7 @@ from lotwise.llm import (
     suffix_dedup,
     url_filter,
     warc_zip,
+    whitening,
 )
 
 QUERIES = {
@@ -30,6 +31,7 @@ QUERIES = {
     "op10_packing": packing.op10_packing,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
     "op12_license_scan": license_scan.op12_license_scan,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 ORACLE_SQL = {
