@@ -27,9 +27,12 @@ does.  ``recommend_cars`` reports the exact first ``top_k`` cars of every dealer
    with its first k cars) and the cell's first k cars, which fill up when
    fewer than k cars have K > 0.
 
-A cell's mileages are held in buckets of ``KM_WIDTH``; a directory of bucket
-sizes tells which neighbouring buckets a dealer needs.  Cells and cars are
-compared as structs, field by field, never as joined text.
+A cell's mileages are ranked and dealt to blocks of ``max(k, sqrt(m))`` of its
+``m`` mileages.  A binary search over the blocks' first mileages finds a dealer's
+block; it and its two neighbours hold the k nearest mileages on each side.  Once
+k cars are known, only mileages whose score can still reach the k-th best are
+taken.  Cells and cars are compared as structs, field by field, never as joined
+text.
 """
 
 from __future__ import annotations
@@ -47,13 +50,15 @@ MODEL_WEIGHT = 2
 RANGE_POINTS = 2            # year and mileage scores are clamped to [0, 2]
 # -------------------------------------------------
 
-KM_WIDTH = 500              # kilometers per mileage bucket of a cell
+KM_WIDTH = 500              # kilometers per bucket, by which mileages are ranked
 KM_BUCKETS = 1000           # mileages beyond this many buckets share the last
 YEARS = (1899, 2101)        # years outside count as these two when dealt out
 SALTS = 16
+SEED_PAIRS = 8              # bought pairs that the first round looks at, at least
 SLACK = 1e-9                # float margin of the pruning comparisons
 
 CAR = ("sf_vehicle_name", "make", "model", "year", "kilometers")
+SCORES = ("make_score", "model_score", "year_score", "km_score")
 
 
 def dealer_stats(history: DataFrame, key: str = "dealer_name") -> DataFrame:
@@ -126,11 +131,27 @@ def _live_cars(live: DataFrame) -> DataFrame:
     return live.groupBy(*CAR).agg(F.count(F.lit(1)).alias("copies"))
 
 
+def _upper_bound(values: Column, x: Column) -> Column:
+    """How many of the ascending ``values`` are at most ``x``, by binary search."""
+    size = F.size(values)
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(size + 1)).cast("int"))
+    range_ = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
+
+    def step(acc, _):
+        mid = F.shiftright(acc["lo"] + acc["hi"], 1)
+        halved = F.when(F.get(values, mid) <= x, range_(mid + 1, acc["hi"])).otherwise(range_(acc["lo"], mid))
+        return F.when(acc["lo"] < acc["hi"], halved).otherwise(acc)
+
+    return F.aggregate(steps, range_(F.lit(0), size), step, lambda acc: acc["lo"])
+
+
 class _CellIndex:
-    """First cars, mileage buckets and bucket directory of every cell.
+    """First cars, blocks of ranked mileages and block boundaries of every cell.
 
-    Every collected list has a bound: ``k`` cars per mileage, the mileages of a
-    bucket, and the buckets of a cell.
+    Every collected list has a bound: ``k`` cars per mileage, and for a cell of
+    ``m`` mileages at most about ``max(k, sqrt(m))`` mileages of a block and
+    ``sqrt(m)`` boundaries.  Mileages are ranked inside buckets, whose running
+    sizes a cell's window adds up; no window sees a cell's cars.
     """
 
     def __init__(self, cars: DataFrame, k: int):
@@ -145,68 +166,70 @@ class _CellIndex:
         self.heads = (salted.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k)
                       .groupBy("cell").agg(F.slice(F.sort_array(F.collect_list("item")), 1, k)
                                            .alias("items")))
-        alike = Window.partitionBy("cell", "kilometers").orderBy("item.car")
-        points = (cells.where(F.col("kilometers").isNotNull())
+        alike = Window.partitionBy("cell", "km").orderBy("item.car")
+        points = (cells.withColumnRenamed("kilometers", "km").where(F.col("km").isNotNull())
                   .withColumn("r", F.row_number().over(alike)).where(F.col("r") <= k)
-                  .groupBy("cell", F.col("kilometers").alias("km"))
+                  .groupBy("cell", _km_bucket(F.col("km")).alias("bucket"), "km")
                   .agg(F.sort_array(F.collect_list("item")).alias("items")))
-        self.buckets = (points.groupBy("cell", _km_bucket(F.col("km")).alias("bucket"))
-                        .agg(F.sort_array(F.collect_list(F.struct("km", "items"))).alias("points")))
-        self.directory = self.buckets.groupBy("cell").agg(F.sort_array(F.collect_list(
-            F.struct("bucket", F.size("points").alias("n")))).alias("directory"))
-
-    def search(self, queries: DataFrame, key: str) -> DataFrame:
-        """Candidate cars (dealer, car, copies) of each query (dealer, cell, km_mean, km_std)."""
-        k, own = self.k, F.col("own")
-        heads = queries.select(key, "cell").join(self.heads, "cell").select(
-            key, F.explode("items").alias("item"))
-        asked = (queries.where((F.col("km_std") > 0) & F.col("km_mean").isNotNull())
-                 .select(key, "cell", "km_mean", _km_bucket(F.col("km_mean")).alias("own")))
-
-        def reach(entries: Column) -> Column:
-            """The bucket at which the entries, nearest first, hold k mileages."""
-            zero = F.struct(F.lit(0).cast("long").alias("held"), own.alias("at"))
-            step = lambda acc, x: F.when(acc["held"] >= k, acc).otherwise(
-                F.struct((acc["held"] + x["n"]).alias("held"), x["bucket"].alias("at")))
-            return F.aggregate(entries, zero, step, lambda acc: acc["at"])
-
-        found = asked.join(self.directory, "cell")
-        below = F.reverse(F.filter("directory", lambda x: x["bucket"] < own))
-        above = F.filter("directory", lambda x: x["bucket"] > own)
-        found = found.withColumns({"lo": reach(below), "hi": reach(above)})
-        wanted = F.filter("directory", lambda x: (x["bucket"] >= F.col("lo"))
-                          & (x["bucket"] <= F.col("hi")))
-        found = (found.withColumn("bucket", F.explode(F.transform(wanted, lambda x: x["bucket"])))
-                 .drop("directory", "lo", "hi").join(self.buckets, ["cell", "bucket"]))
-        left = F.filter("points", lambda p: p["km"] <= F.col("km_mean"))
-        right = F.filter("points", lambda p: p["km"] > F.col("km_mean"))
-        found = found.withColumns({"left": left, "right": right})
-        last = F.slice("left", F.greatest(F.size("left") - (k - 1), F.lit(1)), F.lit(k))
-        near = found.select(key, F.explode(F.concat(last, F.slice("right", 1, k))).alias("point")) \
-            .select(key, F.explode("point.items").alias("item"))
-        return (heads.unionByName(near).select(key, "item.car", "item.copies")
-                .dropDuplicates([key, "car"]))
-
-
-def _score(cand: DataFrame, stats: DataFrame, makes: DataFrame, models: DataFrame,
-           key: str) -> DataFrame:
-    """Exact score and breakdown of (dealer, car) candidates."""
-    rows = cand.select(key, "car", "copies", "car.*")
-    scored = (rows.join(stats, key)
-              .join(makes.select(key, "make", "make_score"), [key, "make"], "left")
-              .join(models.select(key, "make", "model", "model_score"),
-                    [key, "make", "model"], "left"))
-    return _totals(scored.withColumns({
-        "make_score": F.coalesce(F.col("make_score"), F.lit(0.0)),
-        "model_score": F.coalesce(F.col("model_score"), F.lit(0.0))}))
+        in_cell = Window.partitionBy("cell").orderBy("bucket")
+        sizes = points.groupBy("cell", "bucket").agg(F.count(F.lit(1)).alias("n")).select(
+            "cell", "bucket", (F.sum("n").over(in_cell) - F.col("n")).alias("before"),
+            F.sum("n").over(Window.partitionBy("cell")).alias("m"))
+        rank = F.col("before") + F.row_number().over(Window.partitionBy("cell", "bucket").orderBy("km")) - 1
+        width = F.greatest(F.lit(k), F.ceil(F.sqrt("m")))
+        self.points = materialize(points.join(sizes, ["cell", "bucket"]).select(
+            "cell", "km", "items", F.floor(rank / width).cast("int").alias("block")))
+        self.blocks = self.points.groupBy("cell", "block").agg(
+            F.sort_array(F.collect_list("km")).alias("kms"))
+        bounds = self.points.groupBy("cell", "block").agg(F.min("km").alias("km"))
+        self.directory = bounds.groupBy("cell").agg(F.sort_array(F.collect_list("km")).alias("bounds"))
+
+    def search(self, queries: DataFrame, key: str, heads: bool = True) -> DataFrame:
+        """Scored cars (dealer, car, copies, SCORES) of each query.
+
+        A query is (dealer, cell, km_mean, km_std, floor) with the make, model and
+        year score that the cell's cars have at least.  ``floor`` is the mileage
+        score below which a car of the cell cannot be among the dealer's first k;
+        NULL when there is no such bound.  Without ``heads``, cars with a mileage
+        score of 0 are left out.
+        """
+        k, mean = self.k, F.col("km_mean")
+        needed = F.coalesce(F.col("floor"), F.lit(0.0))
+        given = SCORES[:-1]
+        reach = F.col("km_std") * (F.lit(RANGE_POINTS + SLACK) - F.greatest(needed, F.lit(0.0)))
+        asked = (queries.where((F.col("km_std") > 0) & mean.isNotNull())
+                 .select(key, "cell", *given, "km_mean", "km_std", (mean - reach).alias("lo"),
+                         (mean + reach).alias("hi")).where(F.col("lo") <= F.col("hi")))
+        # the block of the mean and its neighbours, as far as the reach goes
+        found = asked.join(self.directory, "cell").withColumn("own", _upper_bound(F.col("bounds"), mean) - 1)
+        found = found.withColumn("block", F.explode(F.sequence(
+            F.greatest(F.col("own") - 1, F.lit(0)),
+            F.least(F.col("own") + 1, F.size("bounds") - 1)))).drop("own", "bounds")
+        found = found.join(self.blocks, ["cell", "block"])
+        below = F.filter("kms", lambda x: (x <= mean) & (x >= F.col("lo")))
+        above = F.filter("kms", lambda x: (x > mean) & (x <= F.col("hi")))
+        found = found.withColumns({"below": below, "above": above}).drop("kms", "lo", "hi")
+        nearest = F.slice("below", F.greatest(F.size("below") - (k - 1), F.lit(1)), F.lit(k))
+        near = (found.withColumn("km", F.explode(F.concat(nearest, F.slice("above", 1, k))))
+                .join(self.points.select("cell", "km", "items"), ["cell", "km"])
+                .select(key, F.explode("items").alias("item"), *given,
+                        range_score(F.col("km"), mean, F.col("km_std")).alias("km_score")))
+        if heads:
+            near = near.unionByName(
+                queries.where(needed <= SLACK).select(key, "cell", *given).join(self.heads, "cell")
+                .select(key, F.explode("items").alias("item"), *given, F.lit(0.0).alias("km_score")))
+        return near.select(key, "item.car", "item.copies", *SCORES)
 
 
 def _totals(scored: DataFrame) -> DataFrame:
     scored = scored.withColumns({
         "year_score": range_score(F.col("year"), F.col("year_mean"), F.col("year_std")),
         "km_score": range_score(F.col("kilometers"), F.col("km_mean"), F.col("km_std"))})
-    return scored.withColumn("match_score", F.col("make_score") + F.col("model_score")
-                             + F.col("year_score") + F.col("km_score"))
+    return scored.withColumn("match_score", _sum_of_scores())
+
+
+def _sum_of_scores() -> Column:
+    return F.col("make_score") + F.col("model_score") + F.col("year_score") + F.col("km_score")
 
 
 def _breakdown() -> Column:
@@ -222,23 +245,36 @@ def _spans(cars: DataFrame, *columns: str) -> DataFrame:
     return cars.groupBy(*columns).agg(F.min("kilometers").alias("km_lo"), F.max("kilometers").alias("km_hi"))
 
 
-def _first(scored: DataFrame, k: int, key: str) -> DataFrame:
+def _first(found: DataFrame, k: int, key: str) -> DataFrame:
+    """The k best cars of each dealer.
+
+    A car found in several cells has several lower bounds of each score, of which
+    the greatest count.
+    """
+    best = found.groupBy(key, "car").agg(F.max("copies").alias("copies"), *[F.max(c).alias(c) for c in SCORES])
+    best = best.withColumn("match_score", _sum_of_scores())
     order = Window.partitionBy(key).orderBy(F.col("match_score").desc(), "car")
-    return scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
+    return best.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
+
 
+def _whole_year(c: Column) -> Column:
+    return F.least(F.greatest(F.floor(c), F.lit(YEARS[0])), F.lit(YEARS[1]))
 
-def _years_in_reach(stats: DataFrame, years: DataFrame, key: str) -> DataFrame:
-    """(dealer, year) of the live years with a year score that can still matter.
 
-    Dealers are dealt to whole years within the deviations that their ``tau``
-    leaves, at most ``YEARS`` of them, and met by an equality join.
+def _years_in_reach(stats: DataFrame, years: DataFrame, key: str, deviations: Column | None = None,
+                    also: tuple = ()) -> DataFrame:
+    """(dealer, year) of the live years near a dealer's mean year.
+
+    Dealers are dealt to whole years within so many deviations, or to the two
+    around the mean, and met by an equality join (on the columns ``also`` too); at
+    most ``YEARS`` of them.
     """
-    whole = lambda c: F.least(F.greatest(F.floor(c), F.lit(YEARS[0])), F.lit(YEARS[1]))
-    reach = F.least(F.lit(2.0), F.lit(4.0) - F.coalesce(F.col("tau"), F.lit(0.0))) + F.lit(SLACK)
+    mean = F.col("year_mean")
+    reach = F.lit(1.0) if deviations is None else deviations * F.col("year_std")
     near = stats.where((F.col("year_std") > 0) & (reach >= 0)).withColumn(
-        "slot", F.explode(F.sequence(whole(F.col("year_mean") - reach * F.col("year_std")),
-                                     whole(F.col("year_mean") + reach * F.col("year_std")))))
-    return near.join(years.withColumn("slot", whole(F.col("year"))), "slot").drop("slot")
+        "slot", F.explode(F.sequence(_whole_year(mean - (0 if deviations is None else reach)),
+                                     _whole_year(mean + reach))))
+    return near.join(years.withColumn("slot", _whole_year(F.col("year"))), ["slot", *also]).drop("slot")
 
 
 def recommend_cars(history: DataFrame, live: DataFrame, top_k: int,
@@ -248,75 +284,102 @@ def recommend_cars(history: DataFrame, live: DataFrame, top_k: int,
     Order: ``match_score`` descending, then the car's columns.  Dealers without
     history get no rows, as on the dashboard.  Exact (module doc).
 
-    The search runs in two rounds.  The first covers the cells of a dealer's
-    best-scored pairs, as many as hold k live cars; the k-th best of those cars
-    scores ``tau``, so the second needs only the cells of other pairs, of makes
-    and of all cars whose bound reaches it.
-    Four small tables (dealer moments, pair counts, live cars, the first
-    round's best) are written to the shared checkpoint folder while the plan is
-    built; the rest is lazy.
+    The search runs in two rounds.  The first looks at the years around a dealer's
+    mean, among the cars of its best-scored pairs and among all cars, and at those
+    pairs as a whole, as many as hold k cars; the k-th best car found scores
+    ``tau``, so the second needs only the cells, and in them the mileages, that
+    can reach it.
+    A cell's query carries the make, model and year scores that its cars have at
+    least, so a found car needs no join to be scored: a car of the first k is found
+    in the cell where these are its own, and its best score counts.
+    The small tables that both rounds read (moments, counts, live cars, index,
+    queries, the first round's best) are written to the shared checkpoint folder
+    while the plan is built; the rest is lazy.
     """
     held = history.select(key, "make", "model", "year", "kilometers").persist()
-    stats = materialize(dealer_stats(held, key))
-    pair_counts = materialize(held.groupBy(key, "make", "model")
-                              .agg(F.count(F.lit(1)).alias("n")))
+    stats = materialize(dealer_stats(held, key), "stats")
+    pair_counts = materialize(held.groupBy(key, "make", "model").agg(F.count(F.lit(1)).alias("n")), "pair-counts")
     held.unpersist()
-    makes, models = _scores_from_counts(stats, pair_counts, key)
-    cars = materialize(_live_cars(live))
+    cars = materialize(_live_cars(live), "cars")
     index = _CellIndex(cars, top_k)
     moments = stats.select(key, "year_mean", "year_std", "km_mean", "km_std")
     gain = range_score(F.col("year"), F.col("year_mean"), F.col("year_std"))
     dated = cars.where(F.col("year").isNotNull())
-    asked = lambda frame, cell: frame.select(key, cell.alias("cell"), "km_mean", "km_std")
     mk, md, y = F.col("make"), F.col("model"), F.col("year")
 
-    # seeds: a dealer's best-scored pairs, as many as hold k live cars
-    stock = cars.groupBy("make", "model").agg(F.count(F.lit(1)).alias("stock"))
-    ahead = Window.partitionBy(key).orderBy(F.col("base").desc(), "make", "model") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    pairs = (models.select(key, "make", "model", "model_score")
-             .join(makes.select(key, "make", "make_score"), [key, "make"])
-             .withColumn("base", F.col("make_score") + F.col("model_score"))
-             .join(stock, ["make", "model"])
-             .withColumn("seed", F.coalesce(F.sum("stock").over(ahead), F.lit(0)) < top_k)
-             .select(key, "make", "model", "base", "seed"))
-    model_years = _spans(dated, "make", "model", "year")
-    seeds = pairs.where("seed").join(moments, key)
-    in_year = seeds.join(model_years, ["make", "model"]).where(gain > 0)
-    first = asked(seeds, _cell(4, mk, md)).unionByName(asked(in_year, _cell(5, mk, md, y)))
-    best = materialize(_first(_score(index.search(first, key), stats, makes, models, key), top_k, key))
+    zero = F.lit(0.0)
 
+    def asked(frame: DataFrame, cell: Column, scores: tuple, floor: Column | None = None) -> DataFrame:
+        """Queries of a cell whose cars have at least these make, model and year scores."""
+        return frame.select(key, cell.alias("cell"), "km_mean", "km_std",
+                            (F.lit(None) if floor is None else floor).cast("double").alias("floor"),
+                            *[c.alias(n) for c, n in zip(scores, SCORES)])
+
+    # scores of the pairs that a dealer bought; both windows run on one shuffle of them
+    made, modelled = F.col("make_score"), F.col("model_score")
+    in_make = F.sum("n").over(Window.partitionBy(key, "make"))
+    stock = cars.groupBy("make", "model").agg(F.count(F.lit(1)).alias("stock"))
+    ahead = Window.partitionBy(key).orderBy((made + modelled).desc(), "make", "model")
+    held_ahead = F.coalesce(F.sum("stock").over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    scored = (pair_counts.where(F.col("make").isNotNull()).repartition(key).withColumn("in_make", in_make)
+              .join(stats.select(key, "n_purchases"), key).select(
+                  key, "make", "model", (F.col("in_make") / F.col("n_purchases") * F.lit(MAKE_WEIGHT))
+                  .alias("make_score"), (F.col("n") / F.col("in_make") * F.lit(MODEL_WEIGHT)).alias("model_score")))
+    scored = materialize(scored, "pair-scores")
+    makes = scored.select(key, "make", "make_score").distinct()
+    pairs = materialize(scored.join(stock, ["make", "model"]).withColumn("seed", F.when(
+        held_ahead < top_k, 1).when(F.row_number().over(ahead) <= SEED_PAIRS, 2)).drop("stock"), "pairs")
+
+    # round 1: a first k, to prune by; cars within a deviation of the mean mileage do
+    one = F.lit(1.0)
+    whole = asked(pairs.where("seed = 1").join(moments, key), _cell(4, mk, md), (made, modelled, zero), one)
+    around = pairs.where("seed is not null").join(moments, key)
+    around = asked(_years_in_reach(around, _spans(dated, "make", "model", "year"), key, also=("make", "model")),
+                   _cell(5, mk, md, y), (made, modelled, gain), one)
+    years = asked(_years_in_reach(moments, _spans(dated, "year"), key), _cell(1, year=y), (zero, zero, gain), one)
+    first = materialize(whole.unionByName(around).unionByName(years), "queries")
+    best = materialize(_first(index.search(first, key, heads=False), top_k, key), "best")
+
+    # round 2: every cell whose bound reaches tau
     tau = best.groupBy(key).agg(F.when(F.count(F.lit(1)) >= top_k, F.min("match_score")).alias("tau"))
-    moments = moments.join(tau, key, "left")
+    moments = materialize(moments.join(tau, key, "left"), "moments")
     matters = lambda bound: F.col("tau").isNull() | (bound >= F.col("tau") - F.lit(SLACK))
     top = F.lit(float(RANGE_POINTS))
     # the best mileage score in a cell is at the mean moved into its range
     near = range_score(F.least(F.greatest("km_mean", "km_lo"), "km_hi"), F.col("km_mean"), F.col("km_std"))
-    rest = pairs.where("NOT seed").join(moments, key).where(matters(F.col("base") + top + top))
-    in_year = rest.join(model_years, ["make", "model"]) \
-        .where((gain > 0) & matters(F.col("base") + gain + near))
-    rest = rest.join(_spans(cars, "make", "model"), ["make", "model"])
-    second = asked(rest.where(matters(F.col("base") + near)), _cell(4, mk, md)) \
-        .unionByName(asked(in_year, _cell(5, mk, md, y)))
-    bought = makes.select(key, "make", "make_score").join(moments, key)
-    in_year = bought.where(matters(F.col("make_score") + top + top)) \
-        .join(_spans(dated, "make", "year"), "make") \
-        .where((gain > 0) & matters(F.col("make_score") + gain + near))
-    bought = bought.join(_spans(cars, "make"), "make")
-    second = second.unionByName(asked(bought.where(matters(F.col("make_score") + near)), _cell(2, mk))) \
-        .unionByName(asked(in_year, _cell(3, mk, year=y)))
-    by_year = _years_in_reach(moments, _spans(dated, "year"), key) \
-        .where((gain > 0) & matters(gain + near))
-    second = second.unionByName(asked(moments.where(matters(top)), _cell(0))) \
-        .unionByName(asked(by_year, _cell(1, year=y)))
-    more = _score(index.search(second, key), stats, makes, models, key)
-
-    rows = (best.unionByName(more).dropDuplicates([key, "car"])
+
+    def open_(frame: DataFrame, cell: Column, scores: tuple) -> DataFrame:
+        bound = scores[0] + scores[1] + scores[2]
+        return asked(frame.where(matters(bound + near)), cell, scores, F.col("tau") - bound)
+
+    wanted = pairs.join(moments, key)
+    bought = makes.join(moments, key)
+    any_ = cars.agg(F.min("kilometers").alias("km_lo"), F.max("kilometers").alias("km_hi"))
+    left = F.least(top, top + top - F.coalesce("tau", zero)) + F.lit(SLACK)
+    parts = (
+        open_(wanted.where(matters(made + modelled + top + top))
+              .join(_spans(dated, "make", "model", "year"), ["make", "model"]).where(gain > 0),
+              _cell(5, mk, md, y), (made, modelled, gain)),
+        open_(bought.where(matters(made + top + top)).join(_spans(dated, "make", "year"), "make").where(gain > 0),
+              _cell(3, mk, year=y), (made, zero, gain)),
+        open_(_years_in_reach(moments, _spans(dated, "year"), key, left).where(gain > 0),
+              _cell(1, year=y), (zero, zero, gain)),
+        open_(wanted.where(matters(made + modelled + top)).join(_spans(cars, "make", "model"), ["make", "model"]),
+              _cell(4, mk, md), (made, modelled, zero)),
+        open_(bought.where(matters(made + top)).join(_spans(cars, "make"), "make"), _cell(2, mk), (made, zero, zero)),
+        open_(moments.where(matters(top)).withColumns({
+            "km_lo": any_.select("km_lo").scalar(), "km_hi": any_.select("km_hi").scalar()}),
+            _cell(0), (zero, zero, zero)))
+    second = parts[0]
+    for part in parts[1:]:
+        second = second.unionByName(part)
+    more = index.search(materialize(second, "queries"), key)
+    rows = (_first(best.select(key, "car", "copies", *SCORES).unionByName(more), top_k, key)
             # a car listed twice in the snapshot is recommended twice, as on the dashboard
             .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))))
     order = Window.partitionBy(key).orderBy(F.col("match_score").desc(), "car", "copy")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select(
-        key, *CAR, "match_score", _breakdown().alias("score_breakdown"), "rank")
+        key, "car.*", "match_score", _breakdown().alias("score_breakdown"), "rank")
 
 
 def recommend_for_dealer(history: DataFrame, live: DataFrame, dealer: str,

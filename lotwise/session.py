@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every lotwise job relies on.  Dates are computed with DATE(ts) in
 # UTC, so the session time zone is pinned; AQE coalesces the small per-dealer
@@ -33,8 +35,6 @@ def build_session(master: str | None = None, app_name: str = "lotwise",
     conf = dict(CORE_CONF)
     conf["spark.ui.enabled"] = "false"
     conf["spark.ui.showConsoleProgress"] = "false"
-    # checkpoint files of frames that are no longer referenced are removed
-    conf["spark.cleaner.referenceTracking.cleanCheckpoints"] = "true"
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -67,16 +67,48 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def materialize(df):
-    """Write ``df`` to the shared checkpoint folder and return a frame reading it.
+def _own_folder(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/lotwise-{spark.sparkContext.applicationId}"
 
-    Persisting first makes the reliable checkpoint reuse the computed rows
-    instead of running the query a second time for the write; the cache is
-    dropped once the checkpoint files exist.  Used where a small
-    intermediate feeds several branches of a plan.
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder, under this application's own folder."""
+    own = _own_folder(spark)
+    if own not in _folders:
+        _folders[own] = spark
+        atexit.register(_clear_at_exit, own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+_folders: dict[str, SparkSession] = {}
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application.
+
+    Frames that still read them become unusable, so call it once the results are
+    written; it also runs when the driver's Python exits with the session alive.
+    """
+    own = _own_folder(spark)
+    _folders.pop(own, None)
+    path = spark._jvm.org.apache.hadoop.fs.Path(own)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def _clear_at_exit(own: str) -> None:
+    spark = _folders.get(own)
+    if spark is not None and spark.sparkContext._jsc is not None:
+        clear_scratch(spark)
+
+
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as Parquet to the shared checkpoint folder and return a frame reading it.
+
+    Used where an intermediate feeds several branches of a plan: it is computed
+    once, survives lost executors, and its size is known, so that small ones are
+    broadcast under Spark's own threshold.
     """
-    checkpoint_dir(df.sparkSession)
-    held = df.persist()
-    out = held.checkpoint(eager=True)
-    held.unpersist()
-    return out
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -131,9 +131,33 @@ def test_cells_are_not_joined_text(spark):
     assert [(r.make, r.match_score) for r in got] == [("a", 5.0), ("a", 5.0)]
 
 
-def test_no_window_by_cell_alone():
-    source = __import__("inspect").getsource(recommend)
-    assert 'partitionBy("cell")' not in source and "collect_set" not in source and "concat_ws" not in source
+def test_windows_by_cell_see_bucket_sizes_alone(spark):
+    """In the index's plan a window over a cell reads an aggregate by (cell, bucket)."""
+    import re
+    cars = spark.range(50).selectExpr("cast(id as string) sf_vehicle_name", "'A' make", "'x' model",
+                                      "2010d year", "cast(id * 300 as double) kilometers", "1L copies")
+    plans = []
+    held, recommend.materialize = recommend.materialize, lambda df: plans.append(df) or df
+    try:
+        recommend._CellIndex(cars, 3)
+    finally:
+        recommend.materialize = held
+    lines = plans[0]._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    alone = [i for i, line in enumerate(lines) if re.search(r"windowspecdefinition\(cell#\d+, (specified|\w+#\w+ ASC)", line)]
+    assert alone
+    for i in alone:
+        below = next(line for line in lines[i + 1:] if "Window" not in line and "Project" not in line)
+        assert re.search(r"Aggregate \[cell#\d+, bucket#\d+L?\]", below), below
+
+
+@pytest.mark.parametrize("size", [0, 1, 2, 3, 7, 64, 100])
+def test_binary_search_counts_values(spark, size):
+    from pyspark.sql import functions as F
+    values = sorted(random.Random(size).choices(range(20), k=size))
+    frame = spark.range(-1, 22).select(F.col("id").cast("double").alias("x"),
+                                       F.lit([float(v) for v in values]).cast("array<double>").alias("v"))
+    for r in frame.withColumn("n", recommend._upper_bound(F.col("v"), F.col("x"))).collect():
+        assert r.n == sum(v <= r.x for v in values)
 
 
 def test_scores_are_bounded(spark):
