@@ -68,8 +68,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def _own_folder(spark: SparkSession) -> str:
-    """The folder of this application's intermediate tables."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/lotwise-{spark.sparkContext.applicationId}"
+    """The folder of this application's intermediate tables, with its file system's scheme.
+
+    A checkpoint folder without a scheme is on Hadoop's default file system, which
+    other readers of the path would not know.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(
+        f"{checkpoint_dir(spark).rstrip('/')}/lotwise-{spark.sparkContext.applicationId}")
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    return path.getFileSystem(conf).makeQualified(path).toString()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
