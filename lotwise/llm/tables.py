@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from lotwise.session import checkpoint_dir
+from lotwise.session import materialize, scratch
+
+__all__ = ["cut", "scratch", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,17 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return a frame reading it.
 
     Used where several branches need the same intermediate: it is computed
-    once, is columnar, and survives lost executors.
+    once, is columnar, and survives lost executors.  ``session.clear_scratch``
+    deletes what an application wrote.
     """
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return materialize(df, name)
