@@ -3,7 +3,8 @@
 The index is a table bucketed and sorted by SHA-256 digest.  A batch is reduced
 to one row per digest (map-side first, so a group of copies that holds a third
 of all rows costs one row per task), anti-joined with the index by sort-merge
-without moving the index, and what is new is appended.
+without moving the index, and what is new is appended.  A table is fed in batches
+by falling id, so that the digests of the later ones meet those of the earlier.
 
 Defined results: a null text counts as empty; of equal texts the largest
 ``doc_id`` stays (null is smallest); of repeated rows with that id one stays.
@@ -18,6 +19,9 @@ from pyspark.sql import functions as F
 
 from lotwise.llm.tables import cut, scratch, table
 
+#: Batches in which a table is fed to the index.
+BATCHES = 2
+
 
 def digest(text: str = "text"):
     """SHA-256 of the whole UTF-8 text as 32 bytes."""
@@ -57,11 +61,29 @@ class DigestIndex:
             return batch
         return batch.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
 
-    def append(self, batch: DataFrame) -> None:
-        """Add the digests of ``batch`` (one row each) that are new."""
-        fresh = self.unseen(batch).repartition(self.buckets, "digest")
-        (fresh.write.mode("append").format("parquet").option("path", self.path)
+    def append(self, batch: DataFrame) -> DataFrame:
+        """Add the digests of ``batch`` (one row each) that are new, and return those."""
+        fresh = cut(self.unseen(batch), "fresh-digests")
+        (fresh.repartition(self.buckets, "digest").write.mode("append").format("parquet").option("path", self.path)
          .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name))
+        return fresh
+
+    def feed(self, rows: DataFrame, batches: int = BATCHES) -> DataFrame:
+        """Append ``rows`` (``digest_rows``) in batches by falling id; the digests that were new.
+
+        The first batch that holds a digest names the id that stays, so that is the
+        largest; rows without an id come last.
+        """
+        shares = [F.lit(k / batches) for k in range(batches - 1, 0, -1)]
+        cuts = rows.agg(F.percentile_approx("doc_id", F.array(*shares))).first()[0] if batches > 1 else None
+        cuts = sorted(set(cuts or []), reverse=True)
+        doc_id, fresh = F.col("doc_id"), None
+        for above, below in zip([None, *cuts], [*cuts, None]):
+            inside = F.lit(True) if above is None else F.coalesce(doc_id < above, F.lit(True))
+            part = rows.where(inside if below is None else inside & (doc_id >= below))
+            new = self.append(groups(part))
+            fresh = new if fresh is None else fresh.unionByName(new)
+        return fresh
 
 
 def new_index(spark: SparkSession) -> DigestIndex:
@@ -76,8 +98,9 @@ def verdicts(rows: DataFrame, index: DigestIndex) -> DataFrame:
     The lookup reads the index's files without their buckets and shuffles both
     sides, so that AQE can split the digest of a large group.
     """
-    files = index.spark.read.schema(index.read().schema).parquet(index.path)
-    found = rows.join(files, "digest")
+    files = index.spark.read.schema(index.read().schema).parquet(index.path).select("digest", "keep_id")
+    sizes = rows.groupBy("digest").agg(F.sum("copies").alias("group_size"))
+    found = rows.join(files.join(sizes, "digest"), "digest")
     each = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return each.select(
         "doc_id", "keep_id", "group_size",
@@ -92,8 +115,7 @@ def keep_unique(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     """
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                          F.col(id_col).alias("doc_id"), digest(text_col).alias("digest"))
-    fresh = cut(index.unseen(groups(digest_rows(docs, id_col, text_col))), "fresh-digests")
-    index.append(fresh)
+    fresh = index.feed(cut(digest_rows(docs, id_col, text_col), "digests"))
     winners = fresh.select(F.col("digest").alias("win"), "keep_id")
     same = Window.partitionBy("digest", "doc_id").orderBy(F.xxhash64("row"))
     return (packed.join(winners, (F.col("digest") == F.col("win"))
@@ -102,10 +124,10 @@ def keep_unique(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ``documents`` through a new digest index."""
+    """All ``documents`` through a new digest index, in batches."""
     rows = cut(digest_rows(table(spark, sf_dir, "documents")), "digests")
     index = new_index(spark)
-    index.append(groups(rows))
+    index.feed(rows)
     return verdicts(rows, index)
 
 

@@ -288,20 +288,24 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
     whole = (classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     named = whole.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = whole.join(named, "root").select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), "component_id")
+    named = whole.join(named, "root").select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), "component_id", "root")
     linked = (signed.where("n > 0").join(named, (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")))
-              .select("id", "h", "n", "component_id"))
-    return linked.unionByName(signed.where("n = 0").select("id", "h", "n", number.alias("component_id")))
+              .select("id", "h", "n", "component_id", "root"))
+    return linked.unionByName(signed.where("n = 0").select(
+        "id", "h", "n", number.alias("component_id"), F.lit(None).cast("long").alias("root")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group of near duplicates, with all its columns.
 
-    The smallest id stays; wordless documents all stay.
+    The smallest id stays (null is largest; of equal ids, the text of the smallest
+    hash; of equal rows, one).  Wordless documents all stay.
     """
-    found = near_duplicates(keyed(docs))
+    found = near_duplicates(keyed(docs)).select("id", "h", "n", "root").distinct()
     number = F.nullif(F.col("id"), F.lit("")).cast("long")
-    kept = (found.where(number.eqNullSafe(F.col("component_id"))).select("id", "h", "n").distinct()
+    first = F.min(F.struct(number.isNull().alias("missing"), number.alias("number"), "h", "id", "n")).alias("first")
+    kept = (found.where("n > 0").groupBy("root").agg(first).select("first.id", "first.h", "first.n")
+            .unionByName(found.where("n = 0").select("id", "h", "n"))
             .withColumnRenamed("id", "k_id").withColumnRenamed("h", "k_h"))
     text = F.coalesce(F.col("row.text"), F.lit(""))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select(

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import pytest
+
 from lotwise.llm import exact_dedup
 from lotwise.llm.exact_dedup import digest_rows, groups, keep_unique, new_index, verdicts
 
@@ -29,20 +31,36 @@ def order(found):
     return sorted(found, key=repr)
 
 
-def run(spark, data):
+def run(spark, data, batches=2):
     docs = spark.createDataFrame(data, "doc_id long, text string")
     found = digest_rows(docs)
     index = new_index(spark)
-    index.append(groups(found))
+    index.feed(found, batches)
     return index, [tuple(r) for r in verdicts(found, index).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()]
 
 
-def test_matches_brute_force(spark):
-    _, got = run(spark, rows())
+@pytest.mark.parametrize("batches", [1, 2, 5])
+def test_matches_brute_force(spark, batches):
+    _, got = run(spark, rows(), batches)
     assert order(got) == order(brute(rows()))
 
 
+def test_later_batches_go_through_the_anti_join(spark, monkeypatch):
+    plans, unseen = [], exact_dedup.DigestIndex.unseen
+
+    def watched(self, batch):
+        out = unseen(self, batch)
+        plans.append((batch.count(), out.count(), out._jdf.queryExecution().executedPlan().toString()))
+        return out
+
+    monkeypatch.setattr(exact_dedup.DigestIndex, "unseen", watched)
+    run(spark, rows())
+    (first, new, _), (second, left, plan) = plans
+    assert first == new and 0 < second and left < second
+    assert "SortMergeJoin" in plan and "LeftAnti" in plan
+
+
 def test_empty_table(spark):
     assert run(spark, [])[1] == []
 

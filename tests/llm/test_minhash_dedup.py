@@ -120,6 +120,19 @@ def test_keep_one_carries_all_columns(spark):
     assert sorted(x for x in got if x is not None) == sorted(set(x for x in want if x is not None))
 
 
+def test_keep_one_keeps_one_of_null_and_repeated_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = [" ".join(words), " ".join(words[:-1] + ["x"]), " ".join(["y"] + words[1:])]
+    other = " ".join(f"v{i}" for i in range(30))
+    for ids in ([None] * 3, [7] * 3, [None, 9, 8], [7, 7, None]):
+        docs = spark.createDataFrame([(i, t) for i, t in zip(ids, near)] * 2 + [(7, other), (None, ""), (None, "")],
+                                     "doc_id long, text string")
+        got = sorted(((r.doc_id, r.text) for r in keep_one(docs).collect()), key=str)
+        assert [t for _, t in got].count("") == 2 and (7, other) in got and len(got) == 4
+        least = min((i for i in ids if i is not None), default=None)
+        assert any(i == least and t in near for i, t in got)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(keyed(docs)).collect() == []
