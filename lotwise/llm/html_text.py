@@ -19,7 +19,9 @@ in page order.
 Counting shuffles hashes, not text; a host with a third of all pages is counted
 by (host, subtree, page) first, and only pages that have a removable block meet
 their host's template, which is bounded by the subtrees of a page divided by
-``least_share``.
+``least_share``.  Parsing and removal take time and space in proportion to a page:
+a subtree is kept as the range of blocks that it spans, and the ranges that are
+template are swept over the blocks once.
 
 Defined results: null html is empty and gives an empty text; a null or odd url
 belongs to the host ''; pages of equal article text count once for the template;
@@ -30,6 +32,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -62,7 +66,8 @@ PROSE = frozenset("""p h1 h2 h3 h4 h5 h6 ul ol dl li dt dd table caption td th f
 CLOSED_BY_BLOCK = frozenset(("p",))
 SAME_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"),
              "td": ("td", "th"), "th": ("td", "th")}
-#: Class, id or role names, or their leading words, that mark what is no article text.
+#: Class, id or role names that mark what is no article text; outside an article also
+#: as the leading word of a name.
 MARKS = frozenset("""ad ads advert adverts advertisement advertising banner sponsored promo comment comments disqus
     cookie cookies consent notice notices alert popup modal nav navbar navigation menu breadcrumb breadcrumbs sidebar
     footer header masthead share sharing social related newsletter subscribe""".split())
@@ -77,13 +82,17 @@ UNMARKED = MAIN | {"html", "body"}
 RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 
 PAGE = ("page_id long, url string, host string, digest long, subtrees array<long>, "
-        "blocks array<struct<text: string, within: array<long>, own: long>>")
+        "texts array<string>, own array<long>, prose array<boolean>, "
+        "spans array<struct<subtree: long, first: int, end: int>>")
 
 
-def _marked(attributes: str) -> bool:
+def _marked(attributes: str, whole: bool) -> bool:
+    """Whether a name marks the element; if ``whole``, only the name as it stands."""
     if not attributes:
         return False
     names = (name for m in NAMED.finditer(attributes) for name in (m[1] or m[2] or m[3] or "").lower().split())
+    if whole:
+        return any(name in MARKS for name in names)
     return any(lead[0] in MARKS for lead in map(LEAD.match, names) if lead)
 
 
@@ -94,7 +103,7 @@ class _Element:
         self.name, self.first = name, first
         self.parts = [f"<{name}{attributes}>"]  # for the subtree's hash
         self.dropped = parent is not None and parent.dropped or name in DROPPED or (
-            name not in UNMARKED and _marked(attributes))
+            name not in UNMARKED and _marked(attributes, parent is not None and parent.main))
         self.main = parent is not None and parent.main or name in MAIN
         self.prose = parent is not None and parent.prose or self.main and name in PROSE
 
@@ -112,6 +121,7 @@ class Page:
         self.hashes: set[int] = set()
         self._pending: list[str] = []
         self._stack = [_Element("", "", None, 0)]
+        self._open_names: Counter = Counter()
         self._parse(source)
 
     def _flush(self) -> None:
@@ -145,9 +155,12 @@ class Page:
             if element.dropped and not self._stack[-1].dropped:
                 self._flush()
             self._stack.append(element)
+            self._open_names[name] += 1
 
     def _close_open(self, names) -> None:
         """Close the nearest of these elements, unless a container stands between."""
+        if not any(self._open_names[name] for name in names):
+            return
         for depth in range(len(self._stack) - 1, 0, -1):
             if self._stack[depth].name in names:
                 self._pop_to(depth)
@@ -156,6 +169,8 @@ class Page:
                 return
 
     def _close(self, name: str) -> None:
+        if not self._open_names[name]:
+            return
         for depth in range(len(self._stack) - 1, 0, -1):
             if self._stack[depth].name == name:
                 self._pop_to(depth)
@@ -167,6 +182,7 @@ class Page:
             if element.name in BLOCK or element.name in MAIN:
                 self._flush()
             self._stack.pop()
+            self._open_names[element.name] -= 1
             hash_ = xxhash.xxh3_64_intdigest("\x00".join(element.parts))
             self._stack[-1].parts.append(f"{hash_:x}")
             free = element.name not in ("html", "body", "head") and element.name not in MAIN
@@ -207,52 +223,92 @@ class Page:
         self._pop_to(1)
         self._flush()
 
-    def blocks(self) -> list[tuple[str, list[int]]]:
-        """The article's blocks, or all if there is none, with the subtrees around each that can be template."""
+    def blocks(self) -> list[tuple[str, bool]]:
+        """The article's blocks, or all if there is none, and whether each is the article's prose."""
         article = any(main for _, main, _ in self.texts)
-        out = []
-        for k, (text, main, prose) in enumerate(self.texts):
-            if main or not article:
-                out.append((text, [] if prose else [h for h, first, end, inside in self.spans
-                                                    if first <= k < end and inside == main]))
-        return out
+        return [(text, prose) for text, main, prose in self.texts if main or not article]
+
+    def ranges(self) -> list[tuple[int, int, int]]:
+        """The subtrees that can be template, each with the range of ``blocks()`` that it spans."""
+        article = any(main for _, main, _ in self.texts)
+        before = [0, *accumulate(int(main or not article) for _, main, _ in self.texts)]
+        out = [(hash_, before[first], before[end]) for hash_, first, end, inside in self.spans if inside == article]
+        return [(hash_, first, end) for hash_, first, end in out if first < end]
+
+
+def covered(count: int, ranges) -> list[bool]:
+    """Which of ``count`` blocks lie in one of the ranges."""
+    change = [0] * (count + 1)
+    for first, end in ranges:
+        change[first] += 1
+        change[end] -= 1
+    return [depth > 0 for depth in accumulate(change[:count])]
 
 
-def _rows(source: str) -> tuple[int, list[int], list[dict]]:
-    """A page's digest of article text, the hashes it counts for, and its blocks.
+def _rows(source: str):
+    """A page's digest of article text, the hashes it counts for, its blocks and their ranges.
 
     If one of its blocks can be template, the hashes include those of the blocks' texts.
     """
     page = Page(source)
-    blocks = page.blocks()
-    digest = _signed(xxhash.xxh3_64_intdigest("\n".join(t for t, _ in blocks)))
-    own = [None] * len(blocks)
-    if any(within for _, within in blocks):
-        own = [_signed(xxhash.xxh3_64_intdigest("\x01" + t)) for t, _ in blocks]
+    blocks, ranges = page.blocks(), page.ranges()
+    texts, prose = [t for t, _ in blocks], [p for _, p in blocks]
+    digest = _signed(xxhash.xxh3_64_intdigest("\n".join(texts)))
+    own = [_signed(xxhash.xxh3_64_intdigest("\x01" + t)) for t in texts]
+    if not any(c and not p for c, p in zip(covered(len(texts), [r[1:] for r in ranges]), prose)):
+        ranges = []
+    if ranges:
         page.hashes.update(own)
-    return digest, sorted(page.hashes), [{"text": t, "within": w, "own": o} for (t, w), o in zip(blocks, own)]
+    return digest, sorted(page.hashes), texts, own, prose, [
+        {"subtree": h, "first": first, "end": end} for h, first, end in ranges]
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
     """One row per page: host, digest of the article text, subtree hashes and blocks."""
+    span = pa.struct([("subtree", pa.int64()), ("first", pa.int32()), ("end", pa.int32())])
+    kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.bool_()),
+             pa.list_(span))
 
     def run(batches):
         for batch in batches:
             rows = list(zip(*(batch.column(n).to_pylist() for n in ("page_id", "url", "host", "html"))))
             for lo in range(0, len(rows), 500):
                 ids, urls, hosts, sources = (list(c) for c in zip(*rows[lo:lo + 500]))
-                digests, subtrees, blocks = (list(c) for c in zip(*map(_rows, sources)))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(hosts, pa.string()),
-                    pa.array(digests, pa.int64()), pa.array(subtrees, pa.list_(pa.int64())),
-                    pa.array(blocks, pa.list_(pa.struct([("text", pa.string()), ("within", pa.list_(pa.int64())),
-                                                         ("own", pa.int64())])))],
-                    ["page_id", "url", "host", "digest", "subtrees", "blocks"])
+                found = [list(c) for c in zip(*map(_rows, sources))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(hosts, pa.string()),
+                     *[pa.array(c, kind) for c, kind in zip(found, kinds)]],
+                    ["page_id", "url", "host", "digest", "subtrees", "texts", "own", "prose", "spans"])
 
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), host_of("url").alias("host"),
                         F.coalesce(F.col("html"), F.lit("")).alias("html")).mapInArrow(run, PAGE)
 
 
+def _kept(texts, own, prose, spans, template) -> list[str]:
+    """The blocks that are left of a page whose host has this template."""
+    known = set(template or ())
+    gone = [c and not p for c, p in zip(covered(len(texts), [
+        (s["first"], s["end"]) for s in spans if s["subtree"] in known]), prose)]
+    # a page all of whose text recurs is a copy, and keeps it
+    if all(g or o in known for g, o in zip(gone, own)):
+        return texts
+    return [t for t, g in zip(texts, gone) if not g]
+
+
+def without_template(judged: DataFrame) -> DataFrame:
+    """(page_id, url, texts) of pages beside their host's template."""
+
+    def run(batches):
+        for batch in batches:
+            columns = [batch.column(n).to_pylist() for n in ("texts", "own", "prose", "spans", "template")]
+            kept = [_kept(*row) for row in zip(*columns)]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"),
+                                              pa.array(kept, pa.list_(pa.string()))], ["page_id", "url", "texts"])
+
+    return judged.select("page_id", "url", "texts", "own", "prose", "spans", "template").mapInArrow(
+        run, "page_id long, url string, texts array<string>")
+
+
 def templates(parsed: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
     """(host, subtrees): the subtrees that recur across many different article texts of a host."""
     pages = (parsed.select("host", "digest").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
@@ -266,17 +322,11 @@ def templates(parsed: DataFrame, least_pages: int = LEAST_PAGES, least_share: fl
 def main_texts(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
     """(page_id, url, text) for each page."""
     parsed = cut(parse_pages(pages), "parsed")
-    removable = F.exists("blocks", lambda b: F.size(b["within"]) > 0)
+    removable = F.size("spans") > 0
     found = templates(parsed, least_pages, least_share)
-    inside = lambda b: F.arrays_overlap(b["within"], F.col("template"))
-    # a page all of whose text recurs is a copy, and keeps it
-    unique = F.exists("blocks", lambda b: ~inside(b) & ~F.array_contains(F.col("template"), b["own"]))
-    judged = (parsed.where(removable).join(found, F.col("host") == F.col("t_host"), "left")
-              .withColumn("blocks", F.when(F.col("template").isNull() | ~unique, F.col("blocks")).otherwise(
-                  F.filter("blocks", lambda b: ~inside(b))))
-              .select("page_id", "url", "blocks"))
-    both = judged.unionByName(parsed.where(~removable).select("page_id", "url", "blocks"))
-    return both.select("page_id", "url", F.array_join(F.transform("blocks", lambda b: b["text"]), " ").alias("text"))
+    judged = without_template(parsed.where(removable).join(found, F.col("host") == F.col("t_host"), "left"))
+    both = judged.unionByName(parsed.where(~removable).select("page_id", "url", "texts"))
+    return both.select("page_id", "url", F.array_join("texts", " ").alias("text"))
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,8 @@
-from lotwise.llm.html_text import Page, main_texts
+import random
+import re
+from urllib.parse import urlsplit
+
+from lotwise.llm.html_text import Page, _rows, main_texts
 
 
 def text(source):
@@ -93,3 +97,51 @@ def test_copies_of_an_article_under_different_menus_keep_it(spark):
 def test_empty_table(spark):
     frame = spark.createDataFrame([], "page_id long, url string, html string")
     assert main_texts(frame).collect() == []
+
+
+def test_marks_inside_an_article_are_whole_names():
+    assert text("<article><div class='social-studies'><p>lesson text</p></div></article>") == "lesson text"
+    assert text("<article><p class='alert-systems'>real prose</p><div class='comments'>no</div></article>") == "real prose"
+    assert text("<div class='social-studies'><p>no</p></div><p>kept</p>") == "kept"
+
+
+def test_very_long_pages_take_linear_time():
+    import time
+    began = time.process_time()
+    flat = "".join(f"<div><b>{i}</b> words</div>" for i in range(100_000))
+    nested = "".join(f"<div>level {i}" for i in range(20_000))
+    unclosed = "<div>" * 20_000 + "</span>" * 20_000
+    for source in (flat, nested, unclosed):
+        _rows(source)
+    assert time.process_time() - began < 20
+
+
+def brute_templates(pages, least_pages=5, least_share=0.2):
+    """Pages without ``article``, one text a div: what is left when the texts of a host recur."""
+    found = {i: (urlsplit(u).hostname, re.findall(r"<div>([^<]*)</div>", h)) for i, u, h in pages}
+    kept = {}
+    hosts = {}
+    for host, texts in found.values():
+        hosts.setdefault(host, set()).add(tuple(texts))
+    for i, (host, texts) in found.items():
+        distinct = hosts[host]
+        often = {t for t in texts if sum(t in d for d in distinct) >= max(least_pages, least_share * len(distinct))}
+        left = [t for t in texts if t not in often]
+        kept[i] = " ".join(left or texts) if len(distinct) >= least_pages else " ".join(texts)
+    return kept
+
+
+def test_templates_decide_pages_without_an_article(spark):
+    rng, pages = random.Random(6), []
+    for n in range(120):
+        host = f"h{n % 4 if n % 3 else 0}.example"      # one host holds more than a third
+        menu = ["Home", "About us", f"Shop of {host}"]
+        body = [f"Story {rng.randint(0, 60)} of {host}" for _ in range(rng.randint(0, 3))]
+        parts = menu[:rng.randint(1, 3)] + body + (["All about cookies"] if rng.random() < .5 else [])
+        pages.append((n, f"http://{host}/{n}", "<body>" + "".join(f"<div>{p}</div>" for p in parts) + "</body>"))
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in main_texts(frame).collect()}
+    want = brute_templates(pages)
+    assert got == want
+    assert sum(len(h) for _, _, h in pages) > sum(map(len, want.values())) > 0
+    assert any("Home" not in t for t in want.values())
