@@ -6,6 +6,11 @@ URLs labelled bad gives the combinations that a fixed number of bad URLs share,
 whatever the size of the table.  They are counted over all labelled URLs; those
 bad often enough, and no less often than labelled URLs at large, block.
 
+Two steps keep the mining small without losing a rule.  Tokens are counted first:
+one that is a rule by itself covers every combination with it, and one that too
+few bad URLs have is in no rule, so neither goes to FP-growth.  Tokens that stand
+in exactly the same labelled URLs are mined as one and come back together.
+
 Rules are a table, found through an inverted index: they are joined by their
 rarest token with the distinct token sets of the URLs.  Only built-in
 expressions and the JVM's FP-growth run.
@@ -83,35 +88,84 @@ def hits(sets: DataFrame, rules: DataFrame) -> DataFrame:
             .where(F.size(F.array_except("antecedent", "tokens")) == 0))
 
 
+def token_counts(sets: DataFrame) -> DataFrame:
+    """(token, n, n_bad, place): labelled URLs with a token, and a fingerprint of which those are."""
+    each = sets.select(F.explode("tokens").alias("token"), "n", "n_bad", F.xxhash64("tokens").alias("s"),
+                       F.xxhash64("tokens", F.lit(1)).alias("t"))
+    return each.groupBy("token").agg(F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad"),
+                                     F.struct(F.bit_xor("s").alias("s"), F.bit_xor("t").alias("t"),
+                                              F.count(F.lit(1)).alias("sets")).alias("place"))
+
+
+def combinations(sets: DataFrame, tokens_: DataFrame, least: int) -> DataFrame | None:
+    """(antecedent, lead): combinations of two or more of the tokens that ``least`` bad URLs share.
+
+    ``tokens_`` are (token, n, place); those of one place stand for one another.
+    """
+    from pyspark.ml.fpm import FPGrowth
+
+    classes = cut(tokens_.groupBy("place").agg(F.min("token").alias("first"), F.min("n").alias("often"),
+                                               F.sort_array(F.collect_list("token")).alias("members")), "classes")
+    bad = (sets.where("n_bad > 0").select("tokens", "n_bad", F.explode("tokens").alias("token"))
+           .join(classes.select(F.col("first").alias("token")), "token")
+           .groupBy("tokens", "n_bad").agg(F.collect_list("token").alias("items"))
+           .select("items", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_bad"))).alias("copy")).select("items"))
+    bad = cut(bad, "bad-baskets")
+    rows = bad.count()
+    if rows < least:
+        return None
+    # half a row less, so that rounding of the share does not ask for one more
+    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / rows).fit(bad)
+    found = model.freqItemsets.select("items")
+    sized = (found.withColumn("token", F.explode("items"))
+             .join(classes.withColumnRenamed("first", "token"), "token")
+             .groupBy("items").agg(F.min(F.struct("often", "token"))["token"].alias("lead"),
+                                   F.sort_array(F.flatten(F.collect_list("members"))).alias("antecedent")))
+    return sized.where(F.size("antecedent") > 1).select("antecedent", "lead")
+
+
 def rule_table(rows: DataFrame, labels: DataFrame, min_confidence: float = MIN_CONFIDENCE,
                min_count: int = MIN_COUNT) -> DataFrame | None:
     """(antecedent, lead, confidence): token combinations that imply a bad label; None if there are none.
 
     Only combinations that no smaller one already covers are kept.
     """
-    from pyspark.ml.fpm import FPGrowth
-
     bad = (F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)
     marks = labels.select(F.col("doc_id").alias("l_id"), bad.alias("bad"))
-    baskets = cut(rows.join(marks, F.col("page_id") == F.col("l_id")).select("tokens", "bad"), "baskets")
-    total, n_bad = baskets.agg(F.count(F.lit(1)), F.count_if("bad")).first()
+    baskets = rows.join(marks, F.col("page_id") == F.col("l_id")).select("tokens", "bad")
+    sets = cut(baskets.groupBy("tokens").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("n_bad")), "sets")
+    total, n_bad = sets.agg(F.sum("n"), F.sum("n_bad")).first()
     least = max(1, math.ceil(min_count * min_confidence - 1e-9))
-    if n_bad < least:
+    if (n_bad or 0) < least:
         return None
-    # half a row less, so that rounding of the share does not ask for one more
-    model = FPGrowth(itemsCol="tokens", minSupport=(least - 0.5) / n_bad).fit(baskets.where("bad").select("tokens"))
-    sets = cut(baskets.groupBy("tokens").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("n_bad")), "sets")
-    often = sets.select(F.explode("tokens").alias("token"), "n").groupBy("token").agg(F.sum("n").alias("often"))
-    found = model.freqItemsets.select(F.sort_array("items").alias("antecedent"))
-    found = cut(found.withColumn("token", F.explode("antecedent")).join(often, "token").groupBy("antecedent")
-                .agg(F.min(F.struct("often", "token"))["token"].alias("lead")), "combinations")
-    counted = (hits(sets, found).groupBy("antecedent", "lead")
-               .agg((F.sum("n_bad") / F.sum("n")).alias("confidence")))
-    rules = cut(counted.where(F.col("confidence") >= max(min_confidence, n_bad / total)), "rules")
-    larger = rules.select(F.col("antecedent").alias("tokens"))
-    covered = (hits(larger, rules).where(F.size("antecedent") < F.size("tokens"))
-               .select(F.col("tokens").alias("antecedent")).distinct())
-    return rules.join(covered, "antecedent", "left_anti")
+    needed = max(min_confidence, n_bad / total)
+    enough = cut(token_counts(sets).where(F.col("n_bad") >= least)
+                 .withColumn("confidence", F.col("n_bad") / F.col("n")), "tokens")
+    sure = F.col("confidence") >= needed
+    rules = enough.where(sure).select(F.array("token").alias("antecedent"), F.col("token").alias("lead"), "confidence")
+    found = combinations(sets, enough.where(~sure), least)
+    if found is None:
+        return rules
+    counted = (hits(sets, cut(found, "combinations")).groupBy("antecedent", "lead")
+               .agg((F.sum("n_bad") / F.sum("n")).alias("confidence"), F.sum("n_bad").alias("n_bad")))
+    larger = cut(counted.where((F.col("confidence") >= needed) & (F.col("n_bad") >= least)).drop("n_bad"), "rules")
+    inside = hits(larger.select(F.col("antecedent").alias("tokens")), larger)
+    covered = inside.where(F.size("antecedent") < F.size("tokens")).select(F.col("tokens").alias("antecedent")).distinct()
+    return rules.unionByName(larger.join(covered, "antecedent", "left_anti"))
+
+
+def best_lift(rows: DataFrame, labels: DataFrame, min_count: int = MIN_COUNT,
+              min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """(token, n, n_bad, lift) of the tokens that enough bad URLs have, best first, to look at."""
+    bad = (F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)
+    marks = labels.select(F.col("doc_id").alias("l_id"), bad.alias("bad"))
+    sets = (rows.join(marks, F.col("page_id") == F.col("l_id")).groupBy("tokens")
+            .agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("n_bad")))
+    base = sets.agg(F.sum("n_bad") / F.sum("n")).scalar()
+    least = math.ceil(min_count * min_confidence - 1e-9)
+    return (token_counts(sets).where(F.col("n_bad") >= least)
+            .select("token", "n", "n_bad", (F.col("n_bad") / F.col("n") / base).alias("lift"))
+            .orderBy(F.col("lift").desc(), "token"))
 
 
 def mine(rows: DataFrame, labels: DataFrame, min_confidence: float = MIN_CONFIDENCE,

@@ -78,3 +78,37 @@ def test_empty_table(spark):
 def test_host_and_path_expressions(spark):
     frame = spark.createDataFrame([("ftp://U:P@H.x:80/p;a?b",)], "url string")
     assert tuple(frame.select(host_of("url"), path_of("url")).first()) == ("u:p@h.x:80", "/p;a")
+
+
+def test_many_shared_tokens_are_mined_in_seconds(spark):
+    """60 bad URLs share 30 path words, which good URLs have too, so none is a rule by itself."""
+    import time
+    from itertools import product
+    words = "/".join("".join(c) for c in list(product("abcdef", repeat=3))[:30])
+    urls = [(i, f"http://a.example.net/{words}/bad?x={i}") for i in range(60)]
+    urls += [(100 + i, f"http://a.example.net/{words}/good?y={i}") for i in range(90)]
+    urls += [(300, f"http://a.example.net/{words}/bad/new"), (301, "http://a.example.net/bad"), (302, None)]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i >= 100), 0) for i, _ in urls[:150]], "doc_id long, quality int, toxic int")
+    began = time.time()
+    rules = mine(parsed(pages), labels)
+    assert time.time() - began < 60
+    assert [a for a, _ in rules] == [("key:x",), ("path:bad",)]
+    got = {r.page_id: r.mined for r in judge(pages, labels).collect()}
+    assert got[0] and got[300] and got[301] and not got[100] and not got[302]
+
+
+def test_combinations_of_two_and_of_tokens_that_stand_together(spark):
+    urls, marks = [], []
+    for i in range(400):
+        a, b = i % 2, i // 2 % 2
+        path = "/".join(["left/leftside"] * a + ["right"] * b + ["all"])
+        urls.append((i, f"http://h.example.net/{path}"))
+        marks.append((i, 0 if a and b else 1, 0))
+    urls.append((900, "http://h.example.net/left/right"))
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    rules = mine(parsed(pages), labels, min_confidence=0.9)
+    assert [a for a, _ in rules] == [("path:left", "path:leftside", "path:right")]
+    got = {r.page_id: r.mined for r in judge(pages, labels, min_confidence=0.9).collect()}
+    assert all(got[i] == (i % 2 and i // 2 % 2 == 1) for i in range(400)) and not got[900]
