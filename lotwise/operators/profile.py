@@ -85,11 +85,10 @@ _PRICE_PROBS = {"p25": 0.25, "median": 0.5, "p75": 0.75}
 def price_stats(history: DataFrame, key: str = "dealer_name") -> DataFrame:
     """Mean, min, max, sample deviation, mean +/- one deviation and exact quartiles.
 
-    The moments are computed in the same pass as the quantile sketches.
+    The moments come from the histograms that the quartiles are selected by.
     """
-    q = exact_percentiles(history, [key], "price", _PRICE_PROBS, extra=[
-        F.avg("price").alias("mean_price"), F.min("price").alias("min_price"),
-        F.max("price").alias("max_price"), F.stddev_samp("price").alias("std_price")])
+    q = exact_percentiles(history, [key], "price", _PRICE_PROBS, {
+        "mean_price": "mean", "min_price": "min", "max_price": "max", "std_price": "std"})
     return q.select(
         key, "mean_price", "min_price", "max_price", "std_price",
         (F.col("mean_price") - F.col("std_price")).alias("price_band_low"),
@@ -99,13 +98,9 @@ def price_stats(history: DataFrame, key: str = "dealer_name") -> DataFrame:
 
 def price_box_by_make(history: DataFrame, key: str = "dealer_name") -> DataFrame:
     """Box-plot inputs per (dealer, make): n, min, quartiles, max."""
-    q = exact_percentiles(history, [key, "make"], "price",
-                          {"q1": 0.25, "median": 0.5, "q3": 0.75}, extra=[
-                              F.count("price").alias("n_values"),
-                              F.min("price").alias("min_price"),
-                              F.max("price").alias("max_price")])
-    return q.select(key, "make", F.col("n_values").alias("n"), "min_price", "q1", "median",
-                    "q3", "max_price")
+    q = exact_percentiles(history, [key, "make"], "price", {"q1": 0.25, "median": 0.5, "q3": 0.75},
+                          {"n": "n", "min_price": "min", "max_price": "max"})
+    return q.select(key, "make", "n", "min_price", "q1", "median", "q3", "max_price")
 
 
 def purchase_timeline(history: DataFrame, key: str = "dealer_name") -> DataFrame:
@@ -174,44 +169,52 @@ def dealer_profile(segmentation: DataFrame, activity: DataFrame,
         "dealer_name", "active_days_30d", "total_car_events_30d", "active_days_7d",
         "total_car_events_7d")
 
-    # Two aggregates over the history: counts per (dealer, make, model), rolled
-    # up to one row per dealer, and the price moments with the mileage counts.
-    # The collected lists hold a dealer's distinct makes and models.
+    # One aggregate over the history, per (dealer, make, model); its rows are dealt
+    # by dealer once, where every later level and the joins find them.  The
+    # collected lists hold a dealer's distinct makes and models.
     key = "dealer_name"
-    pairs = history.where(F.col("make").isNotNull()).groupBy(key, "make", "model") \
-        .agg(F.count(F.lit(1)).alias("n"))
+    km, price = F.col("kilometers"), F.col("price")
+    bins = range(len(MILEAGE_BINS))
+    pairs = history.groupBy(key, "make", "model").agg(
+        F.count(F.lit(1)).alias("n"), F.count(price).alias("priced"), F.avg(price).alias("mean"),
+        (F.var_pop(price) * F.count(price)).alias("squares"),
+        *[F.count(F.when(mileage_bin(km) == F.lit(label), 1)).alias(f"b{i}")
+          for i, (label, _, _) in enumerate(MILEAGE_BINS)]).repartition(key)
+    moment = F.struct("priced", "mean", "squares")
     makes = pairs.groupBy(key, "make").agg(
-        F.sum("n").alias("n"), F.collect_list(F.when(F.col("model").isNotNull(), F.struct(
-            (-F.col("n")).alias("o"), "make", "model", "n"))).alias("models"))
-    tops = makes.groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("o"), "make", "n"))).alias("mk"),
-        F.sort_array(F.flatten(F.collect_list("models"))).alias("md"))
+        F.sum("n").alias("n"), F.collect_list(F.when(F.col("priced") > 0, moment)).alias("moments"),
+        F.collect_list(F.when(F.col("make").isNotNull() & F.col("model").isNotNull(), F.struct(
+            (-F.col("n")).alias("o"), "make", "model", "n"))).alias("models"),
+        *[F.sum(f"b{i}").alias(f"b{i}") for i in bins])
+    per_dealer = makes.groupBy(key).agg(
+        F.sort_array(F.collect_list(F.when(F.col("make").isNotNull(), F.struct(
+            (-F.col("n")).alias("o"), "make", "n")))).alias("mk"),
+        F.sort_array(F.flatten(F.collect_list("models"))).alias("md"),
+        F.flatten(F.collect_list("moments")).alias("moments"), *[F.sum(f"b{i}").alias(f"b{i}") for i in bins])
     text = lambda array, k, fmt, *names: F.array_join(F.transform(
         F.slice(array, 1, k), lambda x: F.format_string(fmt, *[x[n] for n in names])), ", ")
-    tops = tops.select(
-        key, F.size("mk").alias("n_makes"), F.size("md").alias("n_models"),
-        text("mk", TOP_MAKES, "%s (%d)", "make", "n").alias("top_makes"),
-        text("md", TOP_MODELS, "%s %s (%d)", "make", "model", "n").alias("top_models"))
-    km = F.col("kilometers")
-    per_dealer = history.groupBy(key).agg(
-        F.avg("price").alias("_mean"), F.stddev_samp("price").alias("_std"),
-        *[F.count(F.when(mileage_bin(km) == F.lit(label), 1)).alias(f"b{i}")
-          for i, (label, _, _) in enumerate(MILEAGE_BINS)])
+    add = lambda value: F.aggregate("moments", F.lit(0.0), lambda acc, x: acc + value(x))
+    per_dealer = per_dealer.withColumn("_n", add(lambda x: x["priced"].cast("double")))
+    per_dealer = per_dealer.withColumn("_mean", F.when(
+        F.col("_n") > 0, add(lambda x: x["mean"] * x["priced"]) / F.col("_n")))
+    # squared deviations inside the pairs, and of the pairs' means
+    away = add(lambda x: x["squares"] + x["priced"] * (x["mean"] - F.col("_mean")) * (x["mean"] - F.col("_mean")))
+    per_dealer = per_dealer.withColumn("_std", F.when(F.col("_n") > 1, F.sqrt(away / (F.col("_n") - 1))))
     # top bins: sort (count desc, bin order) inside the row, no shuffle needed
-    bins = F.array(*[F.struct((-F.col(f"b{i}")).alias("o1"), F.lit(i).alias("o2"),
-                              F.format_string("%s (%d)", F.lit(label), F.col(f"b{i}"))
-                              .alias("t"))
-                     for i, (label, _, _) in enumerate(MILEAGE_BINS)])
-    top_miles_text = F.array_join(F.transform(F.slice(F.array_sort(bins), 1, TOP_MILEAGE),
+    shown = F.array(*[F.struct((-F.col(f"b{i}")).alias("o1"), F.lit(i).alias("o2"),
+                               F.format_string("%s (%d)", F.lit(label), F.col(f"b{i}")).alias("t"))
+                      for i, (label, _, _) in enumerate(MILEAGE_BINS)])
+    top_miles_text = F.array_join(F.transform(F.slice(F.array_sort(shown), 1, TOP_MILEAGE),
                                               lambda x: x["t"]), ", ")
     per_dealer = per_dealer.select(
-        key, top_miles_text.alias("top_mileage"),
+        key, F.size("mk").alias("n_makes"), F.size("md").alias("n_models"),
+        text("mk", TOP_MAKES, "%s (%d)", "make", "n").alias("top_makes"),
+        text("md", TOP_MODELS, "%s %s (%d)", "make", "model", "n").alias("top_models"),
+        top_miles_text.alias("top_mileage"),
         F.concat(F.lit(CURRENCY + " "), _money0(F.col("_mean") - F.col("_std")), F.lit(" - "),
                  _money0(F.col("_mean") + F.col("_std"))).alias("price_range"))
 
-    out = seg.join(act, "dealer_name", "inner")
-    for part in (per_dealer, tops):
-        out = out.join(part, "dealer_name", "left")
+    out = seg.join(act, "dealer_name", "inner").join(per_dealer, "dealer_name", "left")
     has_history = F.col("price_range").isNotNull()
     return out.select(
         "dealer_name", "dealer_code", "active_days_30d", "total_car_events_30d",

@@ -1,21 +1,22 @@
-"""Exact percentiles (linear interpolation) with bounded per-task memory.
+"""Exact percentiles (linear interpolation) and moments with bounded per-task memory.
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one
 aggregation buffer, so a group holding a third of the data would have to fit
 in one task.  Here the input is reduced once, map-side first, to one row per
 (group, value) with its count; everything else reads that exchange:
 
-1. counts per (group, bucket), where buckets are narrow bands of the value's
-   logarithm; a running count over a group's buckets tells in which bucket each
-   wanted rank lies;
-2. the values of those buckets alone are ranked, by (group, rank, bucket);
-3. the two neighbouring order statistics ``a = x[f]`` and ``b = x[f + 1]``
+1. each group's histogram: per narrow band of the value's logarithm the count,
+   extremes and sums around the band's centre.  It merges like any aggregate and
+   is carried as one row per group, bounded by the number of bands;
+2. that row tells in which band each wanted rank lies, and gives count, mean,
+   extremes and deviation as sums weighted by the counts;
+3. the values of the wanted bands alone are ranked, by (group, band);
+4. the two neighbouring order statistics ``a = x[f]`` and ``b = x[f + 1]``
    (``h = (n - 1) * p``, ``f = floor(h)``, ``t = h - f``) are interpolated bit
    for bit as numpy does: ``a + (b - a) * t`` when ``t < 0.5``, else
    ``b - (b - a) * (1 - t)``.
 
-A window therefore sees a group's buckets, or the distinct values of one of
-them, never a group.
+A window therefore sees the distinct values of one band of a group, never a group.
 """
 
 from __future__ import annotations
@@ -39,58 +40,80 @@ def bucket(v: Column, bands: int = BANDS) -> Column:
     return F.when(v >= 0, band).otherwise(-band - 1)
 
 
-def exact_percentiles(df: DataFrame, keys: list[str], value: str,
-                      probs: dict[str, float], extra=(), bands: int = BANDS) -> DataFrame:
-    """One row per group of ``df``: ``keys`` plus one column per entry of ``probs``.
+def centre(b: Column, bands: int = BANDS) -> Column:
+    """A value inside bucket ``b``."""
+    inside = F.expm1((F.when(b >= 0, b).otherwise(-b - 1) + F.lit(0.5)) / F.lit(bands))
+    return F.when(b >= 0, inside).otherwise(-inside)
 
-    NULL values are ignored; a group with no values gets NULL percentiles.
-    NULL keys form their own group.  ``extra`` aggregates over ``value``
-    (aliased) are computed from the same rows and returned after the percentiles.
-    """
-    names = list(probs)
-    v = F.col("v")
-    counted = df.groupBy(*keys, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    rows = counted.select(*keys, v.alias(value),
-                          F.explode(F.sequence(F.lit(1).cast("long"), "c")).alias("_copy"))
-    groups = rows.groupBy(*keys).agg(F.count(value).alias("n"), *extra)
-    extra_names = [c for c in groups.columns if c not in (*keys, "n")]
 
+def _histograms(counted: DataFrame, bands: int) -> DataFrame:
+    """One row per group ``g``: count, extremes, mean, squared deviations, and counts by band."""
+    v, c, b = F.col("v"), F.col("c"), F.col("b")
     # No filter on the value: it would be pushed below the reduction in some
     # branches only, and they would no longer share its exchange.
-    held = F.when(v.isNotNull(), F.col("c")).otherwise(F.lit(0))
-    sizes = counted.groupBy(*keys, bucket(v, bands).alias("b")).agg(F.sum(held).alias("c"))
-    whole = Window.partitionBy(*keys)
-    upto = whole.orderBy(F.col("b").asc_nulls_first()) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sizes = sizes.withColumns({"upto": F.sum("c").over(upto), "n": F.sum("c").over(whole)})
+    off = v - centre(bucket(v, bands), bands)
+    per_band = counted.groupBy("g", bucket(v, bands).alias("b")).agg(
+        F.sum(F.when(v.isNotNull(), c)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"),
+        F.sum(off * c).alias("d"), F.sum(off * off * c).alias("q"), F.sum(v * c).alias("s"))
+    per_group = per_band.groupBy("g").agg(
+        F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.min("lo").alias("min"), F.max("hi").alias("max"),
+        F.sum("s").alias("total"),
+        F.sort_array(F.collect_list(F.when(b.isNotNull(), F.struct("b", "c", "d", "q")))).alias("held"))
+    mean = F.col("total") / F.col("n")
+
+    def spread(x):  # squared deviations of a band's values from the mean
+        away = centre(x["b"], bands) - F.col("mean")
+        return x["q"] + F.lit(2.0) * away * x["d"] + x["c"] * away * away
+
+    out = per_group.withColumn("mean", F.when(F.col("n") > 0, mean))
+    squares = F.aggregate("held", F.lit(0.0), lambda acc, x: acc + spread(x))
+    return out.select("g", "n", "min", "max", "mean", F.transform("held", lambda x: F.struct(
+        x["b"].alias("b"), x["c"].alias("c"))).alias("held"), F.when(F.col("n") > 1, F.sqrt(
+            F.greatest(squares, F.lit(0.0)) / (F.col("n") - 1))).alias("std"))
+
+
+def _wanted(histograms: DataFrame, probs: dict[str, float]) -> DataFrame:
+    """(g, b, wants): the bands that hold a wanted rank, with the ranks inside the band."""
     ranks = []
-    for name in names:
-        low = F.floor((F.col("n") - 1) * F.lit(float(probs[name])))
+    for name, p in probs.items():
+        low = F.floor((F.col("n") - 1) * F.lit(float(p)))
         for side, rank in (("a", low), ("b", F.least(low + 1, F.col("n") - 1))):
             ranks.append(F.struct(F.lit(f"{name}|{side}").alias("q"), rank.alias("r")))
-    wanted = sizes.select(*keys, "b", "c", "upto", F.inline(F.array(*ranks))) \
-        .where((F.col("r") < F.col("upto")) & (F.col("r") >= F.col("upto") - F.col("c"))) \
-        .select(*[F.col(k).alias(f"w_{k}") for k in keys], F.col("b").alias("w_b"), "q",
-                (F.col("r") - F.col("upto") + F.col("c")).alias("r"))
-
-    values = counted.select(*keys, bucket(v, bands).alias("b"), "v", "c")
-    match = values["b"].eqNullSafe(wanted["w_b"])
-    for k in keys:
-        match = match & values[k].eqNullSafe(wanted[f"w_{k}"])
-    inside = Window.partitionBy(*keys, "b", "q").orderBy("v") \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = (values.join(wanted, match).withColumn("upto", F.sum("c").over(inside))
-             .where(F.col("upto") > F.col("r")).groupBy(*keys, "q").agg(F.min("v").alias("v")))
-    wide = found.groupBy(*keys).agg(*[
+    start = F.struct(F.lit(0).cast("long").alias("upto"), F.array().cast(
+        "array<struct<b:bigint,c:bigint,before:bigint>>").alias("seen"))
+    running = F.aggregate("held", start, lambda acc, x: F.struct(
+        (acc["upto"] + x["c"]).alias("upto"), F.concat(acc["seen"], F.array(F.struct(
+            x["b"].alias("b"), x["c"].alias("c"), acc["upto"].alias("before")))).alias("seen")), lambda acc: acc["seen"])
+    bands = (histograms.where("n > 0").select("g", F.array(*ranks).alias("ranks"), running.alias("running"))
+             .select("g", "ranks", F.explode("running").alias("band")))
+    wants = F.filter("ranks", lambda w: (w["r"] >= F.col("band.before"))
+                     & (w["r"] < F.col("band.before") + F.col("band.c")))
+    wants = F.transform(wants, lambda w: F.struct(w["q"].alias("q"), (w["r"] - F.col("band.before")).alias("r")))
+    return bands.select("g", F.col("band.b").alias("b"), wants.alias("wants")).where(F.size("wants") > 0)
+
+
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
+                      moments: dict[str, str] | None = None, bands: int = BANDS) -> DataFrame:
+    """One row per group of ``df``: ``keys``, one column per entry of ``probs`` and of ``moments``.
+
+    ``moments`` maps names to ``n``, ``mean``, ``min``, ``max`` or ``std`` (the sample
+    deviation).  NULL values are ignored; a group with no values gets NULL
+    percentiles.  NULL keys form their own group: groups are compared as structs.
+    """
+    counted = (df.select(F.struct(*keys).alias("g"), F.col(value).cast("double").alias("v"))
+               .groupBy("g", "v").agg(F.count(F.lit(1)).alias("c")))
+    histograms = _histograms(counted, bands)
+    values = counted.select("g", bucket(F.col("v"), bands).alias("b"), "v", "c")
+    inside = Window.partitionBy("g", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = values.join(_wanted(histograms, probs), ["g", "b"]).withColumn("upto", F.sum("c").over(inside))
+    hits = F.filter("wants", lambda w: (w["r"] < F.col("upto")) & (w["r"] >= F.col("upto") - F.col("c")))
+    found = ranked.select("g", "v", F.explode(F.transform(hits, lambda w: w["q"])).alias("q"))
+    wide = found.groupBy("g").agg(*[
         F.max(F.when(F.col("q") == F.lit(f"{name}|{side}"), F.col("v"))).alias(f"{name}|{side}")
-        for name in names for side in "ab"])
-    wide = wide.select(*[F.col(k).alias(f"w_{k}") for k in keys],
-                       *[F.col(f"{name}|{side}") for name in names for side in "ab"])
-    match = F.lit(True)
-    for k in keys:
-        match = match & groups[k].eqNullSafe(wide[f"w_{k}"])
-    out = groups.join(wide, match, "left")
-    h = {name: (F.col("n") - 1) * F.lit(float(probs[name])) for name in names}
+        for name in probs for side in "ab"])
+    out = histograms.drop("held").join(wide, "g", "left")
+    h = {name: (F.col("n") - 1) * F.lit(float(p)) for name, p in probs.items()}
     return out.select(
-        *keys, *[lerp(F.col(f"{n}|a"), F.col(f"{n}|b"), h[n] - F.floor(h[n])).alias(n) for n in names],
-        *extra_names)
+        *[F.col(f"g.{k}").alias(k) for k in keys],
+        *[lerp(F.col(f"{x}|a"), F.col(f"{x}|b"), h[x] - F.floor(h[x])).alias(x) for x in probs],
+        *[F.col(kind).alias(name) for name, kind in (moments or {}).items()])
