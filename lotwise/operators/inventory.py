@@ -82,7 +82,7 @@ def purchases(requests: DataFrame) -> DataFrame:
 
 def purchase_history(requests: DataFrame, vehicle_history: DataFrame,
                      car_status: DataFrame, publishing_logs: DataFrame,
-                     dealer_name: str | None = None) -> DataFrame:
+                     dealer_name: str | None = None, dealer_code: str | None = None) -> DataFrame:
     """Every sale enriched with vehicle attributes, cost and time on the app.
 
     Three left joins that may fan out, kept on purpose: a vehicle seen with
@@ -91,12 +91,14 @@ def purchase_history(requests: DataFrame, vehicle_history: DataFrame,
     DISTINCT runs over all five cost columns).  The two joins on
     ``vehicle_id`` come first so one shuffle of the sales serves both.
     ``request_date`` (the sale day) is returned as a zone-less timestamp,
-    as the dashboard converts it.  With ``dealer_name`` the requests are
-    filtered first, so the scan gets the filter; every operator over a history
-    is then that dealer's.
+    as the dashboard converts it.  With ``dealer_name`` or ``dealer_code`` (or
+    both: the code prunes tables bucketed by it) the requests are filtered
+    first, so the scan gets the filter; every operator over a history is then
+    that dealer's.
     """
-    if dealer_name is not None:
-        requests = requests.where(F.col("dealer_name") == F.lit(dealer_name))
+    for column, value in (("dealer_name", dealer_name), ("dealer_code", dealer_code)):
+        if value is not None:
+            requests = requests.where(F.col(column) == F.lit(value))
     sales = purchases(requests)
     logs = publishing_logs.select("vehicle_id", "minutes_published_for")
     vehicles = (vehicle_history

@@ -19,27 +19,19 @@ DEALER_COLUMNS = ("dealer_name", "dealer_code", "dealer_status", "dealer_email",
 MATCH_COLUMNS = LISTING_COLUMNS + ("phone_number",) + DEALER_COLUMNS
 
 
-def listing_phones(listings: DataFrame, as_of, wanted: DataFrame | None = None) -> DataFrame:
-    """Listings of the last 30 days, one row per distinct (listing, phone number).
-
-    ``wanted`` (a frame of ``phone_number``) keeps only those numbers; it is
-    applied by a semi-join before the DISTINCT, so that only listings that
-    match are shuffled with their texts.
+def listing_phones(listings: DataFrame, as_of) -> DataFrame:
+    """Listings of the last 30 days, one row per phone number as written.
 
     The seller phone field is cleaned to digits and commas, split on commas
     (a NULL field yields no row, an empty one a single empty number) and each
-    number loses its first digit.  One DISTINCT after the explode equals
-    the reference's DISTINCT before and after it, since explode is per row.
+    number loses its first digit.
     """
     recent = listings.where(since(F.col("added_at"), as_of, DAYS_30))
     cleaned = F.regexp_replace(F.col("seller_phone_number"), PHONE_KEEP, "")
     exploded = recent.select(*LISTING_COLUMNS,
                              F.explode(F.split(cleaned, PHONE_SEPARATOR)).alias("raw_phone"))
-    phones = exploded.select(*LISTING_COLUMNS,
-                             F.substr(F.col("raw_phone"), F.lit(PHONE_FROM)).alias("phone_number"))
-    if wanted is not None:
-        phones = phones.join(wanted.select("phone_number"), "phone_number", "left_semi")
-    return phones.distinct()
+    return exploded.select(*LISTING_COLUMNS,
+                           F.substr(F.col("raw_phone"), F.lit(PHONE_FROM)).alias("phone_number"))
 
 
 def listing_match(listings: DataFrame, dim_dealers: DataFrame, as_of,
@@ -47,13 +39,19 @@ def listing_match(listings: DataFrame, dim_dealers: DataFrame, as_of,
     """Recent listings whose phone number equals a dealer's phone.
 
     A listing matching several dealers (or one dealer through several
-    numbers) appears once per match.  A ``dealer_code`` filter applies to the
-    dealer side before the join, so the join becomes a broadcast of a few rows.
+    numbers) appears once per match.  Dealer rows are distinct with their number,
+    so one join both keeps the listings that match and brings their dealers, and
+    the DISTINCT over (listing, number) runs on the matches alone; equal dealer
+    rows are unfolded last.  A ``dealer_code`` filter applies to the dealer side
+    before the join, so the join becomes a broadcast of a few rows.
     """
-    dealers = dim_dealers.select(F.col("dealer_phone").alias("phone_number"), *DEALER_COLUMNS)
+    dealers = dim_dealers.where(F.col("dealer_phone").isNotNull())
     if dealer_code is not None:
         dealers = dealers.where(F.col("dealer_code") == F.lit(dealer_code))
-    out = listing_phones(listings, as_of, dealers).join(dealers, "phone_number", "inner") \
+    dealers = dealers.groupBy(F.col("dealer_phone").alias("phone_number"), *DEALER_COLUMNS) \
+        .agg(F.count(F.lit(1)).alias("copies"))
+    matched = listing_phones(listings, as_of).join(dealers, "phone_number").distinct()
+    out = matched.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))) \
         .select(*MATCH_COLUMNS)
     return out.orderBy(F.col("added_at").desc(), "id", "phone_number", "dealer_code",
                        "dealer_name") if ordered else out

@@ -118,13 +118,18 @@ def _month_rollup(days: DataFrame, as_of) -> DataFrame:
 
 
 def dealer_metrics_by_code(requests: DataFrame, as_of) -> DataFrame:
-    """All cadence metrics for every dealer code with a Buy Now event.
+    """All cadence metrics for every dealer code with a Buy Now event."""
+    return metrics_from_days(buy_now_day_counts(requests), as_of)
+
+
+def metrics_from_days(days_: DataFrame, as_of) -> DataFrame:
+    """All cadence metrics from (dealer_code, kind, d, n) rows, one per dealer, kind and day.
 
     Three hash aggregates, each over the previous one's much smaller output:
     (dealer, kind, day) -> (dealer, kind, month) -> dealer.  All stay
     code-generated hash aggregates (no collect or count-distinct expansion).
     """
-    months = _month_rollup(buy_now_day_counts(requests), as_of)
+    months = _month_rollup(days_, as_of)
     p = F.col("kind") == F.lit(PURCHASE)
     r = F.col("kind") == F.lit(REQUEST)
 
@@ -179,8 +184,12 @@ def dealer_metrics(requests: DataFrame, dealers: DataFrame, as_of) -> DataFrame:
     events has zero counts, NULL averages and NULL 30-day counts, and is a
     ``User``.  A NULL code never matches an event.
     """
+    return metrics_of_roster(dealer_metrics_by_code(requests, as_of), dealers)
+
+
+def metrics_of_roster(by_code: DataFrame, dealers: DataFrame) -> DataFrame:
+    """The metric columns of every roster row, from the metrics of the codes with events."""
     roster = dealers.select("dealer_code", "dealer_name").distinct()
-    by_code = dealer_metrics_by_code(requests, as_of)
     joined = roster.join(by_code, "dealer_code", "left")
     counts = {c: F.coalesce(F.col(c), F.lit(0)).cast("bigint") for c in COUNT_COLUMNS}
     flag = F.when(F.col("total_purchases_lifetime") > 0, F.lit(DEALER)).otherwise(F.lit(USER))

@@ -3,19 +3,28 @@
 Every callable takes ``(spark, sf_dir)``, derives the contract tables from
 the driver's parquet files and returns the operator's DataFrame over the whole
 tables.  All are lazy but ``recommend_cars``, which writes four small tables to
-the shared checkpoint folder while its plan is built.
+the shared checkpoint folder while its plan is built, and the ``snapshot_*`` keys,
+which read the start-up results back from a snapshot and write it where it is not
+fresh.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lotwise.operators import (activity, inbox, inventory, listings, metrics, profile,
                                recommend, requests, segmentation)
 from lotwise.functions import display
-from lotwise.sources.fixtures import AS_OF, AS_OF_EVENTS, DEALER_CODE, DEALER_NAME, fixture_tables
+from lotwise.functions.dates import DAYS_30, day_of, since
+from lotwise.session import scratch
+from lotwise.sources.cadence import CadenceState
+from lotwise.sources.fixtures import AS_OF, AS_OF_EVENTS, DEALER_CODE, DEALER_NAME, UNKNOWN_DEALER, fixture_tables
+from lotwise.sources.snapshot import SNAPSHOT_NAMES, dashboard_frames, snapshot
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -142,8 +151,61 @@ def dealer_profile(spark, sf_dir):
     return profile.dealer_profile(_seg(spark, sf_dir), act, purchase_history(spark, sf_dir))
 
 
+def profile_without_history(spark, sf_dir):
+    """The profile's "no data" form: nothing was ever bought."""
+    t = fixture_tables(spark, sf_dir)
+    act = activity.dealer_activity(t.dealers_activity, AS_OF_EVENTS, ordered=False)
+    return profile.dealer_profile(_seg(spark, sf_dir), act, purchase_history(spark, sf_dir).where(F.lit(False)))
+
+
+def history_of_unknown_dealer(spark, sf_dir):
+    """An empty result with all its columns."""
+    t = fixture_tables(spark, sf_dir)
+    return inventory.purchase_history(t.requests, t.vehicle_history, t.car_status, t.publishing_logs,
+                                      dealer_name=UNKNOWN_DEALER)
+
+
+def _read_back(spark, sf_dir, names) -> dict[str, DataFrame]:
+    """Start-up results through the snapshot that this application keeps of ``sf_dir``."""
+    root = scratch(spark, f"snapshot-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}", new=False)
+    frames = dashboard_frames(fixture_tables(spark, sf_dir), AS_OF, AS_OF_EVENTS)
+    return snapshot({name: frames[name] for name in names}, root, AS_OF, dt.datetime.now())
+
+
+def _from_snapshot(name):
+    def run(spark, sf_dir):
+        return _read_back(spark, sf_dir, [name])[name]
+    run.__name__ = f"snapshot_{name}"
+    return run
+
+
+def snapshot_readback(spark, sf_dir):
+    """Rows of each of the six results, counted after reading them back."""
+    parts = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("frame"), "n_rows")
+             for name, df in _read_back(spark, sf_dir, SNAPSHOT_NAMES).items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def metrics_from_state(spark, sf_dir):
+    """The metrics from stored day counts: all earlier requests, then the last month's folded in."""
+    t = fixture_tables(spark, sf_dir)
+    state = CadenceState(spark, scratch(spark, "cadence"))
+    last = F.coalesce(since(day_of("received_at"), AS_OF, DAYS_30), F.lit(False))
+    state.fold("before", t.requests.where(~last))
+    state.fold("last", t.requests.where(last))
+    return state.dealer_metrics(t.dealers, AS_OF)
+
+
 def queries() -> dict[str, Query]:
     return {
+        "dealer_metrics_from_state": metrics_from_state,
+        **{f"snapshot_{name}": _from_snapshot(name) for name in SNAPSHOT_NAMES},
+        "snapshot_readback": snapshot_readback,
+        "dealer_profile_without_history": profile_without_history,
+        "purchase_history_of_unknown_dealer": history_of_unknown_dealer,
         "dealer_activity": dealer_activity,
         "recent_views": recent_views,
         "recent_filters": recent_filters,

@@ -79,13 +79,16 @@ def _own_folder(spark: SparkSession) -> str:
     return path.getFileSystem(conf).makeQualified(path).toString()
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared checkpoint folder, under this application's own folder."""
+def scratch(spark: SparkSession, name: str, new: bool = True) -> str:
+    """A path in the shared checkpoint folder, under this application's own folder.
+
+    Always a new one, unless ``new`` is false: then the same for the same name.
+    """
     own = _own_folder(spark)
     if own not in _folders:
         _folders[own] = spark
         atexit.register(_clear_at_exit, own)
-    return f"{own}/{name}-{uuid.uuid4().hex}"
+    return f"{own}/{name}-{uuid.uuid4().hex}" if new else f"{own}/{name}"
 
 
 _folders: dict[str, SparkSession] = {}

@@ -27,6 +27,7 @@ AS_OF_EVENTS = dt.date(2024, 2, 3)
 
 # The dealer of the registered single-dealer queries.
 DEALER_CODE, DEALER_NAME = "1", "Customer#000000001"
+UNKNOWN_DEALER = "No such dealer"
 
 DRIVER_TABLES = ("customer", "orders", "lineitem", "part", "events")
 
