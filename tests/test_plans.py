@@ -44,3 +44,8 @@ def test_dealer_filter_reaches_the_scan(spark):
     scan = [line for line in plan.splitlines() if "events.parquet" in line][0]
     assert "user_id" in scan and "ts#" in scan
     assert "PushedFilters" in scan and "GreaterThanOrEqual(ts" in scan
+
+
+def test_listing_match_scans_the_dealers_once(spark):
+    plan = _plan(queries()["listing_match"](spark, SMALL))
+    assert plan.count("customer.parquet") == 1 and plan.count("orders.parquet") <= 1 + plan.count("Subquery")
