@@ -201,7 +201,7 @@ class Fit:
             count, total, squares = 0, [0] * dim, [0] * dim
             for batch in batches:
                 for x in _arrays(batch, dim):
-                    small = int(np.abs(x).max(initial=0)) < 1 << 20     # squares of a block fit a long
+                    small = max(-int(x.min()), int(x.max())) < 1 << 20      # squares of a block fit a long
                     x = x.astype(np.int64 if small else object)
                     count += len(x)
                     total = [a + int(b) for a, b in zip(total, x.sum(axis=0))]
@@ -210,10 +210,15 @@ class Fit:
                 [pa.array(np.arange(dim)), pa.array([count] * dim, pa.int64()),
                  pa.array([str(v) for v in total]), pa.array([str(v) for v in squares])], ["j", "n", "s", "q"])
 
+        def added(parts: pa.Table) -> pa.Table:
+            whole = lambda name: str(sum(map(int, parts.column(name).to_pylist())))
+            return pa.table({"j": parts.column("j")[:1], "blocks": pa.array([len(parts)], pa.int64()),
+                             "n": pa.array([int(whole("n"))], pa.int64()), "s": pa.array([whole("s")]),
+                             "q": pa.array([whole("q")])})
+
+        # whole numbers of any length, one partial row per task and dimension
         rows = (self.blocks.mapInArrow(moments, "j long, n long, s string, q string").groupBy("j")
-                .agg(F.count(F.lit(1)).alias("blocks"), F.sum("n").alias("n"),
-                     F.sum(F.col("s").cast("decimal(38,0)")).cast("string").alias("s"),
-                     F.sum(F.col("q").cast("decimal(38,0)")).cast("string").alias("q")).orderBy("j").collect())
+                .applyInArrow(added, "j long, blocks long, n long, s string, q string").orderBy("j").collect())
         self.parts = rows[0]["blocks"] if rows else 0
         self.n = rows[0]["n"] if rows else 0
         self.sums = [int(r["s"]) for r in rows]

@@ -102,6 +102,13 @@ def test_odd_rows(spark, tmp_path):
     assert {r.component for r in got.collect()} == {1}
 
 
+def test_huge_entries(spark):
+    rows = [(1, [3e38, 0.0]), (2, [-3e38, 1.0]), (3, [1e18, -1e18])]
+    got = whiten(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert {r.component for r in got} == {1, 2} and all(r.deviation is None and r.n == 3 for r in got)
+    assert all(np.isfinite([r.whitened, r.explained]).all() for r in got) and got[0].identity_error < 1e-4
+
+
 def test_deviations_are_exact_and_null_beyond_a_long():
     x = np.array([[3, -4], [10 ** 9, 0]], np.int64)
     assert deviations(x, 2, [1, 1]) == [(6 - 1) ** 2 + (-8 - 1) ** 2, (2 * 10 ** 9 - 1) ** 2 + 1]
