@@ -7,24 +7,28 @@ in one task.  Here the input is reduced once, map-side first, to one row per
 
 1. each group's histogram: per narrow band of the value's logarithm the count,
    extremes and sums around the band's centre.  It merges like any aggregate and
-   is carried as one row per group, bounded by the number of bands;
-2. that row tells in which band each wanted rank lies, and gives count, mean,
-   extremes and deviation as sums weighted by the counts;
+   has at most one row per group and band;
+2. running counts over it tell in which band each wanted rank lies; its sums give
+   count, mean, extremes and deviation, weighted by the counts;
 3. the values of the wanted bands alone are ranked, by (group, band);
 4. the two neighbouring order statistics ``a = x[f]`` and ``b = x[f + 1]``
    (``h = (n - 1) * p``, ``f = floor(h)``, ``t = h - f``) are interpolated bit
    for bit as numpy does: ``a + (b - a) * t`` when ``t < 0.5``, else
    ``b - (b - a) * (1 - t)``.
 
-A window therefore sees the distinct values of one band of a group, never a group.
+A window therefore sees a group's bands, or the distinct values of one of them,
+never a group.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+KINDS = ("n", "mean", "min", "max", "std")
 BANDS = 256           # buckets per unit of the natural logarithm
 
 
@@ -47,49 +51,44 @@ def centre(b: Column, bands: int = BANDS) -> Column:
 
 
 def _histograms(counted: DataFrame, bands: int) -> DataFrame:
-    """One row per group ``g``: count, extremes, mean, squared deviations, and counts by band."""
-    v, c, b = F.col("v"), F.col("c"), F.col("b")
+    """One row per (group ``g``, band ``b``): its count and extremes, and the group's moments.
+
+    The windows run over the bands of a group.
+    """
+    v, c = F.col("v"), F.col("c")
     # No filter on the value: it would be pushed below the reduction in some
     # branches only, and they would no longer share its exchange.
     off = v - centre(bucket(v, bands), bands)
     per_band = counted.groupBy("g", bucket(v, bands).alias("b")).agg(
-        F.sum(F.when(v.isNotNull(), c)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"),
-        F.sum(off * c).alias("d"), F.sum(off * off * c).alias("q"), F.sum(v * c).alias("s"))
-    per_group = per_band.groupBy("g").agg(
-        F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.min("lo").alias("min"), F.max("hi").alias("max"),
-        F.sum("s").alias("total"),
-        F.sort_array(F.collect_list(F.when(b.isNotNull(), F.struct("b", "c", "d", "q")))).alias("held"))
-    mean = F.col("total") / F.col("n")
-
-    def spread(x):  # squared deviations of a band's values from the mean
-        away = centre(x["b"], bands) - F.col("mean")
-        return x["q"] + F.lit(2.0) * away * x["d"] + x["c"] * away * away
-
-    out = per_group.withColumn("mean", F.when(F.col("n") > 0, mean))
-    squares = F.aggregate("held", F.lit(0.0), lambda acc, x: acc + spread(x))
-    return out.select("g", "n", "min", "max", "mean", F.transform("held", lambda x: F.struct(
-        x["b"].alias("b"), x["c"].alias("c"))).alias("held"), F.when(F.col("n") > 1, F.sqrt(
-            F.greatest(squares, F.lit(0.0)) / (F.col("n") - 1))).alias("std"))
+        F.coalesce(F.sum(F.when(v.isNotNull(), c)), F.lit(0)).alias("c"), F.min("v").alias("lo"),
+        F.max("v").alias("hi"), F.sum(off * c).alias("d"), F.sum(off * off * c).alias("q"), F.sum(v * c).alias("s"))
+    group = Window.partitionBy("g")
+    upto = group.orderBy(F.col("b").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = per_band.withColumns({"before": F.sum("c").over(upto) - c, "n": F.sum("c").over(group),
+                                 "total": F.sum("s").over(group), "min": F.min("lo").over(group),
+                                 "max": F.max("hi").over(group)})
+    n, mean = F.col("n"), F.col("mean")
+    away = centre(F.col("b"), bands) - mean
+    squares = F.sum(F.col("q") + F.lit(2.0) * away * F.col("d") + c * away * away).over(group)
+    return held.withColumn("mean", F.col("total") / F.nullif(n, F.lit(0))).select(
+        "g", "b", "c", "lo", "hi", "before", "n", "mean", "min", "max",
+        F.when(n > 1, F.sqrt(F.greatest(squares, F.lit(0.0)) / (n - 1))).alias("std"))
 
 
 def _wanted(histograms: DataFrame, probs: dict[str, float]) -> DataFrame:
-    """(g, b, wants): the bands that hold a wanted rank, with the ranks inside the band."""
+    """The bands that hold a wanted rank, with ``wants``, the ranks inside the band.
+
+    A group without values keeps its one row.
+    """
     ranks = []
     for name, p in probs.items():
         low = F.floor((F.col("n") - 1) * F.lit(float(p)))
         for side, rank in (("a", low), ("b", F.least(low + 1, F.col("n") - 1))):
-            ranks.append(F.struct(F.lit(f"{name}|{side}").alias("q"), rank.alias("r")))
-    start = F.struct(F.lit(0).cast("long").alias("upto"), F.array().cast(
-        "array<struct<b:bigint,c:bigint,before:bigint>>").alias("seen"))
-    running = F.aggregate("held", start, lambda acc, x: F.struct(
-        (acc["upto"] + x["c"]).alias("upto"), F.concat(acc["seen"], F.array(F.struct(
-            x["b"].alias("b"), x["c"].alias("c"), acc["upto"].alias("before")))).alias("seen")), lambda acc: acc["seen"])
-    bands = (histograms.where("n > 0").select("g", F.array(*ranks).alias("ranks"), running.alias("running"))
-             .select("g", "ranks", F.explode("running").alias("band")))
-    wants = F.filter("ranks", lambda w: (w["r"] >= F.col("band.before"))
-                     & (w["r"] < F.col("band.before") + F.col("band.c")))
-    wants = F.transform(wants, lambda w: F.struct(w["q"].alias("q"), (w["r"] - F.col("band.before")).alias("r")))
-    return bands.select("g", F.col("band.b").alias("b"), wants.alias("wants")).where(F.size("wants") > 0)
+            ranks.append((f"{name}|{side}", rank - F.col("before")))
+    inside = lambda r: (r >= 0) & (r < F.col("c"))
+    some = reduce(lambda x, y: x | y, [inside(r) for _, r in ranks])
+    wants = F.array(*[F.when(inside(r), F.struct(F.lit(q).alias("q"), r.alias("r"))) for q, r in ranks])
+    return histograms.where(some | (F.col("n") == 0)).withColumn("wants", F.array_compact(wants))
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
@@ -102,16 +101,21 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
     """
     counted = (df.select(F.struct(*keys).alias("g"), F.col(value).cast("double").alias("v"))
                .groupBy("g", "v").agg(F.count(F.lit(1)).alias("c")))
-    histograms = _histograms(counted, bands)
-    values = counted.select("g", bucket(F.col("v"), bands).alias("b"), "v", "c")
+    wanted = _wanted(_histograms(counted, bands), probs)
+    # never NULL, so that no filter comes between this branch and the shared exchange
+    band = F.coalesce(bucket(F.col("v"), bands), F.lit(-(1 << 62)))
+    values = counted.select(F.col("g").alias("v_g"), band.alias("v_b"), "v", F.col("c").alias("v_c"))
+    # a band of one value answers by itself
     inside = Window.partitionBy("g", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = values.join(_wanted(histograms, probs), ["g", "b"]).withColumn("upto", F.sum("c").over(inside))
-    hits = F.filter("wants", lambda w: (w["r"] < F.col("upto")) & (w["r"] >= F.col("upto") - F.col("c")))
-    found = ranked.select("g", "v", F.explode(F.transform(hits, lambda w: w["q"])).alias("q"))
-    wide = found.groupBy("g").agg(*[
-        F.max(F.when(F.col("q") == F.lit(f"{name}|{side}"), F.col("v"))).alias(f"{name}|{side}")
+    ranked = (wanted.join(values, (F.col("g") == F.col("v_g")) & (F.col("b") == F.col("v_b"))
+                          & (F.col("lo") < F.col("hi")), "left").withColumn("upto", F.sum("v_c").over(inside)))
+    hits = F.filter("wants", lambda w: F.col("v").isNull() | (
+        (w["r"] < F.col("upto")) & (w["r"] >= F.col("upto") - F.col("v_c"))))
+    found = ranked.select("g", *KINDS, F.coalesce("v", "lo").alias("value"),
+                          F.explode_outer(F.transform(hits, lambda w: w["q"])).alias("q"))
+    out = found.groupBy("g").agg(*[F.max(kind).alias(kind) for kind in KINDS], *[
+        F.max(F.when(F.col("q") == F.lit(f"{name}|{side}"), F.col("value"))).alias(f"{name}|{side}")
         for name in probs for side in "ab"])
-    out = histograms.drop("held").join(wide, "g", "left")
     h = {name: (F.col("n") - 1) * F.lit(float(p)) for name, p in probs.items()}
     return out.select(
         *[F.col(f"g.{k}").alias(k) for k in keys],

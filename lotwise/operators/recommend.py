@@ -37,6 +37,8 @@ text.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -54,6 +56,7 @@ KM_WIDTH = 500              # kilometers per bucket, by which mileages are ranke
 KM_BUCKETS = 1000           # mileages beyond this many buckets share the last
 YEARS = (1899, 2101)        # years outside count as these two when dealt out
 SALTS = 16
+NEAR_FLOOR = 1.9            # least mileage score that the first round takes among all cars of a year
 SEED_PAIRS = 8              # bought pairs that the first round looks at, at least
 SLACK = 1e-9                # float margin of the pruning comparisons
 
@@ -296,12 +299,19 @@ def recommend_cars(history: DataFrame, live: DataFrame, top_k: int,
     queries, the first round's best) are written to the shared checkpoint folder
     while the plan is built; the rest is lazy.
     """
+    def stock_and_index():
+        stored = materialize(_live_cars(live), "cars")
+        return stored, _CellIndex(stored, top_k)
+
+    # the live cars do not depend on the history, so both are stored side by side
+    pool = ThreadPoolExecutor(1)
+    stocked = pool.submit(stock_and_index)
     held = history.select(key, "make", "model", "year", "kilometers").persist()
     stats = materialize(dealer_stats(held, key), "stats")
     pair_counts = materialize(held.groupBy(key, "make", "model").agg(F.count(F.lit(1)).alias("n")), "pair-counts")
     held.unpersist()
-    cars = materialize(_live_cars(live), "cars")
-    index = _CellIndex(cars, top_k)
+    cars, index = stocked.result()
+    pool.shutdown()
     moments = stats.select(key, "year_mean", "year_std", "km_mean", "km_std")
     gain = range_score(F.col("year"), F.col("year_mean"), F.col("year_std"))
     dated = cars.where(F.col("year").isNotNull())
@@ -336,7 +346,8 @@ def recommend_cars(history: DataFrame, live: DataFrame, top_k: int,
     around = pairs.where("seed is not null").join(moments, key)
     around = asked(_years_in_reach(around, _spans(dated, "make", "model", "year"), key, also=("make", "model")),
                    _cell(5, mk, md, y), (made, modelled, gain), one)
-    years = asked(_years_in_reach(moments, _spans(dated, "year"), key), _cell(1, year=y), (zero, zero, gain), one)
+    years = asked(_years_in_reach(moments, _spans(dated, "year"), key), _cell(1, year=y), (zero, zero, gain),
+                  F.lit(NEAR_FLOOR))
     first = materialize(whole.unionByName(around).unionByName(years), "queries")
     best = materialize(_first(index.search(first, key, heads=False), top_k, key), "best")
 
