@@ -23,6 +23,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from lotwise.llm.tables import cut, table
 
@@ -60,13 +61,13 @@ def training_time(share: Column, knots: Sequence[tuple[float, float]]) -> Column
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          source_col: str = "source", digits: int = DIGITS) -> DataFrame:
-    """Words, source and hash order of every document."""
+          source_col: str = "source", digits: int = DIGITS, carry: Sequence[Column] = ()) -> DataFrame:
+    """Words, source and hash order of every document; ``carry`` adds columns."""
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     return docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        key.alias("key"), F.substring(key, 1, digits).alias("bucket"))
+        key.alias("key"), F.substring(key, 1, digits).alias("bucket"), *carry)
 
 
 def targets(sized: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -97,9 +98,11 @@ def targets(sized: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: int
 
 
 def curriculum(sized: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: int = MAX_REPEAT,
-               schedules: Sequence = SCHEDULES) -> DataFrame:
+               schedules: Sequence = SCHEDULES, carry: Sequence[str] = ()) -> DataFrame:
     """One row per document with its passes; ``sized`` must be stored.
 
+    Columns named in ``carry`` break ties of the order and are kept.
+
     ``passes`` lists (pass, words, position): the words that the mix takes in
     this pass and the training position of its first word.  The last pass of a
     source ends inside a document, so a source's words equal its target.
@@ -112,7 +115,7 @@ def curriculum(sized: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: i
                .select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), "base"))
     goal = goal.withColumnRenamed("source", "g_source")
     offsets = (offsets.join(goal, F.col("b_source").eqNullSafe(F.col("g_source"))).drop("g_source"))
-    inside = (Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size")
+    inside = (Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", *carry)
               .rowsBetween(Window.unboundedPreceding, -1))
     rows = (sized.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
             .join(offsets, F.col("source").eqNullSafe(F.col("b_source"))
@@ -138,7 +141,7 @@ def curriculum(sized: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: i
                       lambda p: p["words"] > 0)
     return rows.withColumn("passes", passes).select(
         "doc_id", "source", "size", "source_size", "target", "taken",
-        F.round(F.get("passes", F.lit(0))["position"], 3).alias("position"), "passes")
+        F.round(F.get("passes", F.lit(0))["position"], 3).alias("position"), "passes", *carry)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,31 +152,35 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
             .orderBy(F.col("position").asc_nulls_last(), "doc_id"))
 
 
+def identity(docs: DataFrame) -> list[Column]:
+    """128 bits over all columns of a row, null apart from empty; rows alike in every column share them."""
+    parts = []
+    for field in docs.schema.fields:
+        column = F.col(f"`{field.name}`")
+        nested = isinstance(field.dataType, (ArrayType, MapType, StructType))
+        parts += [column.isNull(), F.to_json(F.struct(column)) if nested else column]
+    return [F.xxhash64(F.lit(seed), *parts).alias(f"row_{seed}") for seed in (1, 2)]
+
+
 def training_rows(docs: DataFrame) -> DataFrame:
     """The documents in training order, once for each pass that takes them.
 
     A pass counts when it takes at least half of the document's words, so that
     only whole documents are emitted.  Documents without words are in no pass.
+
+    Passes are placed without texts; a row meets its places by a hash of all its
+    columns.  Rows alike in every column are one text with the places of all, so
+    a text moves once to its places and once to its training position.
     """
-    # rows are matched by id, source and size; rows alike in all three stand
-    # for one another, and each pairs with one placement
-    alike = ["doc_id", "source", "size"]
-    nth = F.row_number().over(Window.partitionBy(*alike).orderBy("order"))
-    words = F.coalesce(F.regexp_count(F.col("row.text"), F.lit(WORD)), F.lit(0)).cast("long")
-    key = (docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-           .select("row", F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"),
-                   words.alias("size"), F.xxhash64("row").alias("order"))
-           .withColumn("nth", nth))
-    mixed = curriculum(cut(sizes(docs), "sizes"))
-    mixed = (mixed.withColumn("order", F.col("position"))
-             .withColumn("nth", nth)
-             .select(*[F.col(c).alias(f"m_{c}") for c in (*alike, "nth")], "passes"))
-    placed = (key.join(mixed, F.col("doc_id").eqNullSafe(F.col("m_doc_id"))
-                       & F.col("source").eqNullSafe(F.col("m_source"))
-                       & (F.col("size") == F.col("m_size")) & (F.col("nth") == F.col("m_nth")))
-              .select("row", "size", F.explode("passes").alias("p"))
-              .where(F.col("p.words") * 2 >= F.col("size")))
-    return placed.orderBy("p.position").select("row.*")
+    key = ["row_1", "row_2"]
+    sized = sizes(docs, carry=identity(docs))
+    places = (curriculum(cut(sized, "sizes"), carry=key)
+              .select(*key, "size", F.explode("passes").alias("p"))
+              .where(F.col("p.words") * 2 >= F.col("size"))
+              .select(*key, F.col("p.position").alias("position")))
+    texts = (docs.select(*identity(docs), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+             .groupBy(*key).agg(F.first("row").alias("row")))
+    return places.join(texts, key).orderBy("position", *key).select("row.*")
 
 
 OP4_SQL = r"""

@@ -2,6 +2,7 @@ import collections
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from lotwise.llm import mixing
 from lotwise.llm.mixing import curriculum, sizes, targets, training_rows, unit_schedule
@@ -105,6 +106,38 @@ def test_training_rows_keep_columns_and_order(spark):
     assert found == +want
 
 
+def test_training_rows_of_repeated_and_null_rows(spark):
+    """Rows alike in id, source and size keep their own texts; rows alike in all columns keep their number."""
+    data = [(1, "a b c d", "x"), (1, "e f g h", "x"), (1, "e f g h", "x"), (None, "i j k l", "x"),
+            (None, None, "i j k l"), (2, "", "x"), (3, "m n o p", None), (3, "m n o p", None)]
+    docs = (frame(spark, data).withColumn("row", F.lit("extra")).withColumn("position", F.lit(None).cast("long"))
+            .withColumn("passes", F.array(F.lit(1))).withColumn("row_1", F.lit(5)))
+    got = training_rows(docs)
+    assert got.columns == docs.columns
+    found = collections.Counter((r.doc_id, r.text, r.source, r["row"], r.position) for r in got.collect())
+    sized = curriculum(cut(sizes(docs, carry=[F.col("text").alias("t")]), "sizes"), carry=["t"]).collect()
+    want = collections.Counter()
+    for r in sized:
+        want[(r.doc_id, r.t, r.source, "extra", None)] += sum(p["words"] * 2 >= r.size for p in r.passes)
+    assert sum(found.values()) == sum(want.values())
+    assert {k[:3] for k in found} == {k[:3] for k in +want}
+    assert [r.doc_id for r in training_rows(docs).collect()] == [r.doc_id for r in got.collect()]
+
+
+def test_training_rows_move_texts_twice(spark):
+    """One exchange by row hash under the join and one range exchange; the rest moves no text."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = training_rows(frame(spark, rows()))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    exchanges = [line for line in plan.splitlines() if " Exchange " in line]
+    ranges = [line for line in exchanges if "rangepartitioning" in line]
+    by_row = [line for line in exchanges if "hashpartitioning(row_1" in line]
+    assert len(ranges) == 1 and len(by_row) == 2
+
+
 def test_no_python_and_empty(spark):
     sized = cut(sizes(frame(spark, rows())), "sizes")
     plan = curriculum(sized)._jdf.queryExecution().executedPlan().toString()
