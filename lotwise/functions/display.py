@@ -15,6 +15,59 @@ TS_SECONDS = "yyyy-MM-dd HH:mm:ss"
 TS_MINUTES = "yyyy-MM-dd HH:mm"
 MISSING = "N/A"
 CURRENCY = "EGP"
+REQUEST_HEADINGS = {
+    "vehicle_request_created_at": "Request Date",
+    "request_type": "Request Type",
+    "request_status": "Status",
+    "contacted_at": "Contacted At",
+    "contacted_user": "Contacted By",
+    "visited_at": "Visit Date",
+    "visited_user": "Visited By",
+    "succeeded_at": "Success Date",
+    "failed_before_visit_at": "Failed Before Visit At",
+    "failed_after_visit_at": "Failed After Visit At",
+    "failure_reason": "Failure Reason",
+    "car_name": "Car Name",
+    "car_make": "Make",
+    "car_model": "Model",
+    "car_year": "Year",
+    "car_kilometrage": "Mileage",
+    "buy_now_price": "Buy Now Price",
+    "discounted_price": "Discounted Price",
+}
+VIEW_HEADINGS = {
+    "time": "Viewed At",
+    "make": "Make",
+    "model": "Model",
+    "trim": "Trim",
+    "year": "Year",
+    "kilometrage": "Mileage",
+    "transmission": "Transmission",
+    "buy_now_price": "Price",
+    "body_style": "Body Style",
+}
+FILTER_HEADINGS = {
+    "time": "Filter Applied At",
+    "make": "Make",
+    "model": "Model",
+    "year": "Year",
+    "kilometrage": "Mileage Range",
+    "group_filter": "Filter Group",
+    "status": "Status",
+    "no_of_cars": "Number of Cars",
+}
+LISTING_HEADINGS = {
+    "added_at": "Listed Date",
+    "title": "Title",
+    "make": "Make",
+    "model": "Model",
+    "year": "Year",
+    "kilometers": "Mileage",
+    "price": "Price",
+    "condition": "Condition",
+    "is_active": "Active",
+    "region": "Region",
+}
 # ----------------------------------------------------------
 
 REQUEST_TIME_COLUMNS = ("vehicle_request_created_at", "contacted_at", "visited_at",
@@ -83,3 +136,17 @@ def format_listings(df: DataFrame) -> DataFrame:
     return df.select(timestamp_text("added_at", TS_MINUTES).alias("added_at"), "title", "make",
                      "model", "year", "kilometers", money_suffix("price").alias("price"),
                      "condition", "is_active", "region")
+
+
+def headed(df: DataFrame, headings: dict[str, str]) -> DataFrame:
+    """The frame under display headings; columns without one keep their name.
+
+    A panel that lacks a column is fine.  A heading that another column already
+    has, letter case aside, is an error, since the result would be ambiguous.
+    """
+    names = [headings.get(c, c) for c in df.columns]
+    lowered = [n.lower() for n in names]
+    twice = sorted({n for n in names if lowered.count(n.lower()) > 1})
+    if twice:
+        raise ValueError(f"more than one column would be named {', '.join(twice)}")
+    return df.toDF(*names)

@@ -117,6 +117,10 @@ def _shown(form, query):
     return run
 
 
+def _headed(headings, form, query):
+    return _shown(lambda df: display.headed(form(df), headings), query)
+
+
 def _history_op(op):
     def run(spark, sf_dir):
         return op(purchase_history(spark, sf_dir))
@@ -255,4 +259,8 @@ def queries() -> dict[str, Query]:
         "recent_views_displayed": _shown(display.format_views, recent_views),
         "recent_filters_displayed": _shown(display.format_filters, recent_filters),
         "listing_match_displayed": _shown(display.format_listings, listing_match),
+        "requests_latest_headed": _headed(display.REQUEST_HEADINGS, display.format_requests, _panel("all")),
+        "recent_views_headed": _headed(display.VIEW_HEADINGS, display.format_views, recent_views),
+        "recent_filters_headed": _headed(display.FILTER_HEADINGS, display.format_filters, recent_filters),
+        "listing_match_headed": _headed(display.LISTING_HEADINGS, display.format_listings, listing_match),
     }

@@ -156,3 +156,15 @@ def test_profile_without_history_reads_no_data(spark):
     assert rows["A"].top_makes == "M (2)" and rows["A"].n_models == 2
     assert rows["A"].top_mileage == "50K-100K (1), 0-50K (0)"
     assert rows["A"].price_range == "EGP 59 - 341"
+
+
+def test_headings(spark):
+    import pytest
+
+    from lotwise.functions import display
+
+    df = spark.range(1).selectExpr("id AS dealer_code", "1 AS make", "2 AS year", "3 AS price")
+    assert display.headed(df, display.LISTING_HEADINGS).columns == ["dealer_code", "Make", "Year", "Price"]
+    assert display.headed(df, {}).columns == df.columns
+    with pytest.raises(ValueError, match="Price"):
+        display.headed(df, {"make": "Price", "price": "price"})
