@@ -234,3 +234,29 @@ def test_shares_sum_to_100_and_scores_bounded(spark):
         assert totals and all(t[1] is None or abs(t[1] - 100.0) < 1e-9 for t in totals), key
     scores = [r.match_score for r in q["recommend_cars"](spark, SMALL).collect()]
     assert scores and all(0.0 <= s <= 9.0 for s in scores)
+
+
+def test_first_round_scores_need_no_cars(spark):
+    """At most k scores per query, each reached by a car of its own, and only mileages are read."""
+    from pyspark.sql import functions as F
+    rng = random.Random(5)
+    kms = [None] + [float(rng.randrange(0, 40)) * 250 for _ in range(80)]
+    cars = spark.createDataFrame([(f"c{i}", "A", "x", 2010.0, km, 1) for i, km in enumerate(kms)],
+                                 "sf_vehicle_name string, make string, model string, year double, "
+                                 "kilometers double, copies long")
+    index = recommend._CellIndex(cars, 4)
+    asked = [("near", 5000.0, 900.0), ("below", -9000.0, 6000.0), ("above", 99000.0, 50.0), ("one", 5000.0, None),
+             ("none", None, None)]
+    queries = spark.createDataFrame(asked, "dealer_name string, km_mean double, km_std double").select(
+        "dealer_name", recommend._cell(1, year=F.lit(2010.0)).alias("cell"), "km_mean", "km_std",
+        F.lit(0.5).alias("make_score"), F.lit(0.25).alias("model_score"), F.lit(1.0).alias("year_score"))
+    plan = index.attained(queries, "dealer_name")
+    assert "items" not in plan._jdf.queryExecution().executedPlan().toString()
+    got = {r.dealer_name: r.scores for r in plan.collect()}
+    assert set(got) == {name for name, _, _ in asked}
+    for name, mean, std in asked:
+        best = sorted((1.75 + (max(0.0, 2 - abs(km - mean) / std) if std else 0.0)
+                       for km in set(kms) if km is not None), reverse=True)
+        assert 0 < len(got[name]) <= 4 and got[name] == sorted(got[name], reverse=True)
+        assert all(g <= b + 1e-12 for g, b in zip(got[name], best)), name
+    assert got["one"] == got["none"] == [1.75] * 4
