@@ -49,3 +49,36 @@ def test_dealer_filter_reaches_the_scan(spark):
 def test_listing_match_scans_the_dealers_once(spark):
     plan = _plan(queries()["listing_match"](spark, SMALL))
     assert plan.count("customer.parquet") == 1 and plan.count("orders.parquet") <= 1 + plan.count("Subquery")
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def test_sold_names_are_read_once(spark, no_broadcast):
+    live = queries()["live_inventory"](spark, SMALL)
+    live.collect()
+    assert "ReusedExchange [_sought#" in _plan(live)  # in the plan that ran
+
+
+def test_one_dealer_shuffles_no_lines_of_others(spark, no_broadcast):
+    for key in ("purchase_history_for_dealer", "purchase_history_of_unknown_dealer"):
+        lines = _plan(queries()[key](spark, SMALL)).splitlines()
+        at = next(i for i, line in enumerate(lines) if "lineitem.parquet" in line)
+        above = next(line for line in lines[at::-1] if "Exchange" in line or "Join" in line)
+        assert "BroadcastHashJoin" in above and "LeftSemi" in above, key
+
+
+def test_not_in_keeps_sql_null_rules(spark):
+    from lotwise.operators.inventory import not_in
+    rows = lambda values: spark.createDataFrame([(v,) for v in values], "v string")
+    for left, right in ((["a", "b", None, "b"], ["a", "a"]), (["a", None], []), (["a", None], ["b", None]),
+                        ([None], [None]), (["a", "a"], ["b"])):
+        out = sorted(r.v or "" for r in not_in(rows(left), rows(right), "v").collect())
+        keep = left if not right else [] if None in right else [v for v in left if v is not None and v not in right]
+        assert out == sorted(v or "" for v in keep), (left, right)
