@@ -19,6 +19,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,10 @@ WINDOW = 4096
 END_ID = 2
 BLOCK_PIECES = 32768
 CACHED_WORDS = 1 << 18
+#: Bytes of text whose new words are encoded at once.
+CODED_BYTES = 1 << 18
+#: Words of one call, so that a letter to be taken apart sends few words the long way.
+CODED_WORDS = 256
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -39,7 +44,11 @@ PACKED = PIECES + ", sequence_id long, offset long"
 
 # Punctuation that the pre-tokeniser parts from a letter or digit
 # before it; no apostrophes, since contractions are words of their own.
-TAIL = re.compile(rb"(?<=[a-z0-9])([.,;:!?*#%&$|]+)(?=[ \t\n\r\x0b\x0c]|\Z)")
+# The set of marks stands first, so that the search skips to the next mark.
+_MARKS = rb"[.,;:!?*#%&$|]"
+TAIL = re.compile(rb"(" + _MARKS + rb"(?<=[a-z0-9]" + _MARKS + rb")" + _MARKS + rb"*)(?=[ \t\n\r\x0b\x0c]|\Z)")
+# Fixed value: the mark of a vocabulary entry that ends a run of letters or marks.
+WORD_END = "</w>"
 
 
 class WordTokenizer:
@@ -62,6 +71,9 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
         self._tokenizer = Tokenizer.from_file(path)
+        vocabulary = self._tokenizer.get_vocab()
+        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         self._limit = max(1, cached_words // 2)
         self._young: dict[bytes, bytes] = {}
         self._old: dict[bytes, bytes] = {}
@@ -70,30 +82,53 @@ class WordTokenizer:
         ids = self._tokenizer.encode(text.decode("utf-8"), add_special_tokens=False).ids
         return np.asarray(ids, "<u4").tobytes()
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _learn(self, words: list[str]) -> None:
         """Cache the words' ids: one encoding of all of them, cut at their places."""
-        plain = [w.decode("utf-8") for w in words]
-        coded = self._tokenizer.encode(" ".join(plain), add_special_tokens=False)
-        starts = np.cumsum([0] + [len(w) + 1 for w in plain])
+        coded = self._tokenizer.encode(" ".join(words), add_special_tokens=False)
+        starts = np.cumsum([0] + [len(w) + 1 for w in words])
         at = np.fromiter((o[0] for o in coded.offsets), np.int64, len(coded.ids))
-        ids = np.asarray(coded.ids, "<u4").tobytes()
-        cuts = (4 * np.searchsorted(at, starts)).tolist()
-        self._young.update((w, ids[a:b]) for w, a, b in zip(words, cuts, cuts[1:]))
-
-    def ids(self, text: bytes) -> bytes:
-        if b"<|" in text:
-            return self.whole(text)
-        words = TAIL.sub(rb" \1", text.lower()).split()
+        self._keep(words, np.asarray(coded.ids, "<u4"), np.searchsorted(at, starts))
+
+    def _learn_letters(self, words: list[str]) -> None:
+        """Likewise for words of letters alone, without the places: each ends at the next end of a run."""
+        ids = self._tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
+        coded = np.asarray(ids, "<u4")
+        ends = np.flatnonzero(self._ends[coded]) + 1
+        if len(ends) == len(words):
+            self._keep(words, coded, np.concatenate(([0], ends)))
+        else:  # a letter that lower case or the vocabulary's own tables take apart
+            self._learn(words)
+
+    def _keep(self, words: list[str], coded: np.ndarray, cuts: np.ndarray) -> None:
+        ids, cuts = coded.tobytes(), (4 * cuts).tolist()
+        self._young.update((w.encode(), ids[a:b]) for w, a, b in zip(words, cuts, cuts[1:]))
+
+    def _know(self, words: dict[bytes, None]) -> None:
+        """Bring all the words into the young generation."""
         young, old = self._young, self._old
-        missing = [w for w in dict.fromkeys(words) if w not in young]
+        missing = [w for w in words if w not in young]
         if missing:
             young.update((w, old[w]) for w in missing if w in old)
             new = [w for w in missing if w not in old]
-            if new:
-                self._learn(new)
-        out = b"".join([young[w] for w in words])
-        if len(young) > self._limit:
-            self._old, self._young = young, {}
+            new = [w.decode("utf-8") for w in new]
+            letters = [w for w in new if w.isalpha()]
+            for at in range(0, len(letters), CODED_WORDS):
+                self._learn_letters(letters[at:at + CODED_WORDS])
+            others = [w for w in new if not w.isalpha()]
+            for at in range(0, len(others), CODED_WORDS):
+                self._learn(others[at:at + CODED_WORDS])
+
+    def ids(self, text: bytes) -> bytes:
+        return self.many([text])[0]
+
+    def many(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text; the words that are new in all of them are encoded at once."""
+        split = [None if b"<|" in t else TAIL.sub(rb" \1", t.lower()).split() for t in texts]
+        self._know(dict.fromkeys(chain.from_iterable(words for words in split if words)))
+        known = self._young.__getitem__
+        out = [self.whole(t) if words is None else b"".join(map(known, words)) for t, words in zip(texts, split)]
+        if len(self._young) > self._limit:
+            self._old, self._young = self._young, {}
         return out
 
 
@@ -115,12 +150,15 @@ def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: i
         coder = _tokenizer(tokenizer_path)
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = coder.ids(text.as_py()) + end
-                total = len(ids) // 4
-                for start in range(0, total, window):
-                    part = ids[4 * start:4 * (start + window)]
-                    out.append((doc_id, start, len(part) // 4, zlib.crc32(part), total))
+            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            _, offsets = T.binary(texts)
+            for lo, hi in T.slices(offsets, CODED_BYTES):
+                for doc_id, ids in zip(doc_ids[lo:hi], coder.many(texts.slice(lo, hi - lo).to_pylist())):
+                    ids += end
+                    total = len(ids) // 4
+                    for start in range(0, total, window):
+                        part = ids[4 * start:4 * (start + window)]
+                        out.append((doc_id, start, len(part) // 4, zlib.crc32(part), total))
             columns = list(zip(*out)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns],
                                              ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])

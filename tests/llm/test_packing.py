@@ -105,3 +105,23 @@ def test_repeated_and_null_ids(spark):
     got = pack_documents(docs).collect()
     assert len(got) == 3 and len({(r.sequence_id, r.offset) for r in got}) == 3
     assert pack_documents(docs.where("false")).collect() == []
+
+
+def test_words_of_several_texts_are_coded_at_once():
+    """New letter words need no offsets; those that the vocabulary takes apart go the long way."""
+    coder, calls = WordTokenizer(tokenizer_path()), []
+
+    class Counted:
+        def __getattr__(self, name, inner=coder._tokenizer):
+            calls.append(name)
+            return getattr(inner, name)
+
+    texts = [t.encode() for t in ("thwhthre reanatoron, queraasrrñue laéeuxmentoi", "", "eawhan THWHTHRE. ofereresin",
+                                  "世界 пример ﬁn ª ǅ")]
+    whole = [coder.whole(t) for t in texts]
+    coder._tokenizer = Counted()
+    assert coder.many(texts) == whole
+    assert calls.count("encode_batch_fast") == 1 and calls.count("encode") == 1  # the comma and the full stop
+    odd = ["İstanbul dİ ẞ ŉa ΑΣ ab", "x́y é é é é", "a1b2 don't 're ab#cd"]
+    coder = WordTokenizer(tokenizer_path())
+    assert coder.many([t.encode() for t in odd]) == [coder.whole(t.encode()) for t in odd]
