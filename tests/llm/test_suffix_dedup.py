@@ -94,3 +94,23 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert remove_repeats(docs, length=20, seed=6).collect() == []
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_query_removes_400_bytes_not_50_words(spark, tmp_path):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    shorter = " ".join([word(6) for _ in range(56)] + [word(7)])
+    longer = " ".join([word(6) for _ in range(56)] + [word(8)])
+    assert (len(shorter), len(longer)) == (399, 400)
+    texts = [f"{a}<{passage}>{b}" for passage, a, b in
+             ((shorter, "A", "B"), (shorter, "C", "D"), (longer, "E", "F"), (longer, "G", "H"))]
+    # the marks differ too, else they would lengthen the passages
+    texts = [t.replace("<", str(i)).replace(">", str(i)) for i, t in enumerate(texts)]
+    rows = list(enumerate(texts))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in suffix_dedup.op1_suffix_dedup(spark, str(tmp_path)).collect()}
+    kept = texts[:2] + ["E22F", "G33H"]
+    for i, text in rows:
+        removed = len(text) - len(kept[i])
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans) == (len(text), removed, int(removed > 0))
+        assert got[i].kept_sha256 == hashlib.sha256(kept[i].encode()).hexdigest()
